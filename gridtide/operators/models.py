@@ -1,0 +1,338 @@
+"""Fitted forecasters on Spark ML.
+
+Fits are the only eager steps: they read a feature table that was written to the checkpoint
+folder once, and every pass over it is a distributed job. The seasonal model is a two-stage
+regression and the sequence model a robust linear one; both approximate the reference's
+likelihood and network fits and are not numerically equal to them.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
+                                   LinearRegressionModel)
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridtide.operators.splits import tail
+from gridtide.plans.chunks import CHUNK, chunk_window, halo, own, with_ordinal
+from gridtide.plans.slots import slot_time
+from gridtide.session import checkpoint_root
+
+# Parameters of the boosted-tree forecaster.
+TREE_PARAMS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
+               "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5, "seed": 42}
+PATIENCE = 30
+ADF_CRITICAL_5PCT = -2.86  # fixed value: large-sample limit, regression with constant
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write once to the shared checkpoint folder, for jobs that read many times."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
+# ---------------------------------------------------------------- boosted trees
+
+@dataclass
+class TreeForecaster:
+    """Gradient-boosted trees over feature columns."""
+
+    features: Sequence[str]
+    target: str
+    params: Mapping[str, object] = field(default_factory=dict)
+    model: PipelineModel | None = None
+    history: list[tuple[int, float]] = field(default_factory=list)
+
+    def _fit(self, train: DataFrame, **override) -> PipelineModel:
+        trees = GBTRegressor(featuresCol="features", labelCol=self.target, predictionCol="p",
+                             **{**TREE_PARAMS, **self.params, **override})
+        assemble = VectorAssembler(inputCols=list(self.features), outputCol="features")
+        return Pipeline(stages=[assemble, trees]).fit(train)
+
+    def fit(self, train: DataFrame, validation: DataFrame | None = None,
+            patience: int = PATIENCE) -> "TreeForecaster":
+        """Fit; with a validation table keep the trees up to the best iteration.
+
+        The iteration is the best one before ``patience`` rounds without improvement. Boosting
+        is sequential, so the first trees of the long fit are those of a short one; the short
+        fit runs again with the same seed.
+        """
+        self.model = self._fit(train)
+        if validation is not None:
+            assemble, trees = self.model.stages
+            errors = trees.evaluateEachIteration(assemble.transform(validation), "squared")
+            self.history = list(enumerate(errors, start=1))
+            best = best_iteration(errors, patience)
+            if best < len(errors):
+                self.model = self._fit(train, maxIter=best)
+        return self
+
+    @property
+    def trees(self) -> GBTRegressionModel:
+        if self.model is None:
+            raise RuntimeError("fit or load a model first")
+        return self.model.stages[-1]
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """Add column ``p``."""
+        if self.model is None:
+            raise RuntimeError("fit or load a model first")
+        return self.model.transform(df).drop("features")
+
+    def importance(self, df: DataFrame) -> DataFrame:
+        """Normalised gain per feature, zero where unused, largest first."""
+        gains = self.trees.featureImportances.toArray()
+        rows = [(name, float(g)) for name, g in zip(self.features, gains)]
+        return df.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(
+            F.desc("importance"), "feature")
+
+    def save(self, path: str) -> None:
+        if self.model is None:
+            raise RuntimeError("fit a model first")
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> "TreeForecaster":
+        model = PipelineModel.load(path)
+        assemble, trees = model.stages
+        return cls(assemble.getInputCols(), trees.getLabelCol(), model=model)
+
+
+def best_iteration(errors: Sequence[float], patience: int = PATIENCE) -> int:
+    """1-based iteration with the smallest error before ``patience`` rounds without a better one."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def cross_validate(forecaster: TreeForecaster, df: DataFrame, folds: int = 5, *,
+                   pos: str = "slot") -> DataFrame:
+    """RMSE mean and population deviation over expanding-window folds.
+
+    One fit per fold, each a distributed job on a range of row ordinals; nothing is copied.
+    """
+    placed = materialise(with_ordinal(df, (), pos))
+    size = F.floor(F.col("rows") / (folds + 1))
+    rmses = []
+    for i in range(folds):
+        start = F.col("rows") - (folds - i) * size
+        fold = TreeForecaster(forecaster.features, forecaster.target, forecaster.params)
+        fold.fit(placed.where(F.col("ord") < start))
+        test = placed.where((F.col("ord") >= start) & (F.col("ord") < start + size))
+        e = F.col(forecaster.target) - F.col("p")
+        rmses.append(fold.predict(test).agg(F.sqrt(F.avg(e * e))).first()[0])
+    return df.sparkSession.createDataFrame(
+        [(folds, round(float(np.mean(rmses)), 4), round(float(np.std(rmses)), 4))],
+        "folds int, cv_rmse_mean double, cv_rmse_std double")
+
+
+# ---------------------------------------------------------------- linear helpers
+
+def _lagged(df: DataFrame, cols: Mapping[str, tuple[str, Sequence[int]]], pos: str = "slot",
+            keys: Sequence[str] = (), size: int = CHUNK) -> DataFrame:
+    """Add ``<prefix><k>`` lag columns for several source columns in one window pass."""
+    w = chunk_window(keys, pos)
+    reach = max(k for _, lags in cols.values() for k in lags)
+    wide = halo(df, pos, reach, size=size).select(
+        "*", *[F.lag(c, k).over(w).alias(f"{prefix}{k}") for prefix, (c, lags) in cols.items()
+               for k in lags])
+    return own(wide, pos, size)
+
+
+def _regress(df: DataFrame, label: str, inputs: Sequence[str], **kw) -> LinearRegressionModel:
+    assembled = VectorAssembler(inputCols=list(inputs), outputCol="features",
+                                handleInvalid="skip").transform(df.where(F.col(label).isNotNull()))
+    return LinearRegression(featuresCol="features", labelCol=label, **kw).fit(
+        assembled.select("features", label))
+
+
+def _linear(model: LinearRegressionModel, inputs: Sequence[str]):
+    terms = (F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients.toArray(), inputs))
+    return sum(terms, F.lit(float(model.intercept)))
+
+
+def adf_decision(df: DataFrame, value: str, lags: int = 24, *, pos: str = "slot") -> DataFrame:
+    """Augmented Dickey-Fuller regression of one series on a dense grid.
+
+    The lag order is fixed and the t value is compared with the 5 % critical value.
+    """
+    diff = _lagged(df, {"_x": (value, (1,))}, pos).withColumn("_d", F.col(value) - F.col("_x1"))
+    wide = materialise(_lagged(diff, {"_d": ("_d", range(1, lags + 1))}, pos))
+    model = _regress(wide, "_d", ["_x1", *[f"_d{k}" for k in range(1, lags + 1)]], solver="normal")
+    t = float(model.summary.tValues[0])
+    return df.sparkSession.createDataFrame(
+        [(round(t, 4), ADF_CRITICAL_5PCT, t < ADF_CRITICAL_5PCT)],
+        "statistic double, critical_5pct double, stationary boolean")
+
+
+# ---------------------------------------------------------------- seasonal model
+
+LONG_AR = 26  # long autoregression: past the seasonal lags 24 and 25
+
+
+@dataclass
+class SeasonalForecaster:
+    """Order (1,1,1)(1,1,1,24) by two regressions on the twice-differenced series.
+
+    A long autoregression estimates the shocks; a second regression uses lags 1, s and s+1 of
+    the differences and of the shocks.
+    """
+
+    value: str
+    season: int = 24
+    ar: LinearRegressionModel | None = None
+    coefs: np.ndarray | None = None
+    intercept: float = 0.0
+    stats: dict[str, float] = field(default_factory=dict)
+
+    @property
+    def lags(self) -> tuple[int, int, int]:
+        return (1, self.season, self.season + 1)
+
+    def _inputs(self) -> list[str]:
+        return [f"_w{k}" for k in self.lags] + [f"_e{k}" for k in self.lags]
+
+    def _differenced(self, df: DataFrame, pos: str) -> DataFrame:
+        s = self.season
+        wide = _lagged(df, {"_y": (self.value, (1, s, s + 1))}, pos)
+        return wide.withColumn("_w", F.col(self.value) - F.col("_y1") - F.col(f"_y{s}") + F.col(f"_y{s + 1}"))
+
+    def _shocked(self, w: DataFrame, pos: str) -> DataFrame:
+        names = [f"_a{k}" for k in range(1, LONG_AR + 1)]
+        wide = _lagged(w, {"_a": ("_w", range(1, LONG_AR + 1))}, pos)
+        return wide.withColumn("_e", F.col("_w") - _linear(self.ar, names)).drop(*names)
+
+    def _design(self, df: DataFrame, pos: str) -> DataFrame:
+        return _lagged(self._shocked(self._differenced(df, pos), pos),
+                       {"_w": ("_w", self.lags), "_e": ("_e", self.lags)}, pos)
+
+    def fit(self, df: DataFrame, *, pos: str = "slot") -> "SeasonalForecaster":
+        """Fit one series on a dense grid without nulls."""
+        w = materialise(self._differenced(df, pos))
+        names = [f"_a{k}" for k in range(1, LONG_AR + 1)]
+        self.ar = _regress(_lagged(w, {"_a": ("_w", range(1, LONG_AR + 1))}, pos), "_w", names,
+                           solver="normal", regParam=0.0)
+        design = _lagged(self._shocked(w, pos), {"_w": ("_w", self.lags), "_e": ("_e", self.lags)}, pos)
+        model = _regress(design, "_w", self._inputs(), solver="normal", regParam=0.0)
+        self.coefs, self.intercept = model.coefficients.toArray(), float(model.intercept)
+        n, k = model.summary.numInstances, len(self.coefs) + 1
+        rss = model.summary.meanSquaredError * n
+        fit = n * math.log(rss / n) + n * (1 + math.log(2 * math.pi))
+        self.stats = {"n": n, "sigma2": rss / n, "aic": fit + 2 * (k + 1), "bic": fit + (k + 1) * math.log(n)}
+        return self
+
+    def summary(self, df: DataFrame) -> DataFrame:
+        """Coefficients and fit statistics as rows (name, value)."""
+        s = self.season
+        names = ["ar1", f"ar{s}", f"ar{s + 1}", "ma1", f"ma{s}", f"ma{s + 1}"]
+        rows = [("const", self.intercept), *zip(names, map(float, self.coefs)),
+                *((k, float(v)) for k, v in self.stats.items())]
+        return df.sparkSession.createDataFrame(rows, "name string, value double")
+
+    def fitted(self, df: DataFrame, *, pos: str = "slot") -> DataFrame:
+        """One-step values ``p`` inside the sample; null for the first rows."""
+        s = self.season
+        design = self._design(df, pos)
+        w = self.intercept + sum(
+            (F.lit(float(b)) * F.col(c) for b, c in zip(self.coefs, self._inputs())), F.lit(0.0))
+        p = w + F.col("_y1") + F.col(f"_y{s}") - F.col(f"_y{s + 1}")
+        return design.withColumn("p", p).select(*df.columns, "p")
+
+    def forecast(self, df: DataFrame, steps: int = 24, *, pos: str = "slot", freq: str = "H") -> DataFrame:
+        """``steps`` values ahead, from the last two seasons of rows only."""
+        keep = LONG_AR + 3 * (self.season + 1) + 2
+        recent = self._design(tail(df, keep, pos=pos), pos).select(
+            pos, F.col(self.value).alias("y"), F.col("_w").alias("w"), F.col("_e").alias("e"))
+        s, lags, coefs, const = self.season, self.lags, self.coefs, self.intercept
+
+        def ahead(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(pos)
+            y, w, e = (list(rows[c]) for c in "ywe")
+            end, out = int(rows[pos].iloc[-1]), []
+            for i in range(steps):
+                known = np.array([w[-k] for k in lags] + [e[-k] for k in lags])
+                w.append(const + float(coefs @ known))
+                e.append(0.0)
+                y.append(w[-1] + y[-1] + y[-s] - y[-s - 1])
+                out.append((i, end + 1 + i, y[-1]))
+            return pd.DataFrame(out, columns=["step", "slot", "p"])
+
+        steps_df = recent.groupBy().applyInPandas(ahead, "step long, slot long, p double")
+        return steps_df.select("step", slot_time(F.col("slot"), freq).alias("ts"), "p")
+
+
+# ---------------------------------------------------------------- sequence model
+
+@dataclass
+class SequenceForecaster:
+    """Next value from the last ``look_back`` values, with Huber loss."""
+
+    look_back: int = 24
+    max_iter: int = 50
+    model: LinearRegressionModel | None = None
+
+    def fit(self, seqs: DataFrame) -> "SequenceForecaster":
+        """Fit on rows with an array ``x`` and a value ``y``."""
+        data = seqs.select(array_to_vector("x").alias("features"), "y")
+        self.model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="p",
+                                      loss="huber", maxIter=self.max_iter).fit(data)
+        return self
+
+    def predict(self, seqs: DataFrame) -> DataFrame:
+        """One-step predictions ``p``."""
+        if self.model is None:
+            raise RuntimeError("fit or load a model first")
+        wide = seqs.withColumn("features", array_to_vector("x"))
+        return self.model.transform(wide).drop("features")
+
+    def history(self, df: DataFrame) -> DataFrame:
+        """Objective per iteration of the fit."""
+        losses = self.model.summary.objectiveHistory
+        return df.sparkSession.createDataFrame(
+            [(i, float(v)) for i, v in enumerate(losses)], "iteration int, loss double")
+
+    def multi_step(self, df: DataFrame, value: str, steps: int = 24, *, keys: Sequence[str] = (),
+                   pos: str = "slot", freq: str = "H") -> DataFrame:
+        """Feed predictions back ``steps`` times; each group holds ``look_back`` rows."""
+        if self.model is None:
+            raise RuntimeError("fit or load a model first")
+        beta, const, size = self.model.coefficients.toArray(), float(self.model.intercept), self.look_back
+        recent = tail(df.where(F.col(value).isNotNull()), size, keys=keys, pos=pos)
+
+        def ahead(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(pos)
+            window, end = list(rows[value]), int(rows[pos].iloc[-1])
+            for _ in range(steps):
+                window.append(const + float(beta @ np.array(window[-size:])))
+            out = pd.DataFrame({"step": range(steps), "slot": range(end + 1, end + 1 + steps),
+                                "p": window[-steps:]})
+            for k in keys:
+                out[k] = rows[k].iloc[0]
+            return out[[*keys, "step", "slot", "p"]]
+
+        schema = T.StructType([df.schema[k] for k in keys]).add("step", "long").add("slot", "long").add("p", "double")
+        steps_df = recent.select(*keys, pos, value).groupBy(*keys).applyInPandas(ahead, schema)
+        return steps_df.select(*keys, "step", slot_time(F.col("slot"), freq).alias("ts"), "p")
+
+    def save(self, path: str) -> None:
+        if self.model is None:
+            raise RuntimeError("fit a model first")
+        self.model.write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str, look_back: int = 24) -> "SequenceForecaster":
+        return cls(look_back, model=LinearRegressionModel.load(path))
