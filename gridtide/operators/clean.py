@@ -15,6 +15,7 @@ from gridtide.operators.quality import series_stats
 from gridtide.operators.resample import resample_daily, resample_hourly
 from gridtide.plans.chunks import CHUNK, ROW_CHUNK, attach, known_neighbours, with_row_ordinal
 from gridtide.schemas import TARGET
+from gridtide.session import materialise
 
 
 def drop_sparse_rows(df: DataFrame, cols: Sequence[str], threshold: float = 0.5) -> DataFrame:
@@ -117,14 +118,17 @@ def clean_raw(df: DataFrame, measures: Sequence[str], *, freq: str = "H", value:
     """Raw readings to a clean regular table.
 
     Drop sparse rows, fill, remove outliers, resample, fill again. Fills count rows, so the
-    readings get their global row order first; ``tie`` orders rows of equal time.
+    readings get their global row order first; ``tie`` orders rows of equal time. Every step
+    reads its input more than once, so the ordered, filled and resampled rows are each written
+    to the checkpoint folder: this operator runs jobs when called.
     """
     rows = drop_sparse_rows(df, measures).select(*keys, time, *tie, *measures)
     ordered = with_row_ordinal(rows, keys, [time, *tie]).drop("rows", *tie)
-    filled = fill_missing(ordered, measures, keys=keys, pos="ord", size=ROW_CHUNK)
+    filled = materialise(fill_missing(ordered, measures, keys=keys, pos="ord", size=ROW_CHUNK))
     smooth = remove_outliers(filled, value, keys=keys, pos="ord", size=ROW_CHUNK)
     step = resample_hourly if freq == "H" else resample_daily
-    return fill_missing(step(smooth, measures, keys=keys, time=time), measures, keys=keys)
+    stepped = materialise(step(smooth, measures, keys=keys, time=time, span=filled))
+    return fill_missing(stepped, measures, keys=keys)
 
 
 def clean_regular(df: DataFrame, measures: Sequence[str], *, keys: Sequence[str] = (),

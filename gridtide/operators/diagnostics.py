@@ -50,15 +50,17 @@ def consumption_overview(daily: DataFrame, value: str, days: int | None = 365, w
     return smooth.select(*keys, time, F.round(value, 4).alias("value"), F.round("_ma", 4).alias("ma7"))
 
 
-def load_heatmap(df: DataFrame, value: str, *, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
-    """Mean per hour (24 rows) and weekday (7 columns) in one aggregation."""
+def load_heatmap(df: DataFrame, value: str, *, digits: int | None = 4, keys: Sequence[str] = (),
+                 time: str = "ts") -> DataFrame:
+    """Mean per hour (24 rows) and weekday (7 columns) in one aggregation, rounded to ``digits``."""
     rows = df.select(*keys, F.hour(time).alias("hour"), F.weekday(time).alias("_dow"),
                      F.col(value).alias("_v"))
     axis = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")
     hours = df.select(*keys).distinct().select(*keys, axis) if keys else df.sparkSession.range(1).select(axis)
     cells = rows.unionByName(hours, allowMissingColumns=True).groupBy(*keys, "hour")
-    return cells.agg(*[F.round(F.avg(F.when(F.col("_dow") == i, F.col("_v"))), 4).alias(day)
-                       for i, day in enumerate(WEEKDAYS)])
+    means = [F.avg(F.when(F.col("_dow") == i, F.col("_v"))) for i in range(len(WEEKDAYS))]
+    return cells.agg(*[(m if digits is None else F.round(m, digits)).alias(day)
+                       for day, m in zip(WEEKDAYS, means)])
 
 
 def histogram(df: DataFrame, value: str, bins: int = 80, *, keys: Sequence[str] = ()) -> DataFrame:
@@ -73,7 +75,7 @@ def histogram(df: DataFrame, value: str, bins: int = 80, *, keys: Sequence[str]
     place = F.floor((F.col(value) - F.col("lo")) * bins / (F.col("hi") - F.col("lo")))
     hits = attach(known, ends, keys).groupBy(*keys, F.least(place, F.lit(bins - 1)).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
-    axis = ends.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"),
+    axis = ends.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1))).alias("bin"),
                        F.lit(0).cast("long").alias("n"))
     total = hits.unionByName(axis).groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
@@ -108,7 +110,7 @@ def kde(df: DataFrame, value: str, points: int = 1000, per_bandwidth: int = 64,
     u = (F.col("x0") + F.col("point") * F.col("dx") - F.col("_m")) / F.col("h")
     height = F.col("_c") * F.exp(-0.5 * u * u) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
     parts = reach.select(*keys, "point", height.alias("_d"))
-    axis = stats.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points - 1))).cast("long").alias("point"),
+    axis = stats.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1))).alias("point"),
                         F.lit(0.0).alias("_d"))
     curve = parts.unionByName(axis).groupBy(*keys, "point").agg(F.sum("_d").alias("density"))
     return attach(curve, stats, keys).select(
@@ -151,19 +153,17 @@ def acf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
     return _melt(one, keys, {k: f"_r{k}" for k in range(lags + 1)}, "lag", "acf")
 
 
-def _levinson_durbin(r: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations of an autocorrelation sequence."""
-    out, phi = [1.0], np.empty(0)
-    for k in range(1, len(r)):
-        new = (r[k] - phi @ r[k - 1:0:-1]) / (1 - phi @ r[1:k])
-        phi = np.append(phi - new * phi[::-1], new)
-        out.append(new)
-    return np.array(out)
-
-
 def pacf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
          keys: Sequence[str] = (), pos: str = "slot") -> DataFrame:
     """Partial autocorrelation (Yule-Walker) from the ``lags + 1`` numbers of :func:`acf`."""
+    def levinson_durbin(r: np.ndarray) -> np.ndarray:
+        out, phi = [1.0], np.empty(0)
+        for k in range(1, len(r)):
+            new = (r[k] - phi @ r[k - 1:0:-1]) / (1 - phi @ r[1:k])
+            phi = np.append(phi - new * phi[::-1], new)
+            out.append(new)
+        return np.array(out)
+
     curve = acf(df, value, lags, last, keys=keys, pos=pos)
     ordered = F.array_sort(F.collect_list(F.struct("lag", "acf")))
     per_series = curve.groupBy(*keys).agg(F.transform(ordered, lambda e: e["acf"]).alias("r"))
@@ -171,7 +171,7 @@ def pacf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
     @F.pandas_udf("array<double>")
     def solve(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda r: _levinson_durbin(np.asarray(r, dtype=float)))
+            yield batch.map(lambda r: levinson_durbin(np.asarray(r, dtype=float)))
 
     return per_series.select(*keys, F.posexplode(solve("r")).alias("lag", "pacf"))
 

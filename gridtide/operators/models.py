@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from gridtide.operators.splits import tail
 from gridtide.plans.chunks import CHUNK, chunk_window, halo, own, with_ordinal
 from gridtide.plans.slots import slot_time
-from gridtide.session import checkpoint_root
+from gridtide.session import materialise
 
 # Parameters of the boosted-tree forecaster.
 TREE_PARAMS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
@@ -35,12 +35,6 @@ PATIENCE = 30
 ADF_CRITICAL_5PCT = -2.86  # fixed value: large-sample limit, regression with constant
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared checkpoint folder, for jobs that read many times."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
-
-
 # ---------------------------------------------------------------- boosted trees
 
 @dataclass

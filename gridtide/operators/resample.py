@@ -30,14 +30,21 @@ def ticks(extents: DataFrame, keys: Sequence[str], size: int = CHUNK) -> DataFra
     )
 
 
+def extents(df: DataFrame, freq: str, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
+    """First and last slot (``lo``, ``hi``) of each series."""
+    ends = df.groupBy(*keys).agg(F.min(time).alias("_a"), F.max(time).alias("_z")).where("_a IS NOT NULL")
+    return ends.select(*keys, slot_of(F.col("_a"), freq).alias("lo"), slot_of(F.col("_z"), freq).alias("hi"))
+
+
 def resample(df: DataFrame, freq: str, *, keys: Sequence[str] = (), means: Sequence[str] = (),
              sums: Sequence[str] = (), time: str = "ts", grid: bool = True,
-             empty_sum: str = "zero") -> DataFrame:
+             empty_sum: str = "zero", span: DataFrame | None = None) -> DataFrame:
     """Mean or sum per time step, as ``keys, slot, ts, measures``.
 
     ``grid`` keeps empty steps between the first and last one: the empty steps join the
     readings as rows without values, so partial aggregation and one shuffle do it all.
-    ``empty_sum`` is the sum of a step without values: 'zero' or 'null'.
+    ``empty_sum`` is the sum of a step without values: 'zero' or 'null'. ``span`` is a table with
+    the same keys and times that is cheaper to read for the first and last step.
     """
     if empty_sum not in ("zero", "null"):
         raise ValueError(f"unknown empty_sum {empty_sum!r}")
@@ -45,8 +52,7 @@ def resample(df: DataFrame, freq: str, *, keys: Sequence[str] = (), means: Seque
     rows = df.where(F.col(time).isNotNull()).select(
         *keys, slot_of(F.col(time), freq).alias("slot"), *measures)
     if grid:
-        extents = rows.groupBy(*keys).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-        rows = rows.unionByName(ticks(extents.where("lo IS NOT NULL"), keys),
+        rows = rows.unionByName(ticks(extents(df if span is None else span, freq, keys, time), keys),
                                 allowMissingColumns=True)
 
     def total(c: str) -> Column:
@@ -61,25 +67,24 @@ def resample(df: DataFrame, freq: str, *, keys: Sequence[str] = (), means: Seque
 
 
 def resample_hourly(df: DataFrame, measures: Sequence[str], *, keys: Sequence[str] = (),
-                    time: str = "ts", empty_sum: str = "zero") -> DataFrame:
+                    time: str = "ts", empty_sum: str = "zero",
+                    span: DataFrame | None = None) -> DataFrame:
     """Hourly means; sub-meter columns are energy and add up."""
     sums = [c for c in measures if c in SUB_METERS]
     means = [c for c in measures if c not in SUB_METERS]
     return resample(df, "H", keys=keys, means=means, sums=sums, time=time,
-                    empty_sum=empty_sum).select(*keys, "slot", "ts", *measures)
+                    empty_sum=empty_sum, span=span).select(*keys, "slot", "ts", *measures)
 
 
 def resample_daily(df: DataFrame, measures: Sequence[str], *, keys: Sequence[str] = (),
-                   time: str = "ts") -> DataFrame:
+                   time: str = "ts", span: DataFrame | None = None) -> DataFrame:
     """Daily means of every column."""
-    return resample(df, "D", keys=keys, means=measures, time=time)
+    return resample(df, "D", keys=keys, means=measures, time=time, span=span)
 
 
 def time_grid(df: DataFrame, freq: str, *, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
     """Every step from the first to the last reading of each series."""
-    slots = df.where(F.col(time).isNotNull()).select(*keys, slot_of(F.col(time), freq).alias("slot"))
-    extents = slots.groupBy(*keys).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"))
-    grid = ticks(extents.where("lo IS NOT NULL"), keys)
+    grid = ticks(extents(df, freq, keys, time), keys)
     return grid.select(*keys, "slot", slot_time(F.col("slot"), freq).alias("ts"))
 
 

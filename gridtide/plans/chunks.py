@@ -121,8 +121,9 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], po
                      size: int = CHUNK) -> DataFrame:
     """Add ``_prev_<c>`` and ``_next_<c>``: structs (at, v) of the nearest known values.
 
-    The previous value includes the row itself. One window sort serves all columns; values
-    from other chunks come from a table with one row per series and chunk.
+    Both include the row itself. One shuffle and one sort per direction serve all columns
+    (a frame that ends at the partition's end would be recomputed for every row); values from
+    other chunks come from a table with one row per series and chunk.
     """
     chunked = df.withColumn("_chunk", chunk_of(F.col(pos), size))
 
@@ -136,20 +137,20 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], po
     )
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     left = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    right = by_chunk.rowsBetween(1, Window.unboundedFollowing)
+    right = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
     carry = edges.select(
         *keys, "_chunk",
         *[F.last(f"_last_{c}", ignorenulls=True).over(left).alias(f"_left_{c}") for c in cols],
-        *[F.first(f"_first_{c}", ignorenulls=True).over(right).alias(f"_right_{c}") for c in cols],
+        *[F.last(f"_first_{c}", ignorenulls=True).over(right).alias(f"_right_{c}") for c in cols],
     )
-    w = chunk_window(keys, pos)
-    upto, onward = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    upto = chunk_window(keys, pos).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
     joined = chunked.join(carry, [*keys, "_chunk"])
     out = joined.select(
         *df.columns,
         *[F.coalesce(F.last(known(c), ignorenulls=True).over(upto), F.col(f"_left_{c}"))
           .alias(f"_prev_{c}") for c in cols],
-        *[F.coalesce(F.first(known(c), ignorenulls=True).over(onward), F.col(f"_right_{c}"))
+        *[F.coalesce(F.last(known(c), ignorenulls=True).over(back), F.col(f"_right_{c}"))
           .alias(f"_next_{c}") for c in cols],
     )
     return out

@@ -27,7 +27,7 @@ def anomaly_zscore(spark, sf):
 
 
 @query("anomaly_by_series", q.sql(q.BY_TYPE, select=(
-    "SELECT series_id, ts, round(p, 6) AS value, round(z, 4) AS z_score FROM (SELECT *, (p - avg(p) OVER s) "
+    f"SELECT series_id, ts, round(p, 6) AS value, {q.r('z', 4, 'z_score')} FROM (SELECT *, (p - avg(p) OVER s) "
     "/ stddev_samp(p) OVER s AS z FROM typed WINDOW s AS (PARTITION BY series_id)) WHERE abs(z) > 3")))
 def anomaly_by_series(spark, sf):
     found = op.detect(b.hourly_by_type(spark, sf), TARGET, keys=b.BY_TYPE)
@@ -43,7 +43,7 @@ def anomaly_last_days(spark, sf):
 
 
 @query("anomaly_severity", q.sql(RAW_Z, select=(
-    f"SELECT event_id, round(value, 4) AS value, round(z, 2) AS z_score, {GRADE} AS severity FROM z WHERE abs(z) > 3")))
+    f"SELECT event_id, {q.r('value', 4, 'value')}, {q.r('z', 2, 'z_score')}, {GRADE} AS severity FROM z WHERE abs(z) > 3")))
 def anomaly_severity(spark, sf):
     found = op.detect(b.events(spark, sf), "value")
     return found.select("event_id", r("value", 4), r("z_score", 2), op.severity(F.col("z_score")).alias("severity"))

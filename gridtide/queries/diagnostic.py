@@ -16,7 +16,7 @@ CUT = """cut AS (SELECT ts, p, row_number() OVER (ORDER BY ts) - 1 AS i FROM day
 
 
 @query("consumption_overview", q.sql(q.DAILY, CUT, select=(
-    f"SELECT ts, {q.r('p', 4, 'value')}, {q.r('CASE WHEN count(p) OVER w = 7 THEN avg(p) OVER w END', 4, 'ma7')} "
+    f"SELECT ts, round(p, 4) AS value, round(CASE WHEN count(p) OVER w = 7 THEN avg(p) OVER w END, 4) AS ma7 "
     "FROM cut WINDOW w AS (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")))
 def consumption_overview(spark, sf):
     return op.consumption_overview(b.daily_quantity(spark, sf), TARGET)
@@ -25,8 +25,8 @@ def consumption_overview(spark, sf):
 @query("consumption_overview_by_series", q.sql(
     q.BY_TYPE, "d AS (SELECT series_id, date_trunc('day', ts)::TIMESTAMP AS ts, avg(p) AS p FROM typed GROUP BY 1, 2)",
     "c AS (SELECT * FROM d WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY ts DESC) <= 14)",
-    select=(f"SELECT series_id, ts, {q.r('p', 4, 'value')}, "
-            f"{q.r('CASE WHEN count(p) OVER w = 7 THEN avg(p) OVER w END', 4, 'ma7')} FROM c "
+    select=(f"SELECT series_id, ts, round(p, 4) AS value, "
+            f"round(CASE WHEN count(p) OVER w = 7 THEN avg(p) OVER w END, 4) AS ma7 FROM c "
             "WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")))
 def consumption_overview_by_series(spark, sf):
     from gridtide.operators.resample import daily_mean
@@ -39,7 +39,8 @@ def consumption_overview_by_series(spark, sf):
         q.r(f"avg(CASE WHEN isodow(ts) = {i + 1} THEN p END)", 4, d) for i, d in enumerate(op.WEEKDAYS))
     + " FROM (SELECT unnest(range(24)) AS hour) a LEFT JOIN hourly h ON hour(h.ts) = a.hour GROUP BY 1")))
 def load_heatmap(spark, sf):
-    return op.load_heatmap(b.hourly_power(spark, sf), TARGET)
+    return op.load_heatmap(b.hourly_power(spark, sf), TARGET, digits=None).select(
+        "hour", *[r(d, 4) for d in op.WEEKDAYS])
 
 
 @query("load_heatmap_by_series", q.sql(q.BY_TYPE, select=(
@@ -48,7 +49,8 @@ def load_heatmap(spark, sf):
     + " FROM (SELECT series_id, unnest(range(24)) AS hour FROM (SELECT DISTINCT series_id FROM typed)) a "
     "LEFT JOIN typed h ON hour(h.ts) = a.hour AND a.series_id = h.series_id GROUP BY 1, 2")))
 def load_heatmap_by_series(spark, sf):
-    return op.load_heatmap(b.hourly_by_type(spark, sf), TARGET, keys=b.BY_TYPE)
+    return op.load_heatmap(b.hourly_by_type(spark, sf), TARGET, digits=None, keys=b.BY_TYPE).select(
+        "series_id", "hour", *[r(d, 4) for d in op.WEEKDAYS])
 
 
 @query("power_histogram", """
@@ -65,9 +67,9 @@ def power_histogram(spark, sf):
     q.HOURS, "s AS (SELECT min(p) AS lo, max(p) AS hi, count(p) AS n, stddev_samp(p) * pow(count(p), -0.2) AS h FROM hours)",
     "bins AS (SELECT avg(p) AS m, count(*) AS c FROM hours, s GROUP BY floor((p - lo) / (h / 64)))",
     "axis AS (SELECT i, lo - 0.5 * (hi - lo) + i * (2 * (hi - lo) / 999) AS x, s.n AS n, h FROM (SELECT unnest(range(1000)) AS i), s)",
-    select=("SELECT CAST(i AS BIGINT) AS point, round(x, 6) AS x, "
-            "round(sum(c * exp(-0.5 * pow((x - m) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())), 8) "
-            "AS density FROM axis, bins GROUP BY i, x")))
+    select=(f"SELECT CAST(i AS BIGINT) AS point, {q.r('x', 6, 'x')}, "
+            + q.r("sum(c * exp(-0.5 * pow((x - m) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi()))", 8, "density")
+            + " FROM axis, bins GROUP BY i, x")))
 def power_kde(spark, sf):
     return op.kde(b.hourly_power(spark, sf), TARGET).select("point", r("x"), r("density", 8))
 

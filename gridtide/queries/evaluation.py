@@ -29,7 +29,7 @@ EXPR = {"MAE": "avg(abs(y - p))", "RMSE": "sqrt(avg((y - p) * (y - p)))",
         "SMAPE": "100 * avg(abs(y - p) / greatest((abs(y) + abs(p)) / 2, 1e-8))", "R2": f"1 - {SSE} / {SST}",
         "Adj_R2": f"1 - ({SSE} / {SST}) * (count(y) - 1) / (count(y) - {K} - 1)"}
 DIGITS = {"MAE": 4, "RMSE": 4, "MAPE": 2, "SMAPE": 2, "R2": 4, "Adj_R2": 4}
-SCORED = (BACKTEST, "scored AS (SELECT model, " + ", ".join(q.r(EXPR[c], DIGITS[c], c) for c in EXPR)
+SCORED = (BACKTEST, "scored AS (SELECT model, " + ", ".join(f"round({EXPR[c]}, {DIGITS[c]}) AS {c}" for c in EXPR)
           + " FROM long GROUP BY model)")
 
 
@@ -77,7 +77,7 @@ def evaluate_models(spark, sf):
     "SELECT series_id, 'naive_week', y, w FROM back WHERE y + d + w IS NOT NULL UNION ALL "
     "SELECT series_id, 'blend', y, 0.5 * w + 0.5 * d FROM back WHERE y + d + w IS NOT NULL)",
     select="SELECT series_id, model, " + ", ".join(
-        q.r(EXPR[c].replace(K, "1"), DIGITS[c], c) for c in EXPR) + " FROM long GROUP BY ALL"))
+        f"round({EXPR[c].replace(K, '1')}, {DIGITS[c]}) AS {c}" for c in EXPR) + " FROM long GROUP BY ALL"))
 def evaluate_by_series(spark, sf):
     wide, models = forecast.backtest(b.hourly_by_type(spark, sf), TARGET, keys=b.BY_TYPE)
     table = op.long_form(wide, TARGET, models, keys=b.BY_TYPE)
@@ -120,14 +120,14 @@ def metrics_long(spark, sf):
 
 
 @query("residual_stats", q.sql(BACKTEST, select=(
-    "SELECT model, " + ", ".join(q.r(f"{f}(y - p)", 6, f"residual_{n}") for n, f in (
+    "SELECT model, " + ", ".join(f"round({f}(y - p), 6) AS residual_{n}" for n, f in (
         ("mean", "avg"), ("std", "stddev_pop"), ("min", "min"), ("max", "max"))) + " FROM long GROUP BY model")))
 def residual_stats(spark, sf):
     return op.residual_stats(backtest_long(spark, sf))
 
 
 @query("actual_vs_forecast", q.sql(BACKTEST, select=(
-    "SELECT ts, round(y, 6) AS actual, round(0.5 * w + 0.5 * d, 6) AS pred FROM done WHERE i >= n - 200")))
+    f"SELECT ts, {q.r('y', 6, 'actual')}, {q.r('0.5 * w + 0.5 * d', 6, 'pred')} FROM done WHERE i >= n - 200")))
 def actual_vs_forecast(spark, sf):
     table = b.hourly_power(spark, sf)
     wide, _ = forecast.backtest(table, TARGET)

@@ -127,8 +127,8 @@ def feature_catalog(spark, sf):
 
 
 @query("feat_sequences", q.sql(q.HOURS, select=(
-    "SELECT h.ts, round(h.p, 6) AS y, CAST(g.i - h.i + 24 AS INTEGER) AS place, round(g.p, 6) AS x FROM hours h "
-    "JOIN hours g ON g.i BETWEEN h.i - 24 AND h.i - 1 WHERE h.i >= 24")))
+    f"SELECT h.ts, {q.r('h.p', 6, 'y')}, CAST(g.i - h.i + 24 AS INTEGER) AS place, {q.r('g.p', 6, 'x')} "
+    "FROM hours h JOIN hours g ON g.i BETWEEN h.i - 24 AND h.i - 1 WHERE h.i >= 24")))
 def feat_sequences(spark, sf):
     """Sequences unfolded to one row per place."""
     rows = with_ordinal(b.hourly_power(spark, sf).where(F.col(TARGET).isNotNull()), ())

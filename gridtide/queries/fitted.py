@@ -9,7 +9,7 @@ from gridtide.operators import models as op
 from gridtide.queries import bindings as b
 from gridtide.queries.registry import query, r
 from gridtide.schemas import TARGET
-from gridtide.session import scratch_path
+from gridtide.session import materialise, scratch_path
 
 SMALL = {"maxIter": 8, "maxDepth": 4}  # fixture size; the operator's defaults are the full fit
 
@@ -20,7 +20,7 @@ def filled_hours(spark, sf):
 
 def labelled(spark, sf, val_ratio: float = 0.0):
     table = features.feature_table(clean.fill_missing(b.hourly(spark, sf), b.MEASURES))
-    return op.materialise(splits.split_temporal(table, val_ratio=val_ratio))
+    return materialise(splits.split_temporal(table, val_ratio=val_ratio))
 
 
 def trees(table) -> op.TreeForecaster:
@@ -92,20 +92,20 @@ def sarima_hr_fit(spark, sf):
 
 @query("sarima_hr_forecast")
 def sarima_hr_forecast(spark, sf):
-    table = op.materialise(filled_hours(spark, sf))
+    table = materialise(filled_hours(spark, sf))
     return op.SeasonalForecaster(TARGET).fit(table).forecast(table, 48).select("step", "ts", r("p"))
 
 
 @query("sarima_hr_fitted")
 def sarima_hr_fitted(spark, sf):
-    table = op.materialise(filled_hours(spark, sf))
+    table = materialise(filled_hours(spark, sf))
     return op.SeasonalForecaster(TARGET).fit(table).fitted(table).select("ts", r(TARGET), r("p"))
 
 
 def scaled_sequences(spark, sf):
     table = filled_hours(spark, sf)
     ranges = features.value_range(table, TARGET)
-    scaled = op.materialise(features.scale(table, TARGET, ranges))
+    scaled = materialise(features.scale(table, TARGET, ranges))
     return scaled, ranges, features.sequences(scaled, "scaled")
 
 
@@ -113,7 +113,7 @@ def scaled_sequences(spark, sf):
 def sequence_forecast(spark, sf):
     """One-step predictions on the last tenth, in the original scale."""
     _, ranges, seqs = scaled_sequences(spark, sf)
-    table = op.materialise(splits.split_temporal(seqs, 0.1))
+    table = materialise(splits.split_temporal(seqs, 0.1))
     model = op.SequenceForecaster().fit(table.where("split = 'train'"))
     test = model.predict(table.where("split = 'test'"))
     return features.unscale(test, "p", ranges, into="pred").select("ts", r(TARGET), r("pred"))

@@ -22,7 +22,7 @@ def blend_sql(weight: float, steps: int = 48) -> str:
 
 @query("forecast_blend", " UNION ALL ".join(
     f"SELECT '{m}' AS model, * FROM ("
-    + q.sql(q.HOURS, blend_sql(w, 200), select="SELECT CAST(step AS INTEGER) AS step, ts, round(p, 6) AS p FROM fc") + ")"
+    + q.sql(q.HOURS, blend_sql(w, 200), select=f"SELECT CAST(step AS INTEGER) AS step, ts, {q.r('p', 6, 'p')} FROM fc") + ")"
     for m, w in op.WEEK_WEIGHT.items()))
 def forecast_blend(spark, sf):
     table, out = b.hourly_power(spark, sf), None
@@ -36,7 +36,7 @@ def forecast_blend(spark, sf):
     q.BY_TYPE, "h AS (SELECT series_id, ts, p, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS i, "
     "count(*) OVER (PARTITION BY series_id) AS n, max(ts) OVER (PARTITION BY series_id) AS e FROM typed WHERE p IS NOT NULL)",
     select=("SELECT w.series_id, CAST(s AS INTEGER) AS step, w.e + (s + 1) * INTERVAL 1 HOUR AS ts, "
-            "round(greatest(0, 0.5 * w.p + 0.5 * d.p), 6) AS p FROM (SELECT unnest(range(48)) AS s) "
+            f"{q.r('greatest(0, 0.5 * w.p + 0.5 * d.p)', 6, 'p')} FROM (SELECT unnest(range(48)) AS s) "
             "JOIN h w ON w.i = w.n - least(w.n, 168) + s % least(w.n, 168) "
             "JOIN h d ON d.i = d.n - least(d.n, 24) + s % least(d.n, 24) AND d.series_id = w.series_id")))
 def forecast_blend_by_series(spark, sf):
@@ -59,8 +59,8 @@ def forecast_summary(spark, sf):
 
 
 @query("forecast_band", q.sql(q.HOURS, blend_sql(0.5), "d AS (SELECT stddev_samp(p) AS d FROM hours)", select=(
-    "SELECT 'std' AS kind, ts, round(p - 1.96 * d, 6) AS lower, round(p + 1.96 * d, 6) AS upper FROM fc, d UNION ALL "
-    "SELECT 'percent', ts, round(p - p * 0.05, 6), round(p + p * 0.05, 6) FROM fc")))
+    f"SELECT 'std' AS kind, ts, {q.r('p - 1.96 * d', 6, 'lower')}, {q.r('p + 1.96 * d', 6, 'upper')} FROM fc, d UNION ALL "
+    f"SELECT 'percent', ts, {q.r('p - p * 0.05')}, {q.r('p + p * 0.05')} FROM fc")))
 def forecast_band(spark, sf):
     table = b.hourly_power(spark, sf)
     fc = op.blend(table, TARGET)
@@ -72,7 +72,7 @@ def forecast_band(spark, sf):
 
 @query("forecast_ensemble", q.sql(
     q.HOURS, blend_sql(0.5), blend_sql(0.4).replace("fc AS", "fl AS", 1),
-    select="SELECT fc.ts, round(0.4 * fc.p + 0.6 * fl.p, 6) AS p FROM fc JOIN fl ON fc.ts = fl.ts"))
+    select=f"SELECT fc.ts, {q.r('0.4 * fc.p + 0.6 * fl.p', 6, 'p')} FROM fc JOIN fl ON fc.ts = fl.ts"))
 def forecast_ensemble(spark, sf):
     table = b.hourly_power(spark, sf)
     parts = {m: op.blend(table, TARGET, m) for m in ("xgboost", "lstm")}

@@ -48,7 +48,7 @@ def dq_duplicates_by_series(spark, sf):
 
 
 @query("dq_missing_rule", q.sql(q.RAW, GAPPY_FIVE, select=(
-    f"SELECT round(({SHARE}) / 5, 6) AS missing_share, ({SHARE}) / 5 > 0.05 AS exceeded FROM five")))
+    f"SELECT {q.r(f'({SHARE}) / 5', 6, 'missing_share')}, ({SHARE}) / 5 > 0.05 AS exceeded FROM five")))
 def dq_missing_rule(spark, sf):
     return op.missing_rule(five(spark, sf), CHECKED).select(r("missing_share"), "exceeded")
 
@@ -104,11 +104,11 @@ def summary_kpis(spark, sf):
 
 
 @query("describe_numeric", q.sql(q.HOURLY, select=" UNION ALL ".join(
-    f"SELECT '{q.NAMES[c]}' AS \"column\", count({c}) AS count, {q.r(f'avg({c})', 4)} AS mean, "
-    f"{q.r(f'stddev_samp({c})', 4)} AS std, {q.r(f'min({c})', 4)} AS min, "
-    + ", ".join(f"{q.r(f'quantile_cont({c}, {p})', 4)} AS {a}" for p, a in
+    f"SELECT '{q.NAMES[c]}' AS \"column\", count({c}) AS count, round(avg({c}), 4) AS mean, "
+    f"round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, "
+    + ", ".join(f"round(quantile_cont({c}, {p}), 4) AS {a}" for p, a in
                 ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")))
-    + f", {q.r(f'max({c})', 4)} AS max FROM hourly" for c in q.COLS)))
+    + f", round(max({c}), 4) AS max FROM hourly" for c in q.COLS)))
 def describe_numeric(spark, sf):
     return op.describe(b.hourly(spark, sf), b.MEASURES)
 

@@ -24,5 +24,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r(name: str, digits: int = 6) -> Column:
-    """A column rounded under its own name, so both engines print the same digits."""
-    return F.round(F.col(name).cast("double"), digits).alias(name)
+    """A column rounded under its own name, so both engines print the same digits.
+
+    Means of decimal readings can lie exactly between two roundings, where the last bit
+    decides; the checking SQL shifts by the same small part of the last digit.
+    """
+    return F.round(F.col(name).cast("double") + 0.03 * 10.0 ** -digits, digits).alias(name)

@@ -57,15 +57,16 @@ def daily_orders(spark, sf):
     return b.daily_orders(spark, sf).select("ts", r(TARGET, 2))
 
 
-@query("resample_freq", """
-SELECT 'D' AS freq, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, round(avg(o_totalprice), 4) AS mean_price
-FROM orders GROUP BY 2
-UNION ALL
-SELECT 'M', last_day(o_orderdate)::TIMESTAMP, round(avg(o_totalprice), 4) FROM orders GROUP BY 2
-UNION ALL
-SELECT 'T', date_trunc('minute', ts)::TIMESTAMP, round(avg(value), 4) FROM events GROUP BY 2
-UNION ALL
-SELECT 'H', date_trunc('hour', ts)::TIMESTAMP, round(avg(value), 4) FROM events GROUP BY 2""")
+def mean_per(freq: str, bucket: str, value: str, table: str) -> str:
+    return (f"SELECT '{freq}' AS freq, {bucket}::TIMESTAMP AS ts, {q.r(f'avg({value})', 4, 'mean_price')} "
+            f"FROM {table} GROUP BY 2")
+
+
+@query("resample_freq", " UNION ALL ".join((
+    mean_per("D", "date_trunc('day', o_orderdate)", "o_totalprice", "orders"),
+    mean_per("M", "last_day(o_orderdate)", "o_totalprice", "orders"),
+    mean_per("T", "date_trunc('minute', ts)", "value", "events"),
+    mean_per("H", "date_trunc('hour', ts)", "value", "events"))))
 def resample_freq(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(
         F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("mean_price"))

@@ -60,7 +60,7 @@ def metrics_roundtrip(spark, sf):
 
 
 @query("forecast_export", q.sql(e.BACKTEST, select=(
-    "SELECT ts, round(y, 6) AS actual, round(w, 6) AS pred FROM done WHERE i >= n - 200")))
+    f"SELECT ts, {q.r('y', 6, 'actual')}, {q.r('w', 6, 'pred')} FROM done WHERE i >= n - 200")))
 def forecast_export(spark, sf):
     wide, _ = e.forecast.backtest(b.hourly_power(spark, sf), TARGET)
     forecast = wide.where("naive_day IS NOT NULL").select("ts", F.col("naive_week").alias("p"))

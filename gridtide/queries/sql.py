@@ -78,8 +78,8 @@ def sql(*ctes: str, select: str) -> str:
 
 
 def r(expr: str, digits: int = 6, alias: str | None = None) -> str:
-    """Rounded without a negative zero."""
-    out = f"round(CAST({expr} AS DOUBLE), {digits}) + 0.0::DOUBLE"
+    """Rounded as :func:`gridtide.queries.registry.r` does, without a negative zero."""
+    out = f"round(CAST({expr} AS DOUBLE) + {0.03 * 10.0 ** -digits!r}::DOUBLE, {digits}) + 0.0::DOUBLE"
     return f"{out} AS {alias}" if alias else out
 
 
