@@ -18,26 +18,22 @@ def calendar_parts(ts: Column) -> dict[str, Column]:
     }
 
 
-def weekend_flags(ts: Column) -> dict[str, Column]:
-    weekend = (F.weekday(ts) >= 5).cast("int")
-    return {"is_weekend": weekend, "is_weekday": 1 - weekend}
+def flags(hour: Column, dayofweek: Column, quarter: Column) -> dict[str, Column]:
+    """Flags from calendar parts that are columns already.
 
-
-def season(ts: Column) -> Column:
-    """0 for January to March, up to 3 for October to December."""
-    return F.quarter(ts) - 1
-
-
-def is_peak_hour(ts: Column) -> Column:
-    """Utility peak windows: hours 7 to 10 and 18 to 22."""
-    h = F.hour(ts)
-    return (h.between(7, 10) | h.between(18, 22)).cast("int")
+    Season is 0 for January to March, up to 3. Peak hours are 7 to 10 and 18 to 22.
+    """
+    return {
+        "is_weekend": (dayofweek >= 5).cast("int"),
+        "is_weekday": (dayofweek < 5).cast("int"),
+        "season": quarter - 1,
+        "is_peak_hour": (hour.between(7, 10) | hour.between(18, 22)).cast("int"),
+    }
 
 
-def cyclical(ts: Column) -> dict[str, Column]:
-    cycles = {"hour": (F.hour(ts), 24), "month": (F.month(ts), 12), "dow": (F.weekday(ts), 7)}
+def cyclical(hour: Column, month: Column, dayofweek: Column) -> dict[str, Column]:
     out = {}
-    for name, (part, period) in cycles.items():
+    for name, part, period in (("hour", hour, 24), ("month", month, 12), ("dow", dayofweek, 7)):
         angle = 2 * F.pi() * part / period
         out[f"{name}_sin"], out[f"{name}_cos"] = F.sin(angle), F.cos(angle)
     return out

@@ -25,7 +25,14 @@ def drop_sparse_rows(df: DataFrame, cols: Sequence[str], threshold: float = 0.5)
 
 
 def drop_null_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    return df.na.drop("any", subset=list(cols) if cols else None)
+    """Drop rows with a null in any of ``cols`` (all columns by default).
+
+    One condition per column: the optimizer pushes and infers each on its own, while a single
+    condition over many computed columns makes it enumerate their combinations.
+    """
+    for c in cols or df.columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:

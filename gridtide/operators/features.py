@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.functions.calendar import calendar_parts, cyclical, is_peak_hour, season, weekend_flags
+from gridtide.functions.calendar import calendar_parts, cyclical, flags
+from gridtide.operators.clean import drop_null_rows
 from gridtide.plans.chunks import CHUNK, attach, chunk_window, halo, own
 from gridtide.schemas import SUB_METERS, TARGET
 
@@ -18,13 +19,21 @@ SAME_TIME = ("occupancy_x_power", "peak_power")  # computed from the target of t
 
 
 def add_calendar(df: DataFrame, time: str = "ts") -> DataFrame:
-    ts = F.col(time)
-    return df.withColumns({**calendar_parts(ts), **weekend_flags(ts), "season": season(ts),
-                           "is_peak_hour": is_peak_hour(ts)})
+    """Calendar parts, then flags built on those columns.
+
+    Two steps on purpose: repeating a part's expression inside the flags would make the optimizer
+    enumerate every mix of column and expression when it infers filters for a later join.
+    """
+    parts = df.withColumns(calendar_parts(F.col(time)))
+    return parts.withColumns(flags(F.col("hour"), F.col("dayofweek"), F.col("quarter")))
 
 
 def add_cyclical(df: DataFrame, time: str = "ts") -> DataFrame:
-    return df.withColumns(cyclical(F.col(time)))
+    parts = calendar_parts(F.col(time))
+    need = {name: name if name in df.columns else f"_{name}" for name in ("hour", "month", "dayofweek")}
+    fresh = {c: parts[name] for name, c in need.items() if c != name}
+    wide = df.withColumns(fresh) if fresh else df
+    return wide.withColumns(cyclical(*[F.col(c) for c in need.values()])).drop(*fresh)
 
 
 def lag_columns(value: str, lags: Sequence[int], w) -> dict[str, Column]:
@@ -81,9 +90,14 @@ def add_interactions(df: DataFrame, value: str = TARGET, time: str = "ts") -> Da
 def feature_table(df: DataFrame, value: str = TARGET, *, lags: Sequence[int] = LAGS,
                   windows: Sequence[int] = WINDOWS, keys: Sequence[str] = (), time: str = "ts",
                   pos: str = "slot", size: int = CHUNK) -> DataFrame:
-    """All feature groups; rows with any null are dropped."""
+    """All feature groups; rows with any null are dropped.
+
+    The other groups are null only where an input is, so the drop comes right after the history
+    columns, before the optimizer would have to reason about derived expressions.
+    """
     history = add_history(df, value, lags=lags, windows=windows, keys=keys, pos=pos, size=size)
-    return add_interactions(add_cyclical(add_calendar(history, time), time), value, time).na.drop("any")
+    known = drop_null_rows(history)
+    return add_interactions(add_cyclical(add_calendar(known, time), time), value, time)
 
 
 def feature_columns(df: DataFrame, value: str = TARGET, *, leak_safe: bool = True,

@@ -1,7 +1,7 @@
 """Fitted forecasters on Spark ML.
 
-Fits are the only eager steps: they read a feature table that was written to the checkpoint
-folder once, and every pass over it is a distributed job. The seasonal model is a two-stage
+Fits are eager: pass a table that was written once (:func:`gridtide.session.materialise` or a
+processed table), and every pass over it is a distributed job. The seasonal model is a two-stage
 regression and the sequence model a robust linear one; both approximate the reference's
 likelihood and network fits and are not numerically equal to them.
 """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import metrics as m
 from gridtide.operators import evaluate as op
 from gridtide.operators import forecast, splits
+from gridtide.operators.clean import drop_null_rows
 from gridtide.queries import bindings as b
 from gridtide.queries import sql as q
 from gridtide.queries.registry import query, r
@@ -36,7 +37,7 @@ SCORED = (BACKTEST, "scored AS (SELECT model, " + ", ".join(f"round({EXPR[c]}, {
 def backtest(spark, sf):
     """Test rows of three forecasts, wide, on times all of them cover."""
     wide, models = forecast.backtest(b.hourly_power(spark, sf), TARGET)
-    known = wide.na.drop("any", subset=[TARGET, *models.values()])
+    known = drop_null_rows(wide, [TARGET, *models.values()])
     return splits.split_temporal(known).where("split = 'test'"), models
 
 

@@ -15,11 +15,15 @@ SMALL = {"maxIter": 8, "maxDepth": 4}  # fixture size; the operator's defaults a
 
 
 def filled_hours(spark, sf):
-    return clean.fill_missing(b.hourly_power(spark, sf), [TARGET])
+    return materialise(clean.fill_missing(b.hourly_power(spark, sf), [TARGET]))
+
+
+def feature_rows(spark, sf):
+    return features.feature_table(materialise(clean.fill_missing(b.hourly(spark, sf), b.MEASURES)))
 
 
 def labelled(spark, sf, val_ratio: float = 0.0):
-    table = features.feature_table(clean.fill_missing(b.hourly(spark, sf), b.MEASURES))
+    table = feature_rows(spark, sf)
     return materialise(splits.split_temporal(table, val_ratio=val_ratio))
 
 
@@ -46,7 +50,7 @@ def gbt_best_iteration(spark, sf):
 
 @query("gbt_cv")
 def gbt_cv(spark, sf):
-    table = features.feature_table(clean.fill_missing(b.hourly(spark, sf), b.MEASURES))
+    table = feature_rows(spark, sf)
     model = trees(table)
     model.params = {"maxIter": 3, "maxDepth": 3}
     return op.cross_validate(model, table)
@@ -92,13 +96,13 @@ def sarima_hr_fit(spark, sf):
 
 @query("sarima_hr_forecast")
 def sarima_hr_forecast(spark, sf):
-    table = materialise(filled_hours(spark, sf))
+    table = filled_hours(spark, sf)
     return op.SeasonalForecaster(TARGET).fit(table).forecast(table, 48).select("step", "ts", r("p"))
 
 
 @query("sarima_hr_fitted")
 def sarima_hr_fitted(spark, sf):
-    table = materialise(filled_hours(spark, sf))
+    table = filled_hours(spark, sf)
     return op.SeasonalForecaster(TARGET).fit(table).fitted(table).select("ts", r(TARGET), r("p"))
 
 
