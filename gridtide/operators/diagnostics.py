@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.operators.splits import tail
-from gridtide.plans.chunks import CHUNK, attach, chunk_window, halo, own, with_ordinal
+from gridtide.plans.chunks import CHUNK, attach, chunk_sql, chunk_window, halo, own, with_ordinal
 
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -132,8 +132,8 @@ def seasonal_decompose(df: DataFrame, value: str, period: int = 7, last: int | N
 
 
 def _melt(one: DataFrame, keys: Sequence[str], names: dict[int, str], label: str, value: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(k).alias(label), F.col(c).alias(value)) for k, c in names.items()])
-    return one.select(*keys, F.explode(pairs).alias("_e")).select(*keys, "_e.*")
+    pairs = ", ".join(f"struct({k} AS {label}, {c} AS {value})" for k, c in names.items())
+    return one.selectExpr(*keys, f"inline(array({pairs}))")
 
 
 def acf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
@@ -142,13 +142,12 @@ def acf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
     cut = _last_known(df, value, last, keys, pos).select(*keys, "ord", F.col(value).alias("_x"))
     mean = cut.groupBy(*keys).agg(F.avg("_x").alias("_mean"))
     centred = attach(cut, mean, keys).withColumn("_x", F.col("_x") - F.col("_mean"))
-    w = chunk_window(keys, "ord")
-    wide = halo(centred, "ord", lags, size=size).select(
-        *keys, "ord", "_chunk", "_x", *[F.lag("_x", k).over(w).alias(f"_l{k}") for k in range(1, lags + 1)])
-    base = F.sum(F.col("_x") * F.col("_x"))
+    over = chunk_sql(keys, "ord")
+    wide = halo(centred, "ord", lags, size=size).selectExpr(
+        *keys, "ord", "_chunk", "_x", *[f"lag(_x, {k}) OVER ({over}) AS _l{k}" for k in range(1, lags + 1)])
     one = own(wide, "ord", size).groupBy(*keys).agg(
         F.lit(1.0).alias("_r0"),
-        *[F.try_divide(F.coalesce(F.sum(F.col("_x") * F.col(f"_l{k}")), F.lit(0.0)), base).alias(f"_r{k}")
+        *[F.expr(f"try_divide(coalesce(sum(_x * _l{k}), 0D), sum(_x * _x)) AS _r{k}")
           for k in range(1, lags + 1)])
     return _melt(one, keys, {k: f"_r{k}" for k in range(lags + 1)}, "lag", "acf")
 
@@ -192,9 +191,9 @@ TABLE_LAGS = (1, 2, 6, 12, 24, 48, 168)
 def lag_autocorrelation(df: DataFrame, value: str, lags: Sequence[int] = TABLE_LAGS, *,
                         keys: Sequence[str] = (), pos: str = "slot", size: int = CHUNK) -> DataFrame:
     """Pearson correlation of the series with its own lags, means taken per overlap."""
-    w = chunk_window(keys, pos)
-    wide = halo(df.select(*keys, pos, value), pos, max(lags), size=size).select(
-        "*", *[F.lag(value, k).over(w).alias(f"_l{k}") for k in lags])
+    over = chunk_sql(keys, pos)
+    wide = halo(df.select(*keys, pos, value), pos, max(lags), size=size).selectExpr(
+        "*", *[f"lag(`{value}`, {k}) OVER ({over}) AS _l{k}" for k in lags])
     one = own(wide, pos, size).groupBy(*keys).agg(
         *[F.corr(value, f"_l{k}").alias(f"_r{k}") for k in lags])
     return _melt(one, keys, {k: f"_r{k}" for k in lags}, "lag", "autocorr")

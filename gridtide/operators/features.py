@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import calendar_parts, cyclical, flags
 from gridtide.operators.clean import drop_null_rows
-from gridtide.plans.chunks import CHUNK, attach, chunk_window, halo, own
+from gridtide.plans.chunks import CHUNK, attach, chunk_sql, chunk_window, halo, own
 from gridtide.schemas import SUB_METERS, TARGET
 
 # Default lags and rolling windows, in steps.
@@ -36,18 +36,14 @@ def add_cyclical(df: DataFrame, time: str = "ts") -> DataFrame:
     return wide.withColumns(cyclical(*[F.col(c) for c in need.values()])).drop(*fresh)
 
 
-def lag_columns(value: str, lags: Sequence[int], w) -> dict[str, Column]:
-    return {f"{value}_lag_{k}": F.lag(value, k).over(w) for k in lags}
-
-
-def rolling_columns(value: str, windows: Sequence[int], w) -> dict[str, Column]:
-    """Statistics of the previous rows, null unless all of them are known."""
-    out = {}
+def history_sql(value: str, lags: Sequence[int], windows: Sequence[int], over: str) -> list[str]:
+    """Window expressions over ``over``; rolling ones need all their previous rows known."""
+    out = [f"lag(`{value}`, {k}) OVER ({over}) AS `{value}_lag_{k}`" for k in lags]
     for n in windows:
-        frame = w.rowsBetween(-n, -1)
-        full = F.count(value).over(frame) == n
-        for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-            out[f"{value}_roll_{name}_{n}"] = F.when(full, agg(value).over(frame))
+        frame = f"OVER ({over} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        out += [f"CASE WHEN count(`{value}`) {frame} = {n} THEN {agg}(`{value}`) {frame} END "
+                f"AS `{value}_roll_{name}_{n}`"
+                for name, agg in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))]
     return out
 
 
@@ -55,11 +51,8 @@ def add_history(df: DataFrame, value: str = TARGET, *, lags: Sequence[int] = (),
                 windows: Sequence[int] = (), keys: Sequence[str] = (), pos: str = "slot",
                 size: int = CHUNK) -> DataFrame:
     """Lag and rolling columns from one halo shuffle and one sort; ``pos`` must be dense."""
-    reach = max([*lags, *windows])
-    w = chunk_window(keys, pos)
-    wide = halo(df, pos, reach, size=size).select(
-        "*", *[c.alias(name) for name, c in
-               (lag_columns(value, lags, w) | rolling_columns(value, windows, w)).items()])
+    columns = history_sql(value, lags, windows, chunk_sql(keys, pos))
+    wide = halo(df, pos, max([*lags, *windows]), size=size).selectExpr("*", *columns)
     return own(wide, pos, size)
 
 
@@ -140,9 +133,10 @@ def sequences(df: DataFrame, value: str, look_back: int = 24, *, keys: Sequence[
               pos: str = "slot", size: int = CHUNK) -> DataFrame:
     """The previous ``look_back`` values as an array in time order, with the value as ``y``."""
     frame = chunk_window(keys, pos).rowsBetween(-look_back, -1)
-    wide = halo(df, pos, look_back, size=size).withColumn("x", F.collect_list(value).over(frame))
-    return own(wide, pos, size).where(
-        (F.size("x") == look_back) & F.col(value).isNotNull()).withColumn("y", F.col(value))
+    others = [c for c in df.columns if c not in ("x", "y")]
+    wide = halo(df, pos, look_back, size=size).select(
+        *others, "_chunk", F.collect_list(value).over(frame).alias("x"), F.col(value).alias("y"))
+    return own(wide, pos, size).where((F.size("x") == look_back) & F.col("y").isNotNull())
 
 
 def value_range(df: DataFrame, value: str, *, keys: Sequence[str] = ()) -> DataFrame:

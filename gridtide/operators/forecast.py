@@ -44,9 +44,8 @@ def blend(df: DataFrame, value: str, model: str = "xgboost", steps: int = 48, *,
     v = weight * last_week + (1 - weight) * last_day
     if noise:
         v = v + noise * F.abs(v) * _normal(seed, *[F.col(k) for k in keys], F.col("step"))
-    slot = F.col("_end") + 1 + F.col("step")
-    return ahead.select(*keys, "step", slot_time(slot, freq).alias("ts"),
-                        F.greatest(F.lit(0.0), v).alias("p"))
+    placed = ahead.withColumns({"p": F.greatest(F.lit(0.0), v), "_slot": F.col("_end") + 1 + F.col("step")})
+    return placed.select(*keys, "step", slot_time("_slot", freq).alias("ts"), "p")
 
 
 def with_context(df: DataFrame, value: str, forecast: DataFrame, *, last: int = 48,

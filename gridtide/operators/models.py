@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridtide.operators.splits import tail
-from gridtide.plans.chunks import CHUNK, chunk_window, halo, own, with_ordinal
+from gridtide.plans.chunks import CHUNK, chunk_sql, halo, own, with_ordinal
 from gridtide.plans.slots import slot_time
 from gridtide.session import materialise
 
@@ -139,10 +139,10 @@ def cross_validate(forecaster: TreeForecaster, df: DataFrame, folds: int = 5, *,
 def _lagged(df: DataFrame, cols: Mapping[str, tuple[str, Sequence[int]]], pos: str = "slot",
             keys: Sequence[str] = (), size: int = CHUNK) -> DataFrame:
     """Add ``<prefix><k>`` lag columns for several source columns in one window pass."""
-    w = chunk_window(keys, pos)
+    over = chunk_sql(keys, pos)
     reach = max(k for _, lags in cols.values() for k in lags)
-    wide = halo(df, pos, reach, size=size).select(
-        "*", *[F.lag(c, k).over(w).alias(f"{prefix}{k}") for prefix, (c, lags) in cols.items()
+    wide = halo(df, pos, reach, size=size).selectExpr(
+        "*", *[f"lag(`{c}`, {k}) OVER ({over}) AS `{prefix}{k}`" for prefix, (c, lags) in cols.items()
                for k in lags])
     return own(wide, pos, size)
 
@@ -266,24 +266,29 @@ class SeasonalForecaster:
             return pd.DataFrame(out, columns=["step", "slot", "p"])
 
         steps_df = recent.groupBy().applyInPandas(ahead, "step long, slot long, p double")
-        return steps_df.select("step", slot_time(F.col("slot"), freq).alias("ts"), "p")
+        return steps_df.select("step", slot_time("slot", freq).alias("ts"), "p")
 
 
 # ---------------------------------------------------------------- sequence model
 
 @dataclass
 class SequenceForecaster:
-    """Next value from the last ``look_back`` values, with Huber loss."""
+    """Next value from the last ``look_back`` values, with Huber loss.
+
+    A little ridge keeps the weights small when neighbouring values are nearly collinear, so that
+    feeding predictions back stays stable.
+    """
 
     look_back: int = 24
     max_iter: int = 50
+    ridge: float = 1e-4
     model: LinearRegressionModel | None = None
 
     def fit(self, seqs: DataFrame) -> "SequenceForecaster":
         """Fit on rows with an array ``x`` and a value ``y``."""
         data = seqs.select(array_to_vector("x").alias("features"), "y")
         self.model = LinearRegression(featuresCol="features", labelCol="y", predictionCol="p",
-                                      loss="huber", maxIter=self.max_iter).fit(data)
+                                      loss="huber", maxIter=self.max_iter, regParam=self.ridge).fit(data)
         return self
 
     def predict(self, seqs: DataFrame) -> DataFrame:
@@ -320,7 +325,7 @@ class SequenceForecaster:
 
         schema = T.StructType([df.schema[k] for k in keys]).add("step", "long").add("slot", "long").add("p", "double")
         steps_df = recent.select(*keys, pos, value).groupBy(*keys).applyInPandas(ahead, schema)
-        return steps_df.select(*keys, "step", slot_time(F.col("slot"), freq).alias("ts"), "p")
+        return steps_df.select(*keys, "step", slot_time("slot", freq).alias("ts"), "p")
 
     def save(self, path: str) -> None:
         if self.model is None:

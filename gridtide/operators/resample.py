@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.plans.chunks import CHUNK, chunk_of
+from gridtide.plans.chunks import CHUNK
 from gridtide.plans.slots import slot_of, slot_time
 from gridtide.schemas import SUB_METERS
 
@@ -19,21 +19,17 @@ def ticks(extents: DataFrame, keys: Sequence[str], size: int = CHUNK) -> DataFra
     series never unfold inside one task.
     """
     spread = max(extents.sparkSession.sparkContext.defaultParallelism, 1)
-    chunks = extents.select(
-        *keys, "lo", "hi",
-        F.explode(F.sequence(chunk_of(F.col("lo"), size), chunk_of(F.col("hi"), size))).alias("_chunk"),
+    chunks = extents.selectExpr(
+        *keys, "lo", "hi", f"explode(sequence(floor(lo / {size}), floor(hi / {size}))) AS _chunk",
     ).repartition(spread, *keys, "_chunk")
-    first, last = F.col("_chunk") * size, F.col("_chunk") * size + (size - 1)
-    return chunks.select(
-        *keys,
-        F.explode(F.sequence(F.greatest("lo", first), F.least("hi", last))).alias("slot"),
-    )
+    first, last = f"greatest(lo, _chunk * {size})", f"least(hi, _chunk * {size} + {size - 1})"
+    return chunks.selectExpr(*keys, f"explode(sequence({first}, {last})) AS slot")
 
 
 def extents(df: DataFrame, freq: str, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
     """First and last slot (``lo``, ``hi``) of each series."""
     ends = df.groupBy(*keys).agg(F.min(time).alias("_a"), F.max(time).alias("_z")).where("_a IS NOT NULL")
-    return ends.select(*keys, slot_of(F.col("_a"), freq).alias("lo"), slot_of(F.col("_z"), freq).alias("hi"))
+    return ends.select(*keys, slot_of("_a", freq).alias("lo"), slot_of("_z", freq).alias("hi"))
 
 
 def resample(df: DataFrame, freq: str, *, keys: Sequence[str] = (), means: Sequence[str] = (),
@@ -50,7 +46,7 @@ def resample(df: DataFrame, freq: str, *, keys: Sequence[str] = (), means: Seque
         raise ValueError(f"unknown empty_sum {empty_sum!r}")
     measures = [*means, *sums]
     rows = df.where(F.col(time).isNotNull()).select(
-        *keys, slot_of(F.col(time), freq).alias("slot"), *measures)
+        *keys, slot_of(time, freq).alias("slot"), *measures)
     if grid:
         rows = rows.unionByName(ticks(extents(df if span is None else span, freq, keys, time), keys),
                                 allowMissingColumns=True)
@@ -61,9 +57,9 @@ def resample(df: DataFrame, freq: str, *, keys: Sequence[str] = (), means: Seque
     exprs = {c: F.avg(c).alias(c) for c in means} | {c: total(c).alias(c) for c in sums}
     if not exprs:
         return rows.select(*keys, "slot").distinct().select(
-            *keys, "slot", slot_time(F.col("slot"), freq).alias("ts"))
+            *keys, "slot", slot_time("slot", freq).alias("ts"))
     stepped = rows.groupBy(*keys, "slot").agg(*[exprs[c] for c in measures])
-    return stepped.select(*keys, "slot", slot_time(F.col("slot"), freq).alias("ts"), *measures)
+    return stepped.select(*keys, "slot", slot_time("slot", freq).alias("ts"), *measures)
 
 
 def resample_hourly(df: DataFrame, measures: Sequence[str], *, keys: Sequence[str] = (),
@@ -85,7 +81,7 @@ def resample_daily(df: DataFrame, measures: Sequence[str], *, keys: Sequence[str
 def time_grid(df: DataFrame, freq: str, *, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
     """Every step from the first to the last reading of each series."""
     grid = ticks(extents(df, freq, keys, time), keys)
-    return grid.select(*keys, "slot", slot_time(F.col("slot"), freq).alias("ts"))
+    return grid.select(*keys, "slot", slot_time("slot", freq).alias("ts"))
 
 
 def daily_mean(df: DataFrame, value: str, *, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:

@@ -27,26 +27,30 @@ CHUNK = 4096         # grid steps: 170 days of hours
 ROW_CHUNK = 1 << 18  # raw rows: keeps the per-chunk table small on very long series
 
 
-def chunk_of(pos: Column, size: int = CHUNK) -> Column:
-    return F.floor(pos / F.lit(size))
+def chunk_of(pos: str, size: int = CHUNK) -> Column:
+    return F.expr(f"floor(`{pos}` / {size})")
 
 
 def halo(df: DataFrame, pos: str, before: int, after: int = 0, size: int = CHUNK) -> DataFrame:
     """Give every row to each chunk whose frames reach it (column ``_chunk``)."""
-    p = F.col(pos)
-    reach = F.sequence(chunk_of(p - after, size), chunk_of(p + before, size))
-    return df.withColumn("_chunk", F.explode(reach))
+    reach = f"sequence(floor((`{pos}` - {after}) / {size}), floor((`{pos}` + {before}) / {size}))"
+    return df.selectExpr("*", f"explode({reach}) AS _chunk")
 
 
 def own(df: DataFrame, pos: str, size: int = CHUNK) -> DataFrame:
     """Drop the copies made by :func:`halo`."""
-    return df.where(F.col("_chunk") == chunk_of(F.col(pos), size)).drop("_chunk")
+    return df.where(f"_chunk = floor(`{pos}` / {size})").drop("_chunk")
 
 
 def chunk_window(keys: Sequence[str], pos: str) -> Window:
     return Window.partitionBy(*keys, "_chunk").orderBy(pos)
 
 
+def chunk_sql(keys: Sequence[str], pos: str) -> str:
+    """:func:`chunk_window` as SQL text, for many expressions at once."""
+    return f"PARTITION BY {', '.join(f'`{k}`' for k in (*keys, '_chunk'))} ORDER BY `{pos}`"
+
+
 def attach(df: DataFrame, per_series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add per-series values to every row.
 
@@ -63,7 +67,7 @@ def attach(df: DataFrame, per_series: DataFrame, keys: Sequence[str]) -> DataFra
 def with_ordinal(df: DataFrame, keys: Sequence[str], pos: str = "slot",
                  size: int = CHUNK) -> DataFrame:
     """Add ``ord`` (0-based row number by ``pos``) and ``rows`` (row count) per series."""
-    chunked = df.withColumn("_chunk", chunk_of(F.col(pos), size))
+    chunked = df.withColumn("_chunk", chunk_of(pos, size))
     counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     series = Window.partitionBy(*keys)
     earlier = series.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -125,32 +129,27 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], po
     (a frame that ends at the partition's end would be recomputed for every row); values from
     other chunks come from a table with one row per series and chunk.
     """
-    chunked = df.withColumn("_chunk", chunk_of(F.col(pos), size))
+    chunked = df.withColumn("_chunk", chunk_of(pos, size))
 
-    def known(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(),
-                      F.struct(F.col(pos).alias("at"), F.col(c).cast("double").alias("v")))
+    def known(c: str) -> str:
+        return f"CASE WHEN `{c}` IS NOT NULL THEN struct(`{pos}` AS at, CAST(`{c}` AS DOUBLE) AS v) END"
 
+    by = ", ".join(f"`{k}`" for k in keys)
+    series = f"PARTITION BY {by}" if keys else ""
     edges = chunked.groupBy(*keys, "_chunk").agg(
-        *[F.max(known(c)).alias(f"_last_{c}") for c in cols],
-        *[F.min(known(c)).alias(f"_first_{c}") for c in cols],
+        *[F.expr(f"max({known(c)}) AS `_last_{c}`") for c in cols],
+        *[F.expr(f"min({known(c)}) AS `_first_{c}`") for c in cols],
     )
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    left = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    right = Window.partitionBy(*keys).orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
-    carry = edges.select(
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    carry = edges.selectExpr(
         *keys, "_chunk",
-        *[F.last(f"_last_{c}", ignorenulls=True).over(left).alias(f"_left_{c}") for c in cols],
-        *[F.last(f"_first_{c}", ignorenulls=True).over(right).alias(f"_right_{c}") for c in cols],
+        *[f"last(`_last_{c}`, true) OVER ({series} ORDER BY _chunk {before}) AS `_left_{c}`" for c in cols],
+        *[f"last(`_first_{c}`, true) OVER ({series} ORDER BY _chunk DESC {before}) AS `_right_{c}`" for c in cols],
     )
-    upto = chunk_window(keys, pos).rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(pos)).rowsBetween(Window.unboundedPreceding, 0)
-    joined = chunked.join(carry, [*keys, "_chunk"])
-    out = joined.select(
-        *df.columns,
-        *[F.coalesce(F.last(known(c), ignorenulls=True).over(upto), F.col(f"_left_{c}"))
-          .alias(f"_prev_{c}") for c in cols],
-        *[F.coalesce(F.last(known(c), ignorenulls=True).over(back), F.col(f"_right_{c}"))
-          .alias(f"_next_{c}") for c in cols],
+    upto = f"OVER ({chunk_sql(keys, pos)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    back = f"OVER ({chunk_sql(keys, pos)} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return chunked.join(carry, [*keys, "_chunk"]).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"coalesce(last({known(c)}, true) {upto}, `_left_{c}`) AS `_prev_{c}`" for c in cols],
+        *[f"coalesce(last({known(c)}, true) {back}, `_right_{c}`) AS `_next_{c}`" for c in cols],
     )
-    return out

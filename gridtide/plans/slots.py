@@ -22,31 +22,27 @@ def unit_of(freq: str) -> str:
     return unit
 
 
-def epoch_day(ts: Column) -> Column:
-    return F.unix_date(F.to_date(ts)).cast("long")
-
-
-def epoch_seconds(ts: Column) -> Column:
-    return epoch_day(ts) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-
-
-def slot_of(ts: Column, freq: str) -> Column:
-    unit = unit_of(freq)
-    if unit == "day":
-        return epoch_day(ts)
-    if unit == "hour":
-        return epoch_day(ts) * 24 + F.hour(ts)
-    if unit == "minute":
-        return epoch_day(ts) * 1440 + F.hour(ts) * 60 + F.minute(ts)
-    return ((F.year(ts) - 1970) * 12 + F.month(ts) - 1).cast("long")
-
-
-def slot_time(slot: Column, freq: str) -> Column:
-    """Label of a slot: its start, or the last day for a month."""
-    unit = unit_of(freq)
-    if unit == "month":
-        first = F.add_months(F.lit("1970-01-01").cast("date"), slot.cast("int"))
-        return F.last_day(first).cast("timestamp_ntz")
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    part = {"day": "days", "hour": "hours", "minute": "mins"}[unit]
-    return origin + F.make_dt_interval(**{part: slot.cast("int")})
+def epoch_seconds(ts: str) -> Column:
+    return F.expr(f"unix_date(to_date(`{ts}`)) * 86400L + hour(`{ts}`) * 3600 + minute(`{ts}`) * 60 + second(`{ts}`)")
+
+
+def slot_of(ts: str, freq: str) -> Column:
+    """Slot of a timestamp column."""
+    day = f"unix_date(to_date(`{ts}`))"
+    return F.expr({
+        "day": f"CAST({day} AS BIGINT)",
+        "hour": f"{day} * 24L + hour(`{ts}`)",
+        "minute": f"{day} * 1440L + hour(`{ts}`) * 60 + minute(`{ts}`)",
+        "month": f"(year(`{ts}`) - 1970) * 12L + month(`{ts}`) - 1",
+    }[unit_of(freq)])
+
+
+def slot_time(slot: str, freq: str) -> Column:
+    """Label of a slot column: its start, or the last day for a month."""
+    n, origin = f"CAST(`{slot}` AS INT)", "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+    return F.expr({
+        "day": f"{origin} + make_dt_interval({n})",
+        "hour": f"{origin} + make_dt_interval(0, {n})",
+        "minute": f"{origin} + make_dt_interval(0, 0, {n})",
+        "month": f"CAST(last_day(add_months(DATE'1970-01-01', {n})) AS TIMESTAMP_NTZ)",
+    }[unit_of(freq)])

@@ -65,7 +65,7 @@ def fill_missing_by_series(spark, sf):
 def fill_missing_by_time(spark, sf):
     """Readings per second, held for ten minutes and then drawn to the next one."""
     from gridtide.plans.slots import epoch_seconds
-    rows = b.gappy_raw(spark, sf).groupBy(epoch_seconds(F.col("ts")).alias("seconds")).agg(
+    rows = b.gappy_raw(spark, sf).groupBy(epoch_seconds("ts").alias("seconds")).agg(
         F.avg(TARGET).alias(TARGET))
     return op.fill_missing_by_time(rows, [TARGET], hold_seconds=600).select("seconds", r(TARGET))
 
