@@ -26,6 +26,11 @@ def ticks(extents: DataFrame, keys: Sequence[str], size: int = CHUNK) -> DataFra
     return chunks.selectExpr(*keys, f"explode(sequence({first}, {last})) AS slot")
 
 
+def series_key(name: str) -> Column:
+    """A key column that fails on null: joins on it would lose those rows silently."""
+    return F.expr(f"coalesce(`{name}`, raise_error('series key {name} is null'))").alias(name)
+
+
 def extents(df: DataFrame, freq: str, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
     """First and last slot (``lo``, ``hi``) of each series."""
     ends = df.groupBy(*keys).agg(F.min(time).alias("_a"), F.max(time).alias("_z")).where("_a IS NOT NULL")
@@ -46,7 +51,7 @@ def resample(df: DataFrame, freq: str, *, keys: Sequence[str] = (), means: Seque
         raise ValueError(f"unknown empty_sum {empty_sum!r}")
     measures = [*means, *sums]
     rows = df.where(F.col(time).isNotNull()).select(
-        *keys, slot_of(time, freq).alias("slot"), *measures)
+        *[series_key(k) for k in keys], slot_of(time, freq).alias("slot"), *measures)
     if grid:
         rows = rows.unionByName(ticks(extents(df if span is None else span, freq, keys, time), keys),
                                 allowMissingColumns=True)

@@ -92,7 +92,7 @@ def stage_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """
     spark = df.sparkSession
     checkpoint_root(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return (
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)

@@ -208,3 +208,15 @@ def test_validation_reports(spark):
     rules = {r["rule"]: r["n"] for r in quality.validate(df, ["Voltage"], expected=["Voltage"]).collect()}
     assert rules == {"duplicate_timestamps": 1, "missing_share": 1}
     assert quality.validate(df.limit(1), ["Voltage"], expected=["Voltage"]).count() == 0
+
+
+def test_describe_approximately(series):
+    df = series(range(101))
+    exact, rough = quality.describe(df, ["x"]).first(), quality.describe(df, ["x"], accuracy=1000).first()
+    assert exact == rough and (exact["p25"], exact["p50"], exact["count"]) == (25, 50, 101)
+
+
+def test_null_series_key_fails(spark):
+    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, CAST(NULL AS STRING) AS k, 1D AS x")
+    with pytest.raises(Exception, match="series key k is null"):
+        resample(df, "H", keys=["k"], means=["x"], grid=False).collect()
