@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridtide.operators.quality import series_stats
 from gridtide.operators.resample import resample_daily, resample_hourly
-from gridtide.plans.chunks import CHUNK, ROW_CHUNK, attach, known_neighbours, with_row_ordinal
+from gridtide.plans.chunks import CHUNK, attach, known_neighbours, row_chunk, with_row_ordinal
 from gridtide.schemas import TARGET
 from gridtide.session import materialise
 
@@ -127,12 +127,13 @@ def clean_raw(df: DataFrame, measures: Sequence[str], *, freq: str = "H", value:
     Drop sparse rows, fill, remove outliers, resample, fill again. Fills count rows, so the
     readings get their global row order first; ``tie`` orders rows of equal time. Every step
     reads its input more than once, so the ordered, filled and resampled rows are each written
-    to the checkpoint folder: this operator runs jobs when called.
+    to the shared folder: this operator runs jobs when called.
     """
     rows = drop_sparse_rows(df, measures).select(*keys, time, *tie, *measures)
-    ordered = with_row_ordinal(rows, keys, [time, *tie]).drop("rows", *tie)
-    filled = materialise(fill_missing(ordered, measures, keys=keys, pos="ord", size=ROW_CHUNK))
-    smooth = remove_outliers(filled, value, keys=keys, pos="ord", size=ROW_CHUNK)
+    ordered = with_row_ordinal(rows, keys, [time, *tie])
+    size = row_chunk(ordered)
+    filled = materialise(fill_missing(ordered.drop("rows", *tie), measures, keys=keys, pos="ord", size=size))
+    smooth = remove_outliers(filled, value, keys=keys, pos="ord", size=size)
     step = resample_hourly if freq == "H" else resample_daily
     stepped = materialise(step(smooth, measures, keys=keys, time=time, span=filled))
     return fill_missing(stepped, measures, keys=keys)

@@ -23,11 +23,10 @@ def mean_null_share(cols: Sequence[str]) -> Column:
 
 
 def missing_columns(df: DataFrame, expected: Sequence[str] = RAW_MEASURES) -> DataFrame:
-    """One issue row per expected column the table lacks."""
-    absent = [(c,) for c in expected if c not in df.columns]
-    return df.sparkSession.createDataFrame(absent, "column string").select(
-        F.lit("missing_column").alias("rule"), F.col("column").alias("detail"),
-        F.lit(1).cast("long").alias("n"))
+    """One issue row per expected column the table lacks, with the number of rows without it."""
+    absent = F.array(*[F.lit(c) for c in expected if c not in df.columns]).cast("array<string>")
+    return df.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit("missing_column").alias("rule"), F.explode(absent).alias("detail"), "n")
 
 
 def duplicate_timestamps(df: DataFrame, *, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:

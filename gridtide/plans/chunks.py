@@ -21,10 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.session import checkpoint_root
+from gridtide.session import materialise
 
 CHUNK = 4096         # grid steps: 170 days of hours
-ROW_CHUNK = 1 << 18  # raw rows: keeps the per-chunk table small on very long series
+ROW_CHUNK = 1 << 14  # raw rows; grows with the series, see row_chunk
+MAX_CHUNKS = 1_000_000
 
 
 def chunk_of(pos: str, size: int = CHUNK) -> Column:
@@ -83,23 +84,24 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], pos: str = "slot",
     )
 
 
+def row_chunk(ordered: DataFrame) -> int:
+    """Chunk size for a table from :func:`with_row_ordinal`: at most a million chunks per series."""
+    longest = ordered.agg(F.max("rows")).first()[0] or 0
+    return max(ROW_CHUNK, -(-longest // MAX_CHUNKS))
+
+
 def stage_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-partition and sort by ``order``, numbering partitions (``_part``) and rows.
 
     The range split samples the full order tuple, so one hot series spreads over many
-    partitions. The numbering depends on the physical layout, so the result is
-    checkpointed: a lost executor cannot change it afterwards.
+    partitions. The numbering depends on the physical layout, so the result is written to the
+    shared folder: a lost executor cannot change it afterwards.
     """
     spark = df.sparkSession
-    checkpoint_root(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return (
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_row", F.monotonically_increasing_id())
-        .checkpoint()
-    )
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return materialise(ordered.withColumns(
+        {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "sorted")
 
 
 def with_row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

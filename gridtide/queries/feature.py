@@ -121,7 +121,19 @@ def feature_table(spark, sf):
     return op.feature_table(b.hourly(spark, sf)).select("ts", *[r(c) for c in ALL_FLOAT], *CAL)
 
 
-@query("feature_catalog")
+GROUPS = ([(c, "other", c in ("temperature_c", "occupancy")) for c in list(q.NAMES.values())[1:]]
+          + [(c, "lag", True) for c in LAGS] + [(c, "rolling", True) for c in ROLL]
+          + [(c, "calendar" if c in ("hour", "dayofweek", "month") else "other", True)
+             for c in ("hour", "dayofweek", "day", "month", "quarter", "year", "dayofyear")]
+          + [(c, "other" if c == "is_weekday" else "calendar", True)
+             for c in ("is_weekend", "is_weekday", "season", "is_peak_hour")]
+          + [(c, "cyclical", True) for c in CYC] + [(c, "other", True) for c in DEGREE]
+          + [(c, "other", False) for c in LOAD])
+
+
+@query("feature_catalog", FEATURES + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS position, '{g}' AS feature_group, {str(safe).lower()} AS leak_safe, "
+    f"count({c}) AS known_rows FROM feats" for i, (c, g, safe) in enumerate(GROUPS)))
 def feature_catalog(spark, sf):
     return op.feature_catalog(op.feature_table(b.hourly(spark, sf)))
 

@@ -24,9 +24,11 @@ def five(spark, sf):
     return raw.withColumn(TARGET, F.when(k >= 10, F.col(TARGET))).select("ts", *CHECKED)
 
 
-@query("dq_columns", "SELECT * FROM (VALUES ('missing_column', 'Global_reactive_power', 1::BIGINT), "
-       "('missing_column', 'Voltage', 1::BIGINT), ('missing_column', 'Global_intensity', 1::BIGINT)) "
-       "v(rule, detail, n)")
+ABSENT = ("SELECT 'missing_column' AS rule, c AS detail, (SELECT count(*) FROM events) AS n FROM "
+          "(VALUES ('Global_reactive_power'), ('Voltage'), ('Global_intensity')) v(c)")
+
+
+@query("dq_columns", ABSENT)
 def dq_columns(spark, sf):
     return op.missing_columns(b.meter_raw(spark, sf), RAW_MEASURES)
 
@@ -61,8 +63,7 @@ def dq_missing_table(spark, sf):
 
 
 @query("dq_report", q.sql(q.RAW, GAPPY_FIVE, select=(
-    "SELECT 'missing_column' AS rule, c AS detail, 1::BIGINT AS n FROM "
-    "(VALUES ('Global_reactive_power'), ('Voltage'), ('Global_intensity')) v(c) UNION ALL "
+    ABSENT + " UNION ALL "
     "SELECT 'duplicate_timestamps', 'ts', n FROM (SELECT count(*) - count(DISTINCT ts) AS n FROM five) WHERE n > 0 "
     f"UNION ALL SELECT 'missing_share', '> 0.05', n FROM (SELECT ({SHARE}) / 5 AS s, "
     + " + ".join(f"(count(*) - count({c}))" for c in FIVE) + " AS n FROM five) WHERE s > 0.05")))

@@ -54,7 +54,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder, for results that several jobs or branches read."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write once to the shared folder and read back, for results that several branches read.
+
+    A table rather than ``checkpoint()``: it computes the rows once instead of twice, and later
+    reads take only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
