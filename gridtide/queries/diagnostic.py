@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.operators import diagnostics as op
-from gridtide.operators import features
 from gridtide.queries import bindings as b
 from gridtide.queries import feature as fq
 from gridtide.queries import sql as q
@@ -128,7 +127,7 @@ CORRELATED = ("Sub_metering_1", "Sub_metering_2", "Sub_metering_3", "temperature
 @query("feature_correlation", fq.FEATURES + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {q.r(f'corr({c}, {TARGET})', 6, 'corr')} FROM feats" for c in CORRELATED))
 def feature_correlation(spark, sf):
-    table = features.feature_table(b.hourly(spark, sf))
+    table = fq.filled_features(spark, sf)
     return op.correlation(table, TARGET, CORRELATED).select("feature", r("corr"))
 
 

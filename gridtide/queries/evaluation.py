@@ -28,7 +28,8 @@ K = "max(CASE model WHEN 'naive_week' THEN 24 WHEN 'blend' THEN 50 ELSE 1 END)"
 EXPR = {"MAE": "avg(abs(y - p))", "RMSE": "sqrt(avg((y - p) * (y - p)))",
         "MAPE": "100 * avg(abs(y - p) / greatest(abs(y), 1e-8))",
         "SMAPE": "100 * avg(abs(y - p) / greatest((abs(y) + abs(p)) / 2, 1e-8))", "R2": f"1 - {SSE} / {SST}",
-        "Adj_R2": f"1 - ({SSE} / {SST}) * (count(y) - 1) / (count(y) - {K} - 1)"}
+        "Adj_R2": f"CASE WHEN count(y) <= {K} + 1 THEN 1 - {SSE} / {SST} "
+                  f"ELSE 1 - ({SSE} / {SST}) * (count(y) - 1) / (count(y) - {K} - 1) END"}
 DIGITS = {"MAE": 4, "RMSE": 4, "MAPE": 2, "SMAPE": 2, "R2": 4, "Adj_R2": 4}
 SCORED = (BACKTEST, "scored AS (SELECT model, " + ", ".join(f"round({EXPR[c]}, {DIGITS[c]}) AS {c}" for c in EXPR)
           + " FROM long GROUP BY model)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.operators import features as op
+from gridtide.operators.clean import clean_regular
 from gridtide.plans.chunks import with_ordinal
 from gridtide.queries import bindings as b
 from gridtide.queries import sql as q
@@ -109,16 +110,21 @@ def feat_interactions(spark, sf):
 
 ALL_FLOAT = {**{q.NAMES[c]: c for c in q.COLS}, **LAGS, **ROLL, **CYC, **DEGREE, **LOAD}
 FEATURES = q.sql(
-    q.HOURLY, "wide AS (SELECT ts, " + ", ".join(f"{e} AS {n}" for n, e in ALL_FLOAT.items())
-    + f", {cal(*CAL)} FROM hourly" + windows() + ")",
+    q.HOURLY, q.fill("hourly", "filled", q.COLS, limit=60), "wide AS (SELECT ts, " + ", ".join(f"{e} AS {n}" for n, e in ALL_FLOAT.items())
+    + f", {cal(*CAL)} FROM filled" + windows() + ")",
     "feats AS (SELECT * FROM wide WHERE " + " AND ".join(f"{n} IS NOT NULL" for n in ALL_FLOAT) + ")",
     select="")
 
 
+def filled_features(spark, sf):
+    """Features of the cleaned hourly table."""
+    return op.feature_table(clean_regular(b.hourly(spark, sf), b.MEASURES))
+
+
 @query("feature_table", FEATURES + "SELECT ts, " + ", ".join(q.r(n, 6, n) for n in ALL_FLOAT) + ", "
        + ", ".join(CAL) + " FROM feats")
 def feature_table(spark, sf):
-    return op.feature_table(b.hourly(spark, sf)).select("ts", *[r(c) for c in ALL_FLOAT], *CAL)
+    return filled_features(spark, sf).select("ts", *[r(c) for c in ALL_FLOAT], *CAL)
 
 
 GROUPS = ([(c, "other", c in ("temperature_c", "occupancy")) for c in list(q.NAMES.values())[1:]]
@@ -135,7 +141,7 @@ GROUPS = ([(c, "other", c in ("temperature_c", "occupancy")) for c in list(q.NAM
     f"SELECT '{c}' AS feature, {i} AS position, '{g}' AS feature_group, {str(safe).lower()} AS leak_safe, "
     f"count({c}) AS known_rows FROM feats" for i, (c, g, safe) in enumerate(GROUPS)))
 def feature_catalog(spark, sf):
-    return op.feature_catalog(op.feature_table(b.hourly(spark, sf)))
+    return op.feature_catalog(filled_features(spark, sf))
 
 
 @query("feat_sequences", q.sql(q.HOURS, select=(

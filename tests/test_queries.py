@@ -1,4 +1,7 @@
-"""Every registered query against its SQL; queries without SQL must return rows."""
+"""Every registered query against its SQL; queries without SQL must return rows.
+
+The smallest tables have empty hours, so they exercise the gap handling.
+"""
 
 import pytest
 
@@ -15,7 +18,7 @@ def con(sf):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, sf, con, name):
-    assert difference(QUERIES[name](spark, sf), con, SQL[name]) is None
+    assert difference(QUERIES[name](spark, sf), con, SQL[name], exact=False) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
