@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.operators.splits import tail
-from gridtide.plans.chunks import CHUNK, attach, chunk_sql, chunk_window, halo, own, with_ordinal
+from gridtide.plans.chunks import CHUNK, attach, chunk_sql, chunk_window, halo, join_on, own, with_ordinal
 
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -126,7 +126,7 @@ def seasonal_decompose(df: DataFrame, value: str, period: int = 7, last: int | N
     phases = trended.groupBy(*keys, "_phase").agg(F.avg(F.col(value) - F.col("trend")).alias("_p"))
     level = phases.groupBy(*keys).agg(F.avg("_p").alias("_level"))
     seasonal = attach(phases, level, keys).select(*keys, "_phase", (F.col("_p") - F.col("_level")).alias("seasonal"))
-    return trended.join(seasonal, [*keys, "_phase"]).select(
+    return join_on(trended, seasonal, keys, ["_phase"]).select(
         *keys, time, F.col(value).alias("observed"), "trend", "seasonal",
         (F.col(value) - F.col("trend") - F.col("seasonal")).alias("resid"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import metrics as m
 from gridtide.operators.splits import tail
+from gridtide.plans.chunks import join_on
 
 
 def long_form(wide: DataFrame, actual: str, models: Mapping[str, str], *,
@@ -28,7 +29,7 @@ def align(actual: DataFrame, forecasts: Mapping[str, DataFrame], *, value: str,
     """Join forecast tables (``time``, ``p``) to the actuals; common times only."""
     wide = actual.select(*keys, time, F.col(value).alias("_y"))
     for i, table in enumerate(forecasts.values()):
-        wide = wide.join(table.select(*keys, time, F.col("p").alias(f"_p{i}")), [*keys, time])
+        wide = join_on(wide, table.select(*keys, time, F.col("p").alias(f"_p{i}")), keys, [time])
     return long_form(wide, "_y", {name: f"_p{i}" for i, name in enumerate(forecasts)},
                      keys=keys, time=time)
 
@@ -88,7 +89,7 @@ def residual_stats(df: DataFrame, *, by: Sequence[str] = ("model",)) -> DataFram
 def actual_vs_forecast(actual: DataFrame, forecast: DataFrame, *, value: str, last: int = 200,
                        keys: Sequence[str] = (), time: str = "ts", pos: str = "slot") -> DataFrame:
     """The last rows of both tables, paired by time."""
-    pairs = actual.select(*keys, pos, time, F.col(value).alias("actual")).join(
-        forecast.select(*keys, time, F.col("p").alias("pred")), [*keys, time])
+    pairs = join_on(actual.select(*keys, pos, time, F.col(value).alias("actual")),
+                    forecast.select(*keys, time, F.col("p").alias("pred")), keys, [time])
     known = pairs.where("actual IS NOT NULL AND pred IS NOT NULL")
     return tail(known, last, keys=keys, pos=pos).select(*keys, time, "actual", "pred")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.operators.features import add_history
 from gridtide.operators.splits import tail
-from gridtide.plans.chunks import CHUNK
+from gridtide.plans.chunks import CHUNK, join_on
 from gridtide.plans.slots import slot_time
 
 # Weight of the same hour last week against the same hour yesterday.
@@ -85,6 +85,6 @@ def ensemble(tables: Mapping[str, DataFrame], weights: Mapping[str, float], *,
     out = None
     for i, (name, table) in enumerate(tables.items()):
         part = table.select(*keys, time, (F.col("p") * weights[name]).alias(f"_p{i}"))
-        out = part if out is None else out.join(part, [*keys, time])
+        out = part if out is None else join_on(out, part, keys, [time])
     total = sum((F.col(f"_p{i}") for i in range(1, len(tables))), F.col("_p0"))
     return out.select(*keys, time, total.alias("p"))

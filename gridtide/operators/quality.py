@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.plans.chunks import attach, stage_sorted
+from gridtide.plans.chunks import attach, join_on, stage_sorted
 from gridtide.plans.slots import epoch_seconds
 from gridtide.schemas import RAW_MEASURES
 
@@ -123,7 +123,7 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
                          F.sum("_m").over(group).alias("_total"))
     inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(
         Window.unboundedPreceding, 0)
-    ranked = staged.join(bases, [*keys, "_part"]).withColumn(
+    ranked = join_on(staged, bases, keys, ["_part"]).withColumn(
         "_upto", F.col("_base") + F.sum("_n").over(inside))
 
     def at(rank: Column) -> Column:

@@ -10,8 +10,8 @@ chunks of a fixed number of positions instead:
 * ``with_ordinal`` / ``with_row_ordinal``: dense row numbers.
 
 ``pos`` is an integer with at most one row per series and value (a slot or an ordinal),
-so a chunk holds at most ``size`` rows whatever the skew between series. Key columns
-must not be null.
+so a chunk holds at most ``size`` rows whatever the skew between series. Rows without a
+key form a series of their own.
 """
 
 from __future__ import annotations
@@ -52,6 +52,13 @@ def chunk_sql(keys: Sequence[str], pos: str) -> str:
     return f"PARTITION BY {', '.join(f'`{k}`' for k in (*keys, '_chunk'))} ORDER BY `{pos}`"
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], on: Sequence[str] = ()) -> DataFrame:
+    """Inner join on series keys, null matching null, and on further never-null columns."""
+    named = right.withColumnsRenamed({c: f"_r_{c}" for c in (*keys, *on)})
+    match = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys] + [F.col(c) == F.col(f"_r_{c}") for c in on]
+    return left.join(named, match).drop(*[f"_r_{c}" for c in (*keys, *on)])
+
+
 def attach(df: DataFrame, per_series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add per-series values to every row.
 
@@ -60,7 +67,7 @@ def attach(df: DataFrame, per_series: DataFrame, keys: Sequence[str]) -> DataFra
     measured size allows, and splits a hot series otherwise.
     """
     if keys:
-        return df.join(per_series, list(keys))
+        return join_on(df, per_series, keys)
     row = per_series.select(F.struct(*per_series.columns).alias("row")).scalar()
     return df.select("*", *[row.getField(c).alias(c) for c in per_series.columns])
 
@@ -78,7 +85,7 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], pos: str = "slot",
         F.sum("_n").over(series).alias("rows"),
     )
     return (
-        chunked.join(bases, [*keys, "_chunk"])
+        join_on(chunked, bases, keys, ["_chunk"])
         .withColumn("ord", F.col("_base") + F.row_number().over(chunk_window(keys, pos)) - 1)
         .drop("_chunk", "_base")
     )
@@ -117,7 +124,7 @@ def with_row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -
         F.sum("_n").over(series).alias("rows"),
     )
     return (
-        staged.join(bases, [*keys, "_part"])
+        join_on(staged, bases, keys, ["_part"])
         .withColumn("ord", F.col("_base") + F.col("_row") - F.col("_first"))
         .drop("_part", "_row", "_first", "_base")
     )
@@ -150,7 +157,7 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], po
     )
     upto = f"OVER ({chunk_sql(keys, pos)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     back = f"OVER ({chunk_sql(keys, pos)} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return chunked.join(carry, [*keys, "_chunk"]).selectExpr(
+    return join_on(chunked, carry, keys, ["_chunk"]).selectExpr(
         *[f"`{c}`" for c in df.columns],
         *[f"coalesce(last({known(c)}, true) {upto}, `_left_{c}`) AS `_prev_{c}`" for c in cols],
         *[f"coalesce(last({known(c)}, true) {back}, `_right_{c}`) AS `_next_{c}`" for c in cols],

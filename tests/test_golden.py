@@ -216,7 +216,12 @@ def test_describe_approximately(series):
     assert exact == rough and (exact["p25"], exact["p50"], exact["count"]) == (25, 50, 101)
 
 
-def test_null_series_key_fails(spark):
-    df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS ts, CAST(NULL AS STRING) AS k, 1D AS x")
-    with pytest.raises(Exception, match="series key k is null"):
-        resample(df, "H", keys=["k"], means=["x"], grid=False).collect()
+def test_rows_without_key_are_a_series(spark, series):
+    df = series([1, N, 3, 5]).withColumn("k", F.lit(None).cast("string")).unionByName(series([7, N, N, 9], keys={"k": "b"}))
+    filled = clean.fill_linear(df, ["x"], keys=["k"], size=2)
+    got = sorted((r["k"] or "", r["slot"], r["x"]) for r in filled.collect())
+    assert [v for _, _, v in got] == pytest.approx([1, 2, 3, 5, 7, 7 + 2 / 3, 7 + 4 / 3, 9])
+    hours = resample(df, "H", keys=["k"], means=["x"])
+    assert hours.count() == 8 and anomalies.zscores(hours, "x", keys=["k"]).count() == 5
+    ends = splits.split_temporal(hours, 0.5, keys=["k"]).groupBy("k", "split").count().collect()
+    assert {r["count"] for r in ends} == {2} and len(ends) == 4
