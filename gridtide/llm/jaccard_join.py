@@ -191,8 +191,8 @@ def _may_reach(x: str, y: str, percent: int) -> Column:
     at_most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
     apart = F.lit(0)
     for i in range(PARTS):  # sizes modulo 256 of equal parts of both sets: their differences add up to 2 * union - sizes at most
-        d = F.pmod(F.shiftrightunsigned(F.col(f"{x}.parts"), 8 * i) - F.shiftrightunsigned(F.col(f"{y}.parts"), 8 * i), F.lit(256))
-        apart = apart + F.least(d, 256 - d)
+        a, b = (F.shiftrightunsigned(F.col(f"{s}.parts"), 8 * i).bitwiseAND(F.lit(255)) for s in (x, y))
+        apart = apart + F.least(F.abs(a - b), 256 - F.abs(a - b))
     return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (at_most >= need) & (apart <= nx + ny - 2 * need)
 
 
