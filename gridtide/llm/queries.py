@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.jaccard_join import jaccard_components
 from gridtide.llm.sentencepiece_codec import decode, encode
 
@@ -41,3 +42,12 @@ def op1_sentencepiece(spark, sf):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+@query("op5_min_bin_slack")
+def op5_min_bin_slack(spark, sf):
+    """Every document's pieces of at most 1024 tokens in as few sequences as the method finds."""
+    import public_tokenizers
+
+    packed = pack_documents(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
