@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.jaccard_join import jaccard_components
 from gridtide.llm.sentencepiece_codec import decode, encode
+from gridtide.llm.substring_dedup import remove_repeats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,3 +52,10 @@ def op5_min_bin_slack(spark, sf):
 
     packed = pack_documents(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_fm_substring")
+def op9_fm_substring(spark, sf):
+    """Every document without the words that repeated runs of 35 words cover."""
+    stripped = remove_repeats(documents(spark, sf, "doc_id", "text"), window=35)
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
