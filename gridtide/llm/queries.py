@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.jaccard_join import jaccard_components
+from gridtide.llm.language_id import learn_languages, predict_language
 from gridtide.llm.sentencepiece_codec import decode, encode
 from gridtide.llm.substring_dedup import remove_repeats
 
@@ -59,3 +60,16 @@ def op9_fm_substring(spark, sf):
     """Every document without the words that repeated runs of 35 words cover."""
     stripped = remove_repeats(documents(spark, sf, "doc_id", "text"), window=35)
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def id_checksum(name: str = "doc_id"):
+    """crc32 of the id as text, the empty text for a null id."""
+    return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary"))
+
+
+@query("op3_byte_language")
+def op3_byte_language(spark, sf):
+    """The language of every whole text, learned without the held-out third."""
+    docs = documents(spark, sf, "doc_id", "text", "lang").withColumn("held_out", id_checksum() % 3 == 1)
+    network = learn_languages(docs.where(~F.col("held_out")))
+    return predict_language(docs.select("doc_id", "held_out", "text"), network).select("doc_id", "held_out", "lang_pred", "score")
