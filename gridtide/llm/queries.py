@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.jaccard_join import jaccard_components
 from gridtide.llm.language_id import learn_languages, predict_language
+from gridtide.llm.quality_ranking import learn_quality, score_quality
 from gridtide.llm.sentencepiece_codec import decode, encode
 from gridtide.llm.substring_dedup import remove_repeats
 
@@ -73,3 +74,12 @@ def op3_byte_language(spark, sf):
     docs = documents(spark, sf, "doc_id", "text", "lang").withColumn("held_out", id_checksum() % 3 == 1)
     network = learn_languages(docs.where(~F.col("held_out")))
     return predict_language(docs.select("doc_id", "held_out", "text"), network).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op4_quality_ranking")
+def op4_quality_ranking(spark, sf):
+    """Quality of every whole text, learned without the held-out fifth."""
+    docs = documents(spark, sf, "doc_id", "text").withColumn("held_out", id_checksum() % 5 == 0)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").where(id_checksum() % 5 != 0)
+    ranking = learn_quality(docs.where(~F.col("held_out")), labels)
+    return score_quality(docs, ranking).select("doc_id", "held_out", "score", "predicted")
