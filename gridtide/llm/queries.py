@@ -8,6 +8,7 @@ from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.jaccard_join import jaccard_components
 from gridtide.llm.language_id import learn_languages, predict_language
 from gridtide.llm.quality_ranking import learn_quality, score_quality
+from gridtide.llm.quality_rules import line_frequency_rules
 from gridtide.llm.sentencepiece_codec import decode, encode
 from gridtide.llm.substring_dedup import remove_repeats
 
@@ -83,3 +84,37 @@ def op4_quality_ranking(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").where(id_checksum() % 5 != 0)
     ranking = learn_quality(docs.where(~F.col("held_out")), labels)
     return score_quality(docs, ranking).select("doc_id", "held_out", "score", "predicted")
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+p AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, ws FROM w),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM p),
+again AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+l AS (SELECT rid, source, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM d),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
+k AS (SELECT rid, source, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
+             lower(array_to_string(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ')) AS norm FROM l),
+hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
+many AS (SELECT k.source, norm FROM k JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source
+         GROUP BY k.source, norm, docs HAVING count(DISTINCT rid) > 10 AND count(DISTINCT rid) > 0.01 * docs),
+lost AS (SELECT rid, sum(n) AS n FROM k JOIN many m ON k.source IS NOT DISTINCT FROM m.source AND k.norm = m.norm GROUP BY rid),
+base AS (
+  SELECT d.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(lost.n, 0) AS lost
+  FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN lost USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * (n_words - lost) >= n_words AS kept
+FROM base
+"""
+
+
+@query("op7_line_frequency", OP7_SQL)
+def op7_line_frequency(spark, sf):
+    """Counts per document and the verdict of the line rules."""
+    return line_frequency_rules(documents(spark, sf, "doc_id", "source", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -4,7 +4,7 @@ A chunk is a run of whitespace markers and what follows up to the next marker. W
 vocabulary has a marker behind another character, merges cannot cross from one chunk to the next, so
 a text's ids are its chunks' ids one after the other. Each distinct chunk is segmented once:
 
-1. Documents are dealt to blocks of a bounded number of bytes. A block lists its distinct chunks.
+1. Documents travel in compressed packs, dealt to blocks of a bounded number of bytes. A block lists its distinct chunks.
 2. The lists are cut by the chunk's hash; a bucket holds one chunk from all blocks, and segments it once.
 3. The ids go back to the blocks that asked, where documents take them by position.
 
@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.shipping import shipped
+from gridtide.llm.textkit import slices
 
 MARK = "▁"
-BLOCK_BYTES = 24 << 20   # text per block
+PACK_BYTES = 1 << 19     # text per pack of documents
+BLOCK_BYTES = 12 << 20   # text per block
 BUCKET_BYTES = 96 << 20  # corpus bytes per bucket of distinct chunks
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
@@ -74,14 +76,22 @@ def _chunk_ids(processor, wanted: list[str]) -> list[list[int]]:
     return out
 
 
+def _squeeze(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _expand(payload: bytes) -> bytes:
+    return pa.decompress(payload[8:], int.from_bytes(payload[:8], "little"), "zstd", asbytes=True)
+
+
 def _join(items: list[str]) -> bytes:
     """Strings as one compressed value; lengths first, since a chunk may hold any character."""
     data = [x.encode("utf-8") for x in items]
-    return zlib.compress(np.array([len(data), *map(len, data)], np.uint32).tobytes() + b"".join(data), 1)
+    return _squeeze(np.array([len(data), *map(len, data)], np.uint32).tobytes() + b"".join(data))
 
 
 def _split(payload: bytes) -> list[str]:
-    raw = zlib.decompress(payload)
+    raw = _expand(payload)
     n = int(np.frombuffer(raw[:4], np.uint32)[0])
     ends = np.cumsum(np.frombuffer(raw[4:4 + 4 * n], np.uint32).astype(np.int64)) + 4 + 4 * n
     begin, out = 4 + 4 * n, []
@@ -91,12 +101,29 @@ def _split(payload: bytes) -> list[str]:
     return out
 
 
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of documents as compressed Arrow tables."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        for lo, hi, _, _ in slices(batch.column("text"), PACK_BYTES):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=options) as writer:
+                writer.write_batch(batch.slice(lo, hi - lo))
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["pack"])
+
+
+def _unpacked(packs: pa.Table) -> Iterator[pa.Table]:
+    for pack in packs.column("pack"):
+        yield pa.ipc.open_stream(pack.as_buffer()).read_all()
+
+
 def _ask(buckets: int):
     """A block's distinct chunks, one row per bucket."""
     def run(table: pa.Table) -> pa.Table:
         distinct: set[str] = set()
-        for text in table.column("text"):
-            distinct.update(chunks(text.as_py() or ""))
+        for docs in _unpacked(table):
+            for text in docs.column("text"):
+                distinct.update(chunks(text.as_py() or ""))
         lists: list[list[str]] = [[] for _ in range(buckets)]
         for chunk in distinct:
             lists[zlib.crc32(chunk.encode("utf-8")) % buckets].append(chunk)
@@ -107,12 +134,17 @@ def _ask(buckets: int):
     return run
 
 
+def _width(processor) -> type:
+    return np.uint16 if processor.get_piece_size() <= 1 << 16 else np.int32
+
+
 def _segment(model: bytes):
     """Segments each distinct chunk of a partition once and answers every block that asked."""
     schema = pa.schema([("block", pa.int64()), ("asked", pa.binary()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor, known, bucket = _processor(model), {}, None
+        width = _width(processor)
         for batch in batches:
             for row in range(len(batch)):
                 if batch.column("bucket")[row].as_py() != bucket:  # sorted by bucket: one bucket's chunks at a time
@@ -121,10 +153,10 @@ def _segment(model: bytes):
                 asked = _split(payload)
                 fresh = [x for x in asked if x not in known]
                 for chunk, ids in zip(fresh, _chunk_ids(processor, fresh)):
-                    known[chunk] = np.array(ids, np.int32).tobytes()
+                    known[chunk] = np.array(ids, width).tobytes()
                 parts = [known[x] for x in asked]
-                sizes = np.array([len(x) // 4 for x in parts], np.int32)
-                answer = zlib.compress(np.concatenate([sizes, np.frombuffer(b"".join(parts), np.int32)]).tobytes(), 1)
+                sizes = np.array([len(x) // width().itemsize for x in parts], np.int32)
+                answer = _squeeze(sizes.tobytes() + b"".join(parts))
                 yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), pa.array([payload], pa.binary()),
                                                   pa.array([answer], pa.binary())], schema=schema)
     return run
@@ -132,28 +164,32 @@ def _segment(model: bytes):
 
 def _place(model: bytes):
     """Documents of a block with their ids, laid out by position from the block's answers."""
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        processor = _processor(model)
+        width = _width(processor)
         known: dict[str, bytes] = {}
         for payload, answer in zip(answers.column("asked"), answers.column("ids")):
-            asked, flat = _split(payload.as_py()), np.frombuffer(zlib.decompress(answer.as_py()), np.int32)
-            raw = flat[len(asked):].tobytes()
-            end = (np.cumsum(flat[:len(asked)], dtype=np.int64) * 4).tolist()
-            begin = 0
+            asked, raw = _split(payload.as_py()), _expand(answer.as_py())
+            end = (np.cumsum(np.frombuffer(raw, np.int32, len(asked)), dtype=np.int64) * width().itemsize + 4 * len(asked)).tolist()
+            begin = 4 * len(asked)
             for chunk, stop in zip(asked, end):
                 known[chunk] = raw[begin:stop]
                 begin = stop
-        values, offsets = [], [0]
-        for text in docs.column("text"):
-            parts = chunks(text.as_py() or "")
-            try:
-                raw = b"".join([known[x] for x in parts])
-            except KeyError:  # a block dealt anew after a lost executor may hold other documents
-                raw = np.array(_processor(model).encode(text.as_py()), np.int32).tobytes()
-            values.append(raw)
-            offsets.append(offsets[-1] + len(raw) // 4)
-        flat = pa.array(np.frombuffer(b"".join(values), np.int32))
-        ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-        return docs.drop_columns(["block", "text"]).append_column("ids", ids)
+        out = []
+        for docs in _unpacked(packs):
+            values, offsets = [], [0]
+            for text in docs.column("text"):
+                parts = chunks(text.as_py() or "")
+                try:
+                    raw = b"".join([known[x] for x in parts])
+                except KeyError:  # a block dealt anew after a lost executor may hold other documents
+                    raw = np.array(processor.encode(text.as_py()), width).tobytes()
+                values.append(raw)
+                offsets.append(offsets[-1] + len(raw) // width().itemsize)
+            flat = pa.array(np.frombuffer(b"".join(values), width).astype(np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+            out.append(pa.table([docs.column("id").combine_chunks(), ids], names=["id", "ids"]))
+        return pa.concat_tables(out)
     return run
 
 
@@ -167,12 +203,13 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str
     model = read_model(model_path)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks, buckets = max(12, -(-total // BLOCK_BYTES)), max(12, -(-total // BUCKET_BYTES))
-    dealt = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"),
-                        F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    dealt = table.mapInArrow(_packs, "pack binary").select(
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), "pack")
     asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, asked binary")
     answers = (asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
                .mapInArrow(_segment(model), "block long, asked binary, ids binary"))
-    kind = dealt.schema["id"].dataType.simpleString()
+    kind = table.schema["id"].dataType.simpleString()
     placed = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_place(model), f"id {kind}, ids array<int>")
     return placed.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col))
 
