@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.llm.best_fit_packing import pack_documents
+from gridtide.llm.embedding_dedup import near_vectors
 from gridtide.llm.jaccard_join import jaccard_components
 from gridtide.llm.language_id import learn_languages, predict_language
 from gridtide.llm.quality_ranking import learn_quality, score_quality
 from gridtide.llm.quality_rules import line_frequency_rules
 from gridtide.llm.sentencepiece_codec import decode, encode
 from gridtide.llm.substring_dedup import remove_repeats
+from gridtide.llm.url_filter import judge_urls, learn_urls, with_rules
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -118,3 +120,29 @@ def op7_line_frequency(spark, sf):
     """Counts per document and the verdict of the line rules."""
     return line_frequency_rules(documents(spark, sf, "doc_id", "source", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+URL_MARKS = ("adult", "ads", "bets", "casino", "pills", "spam")  # host words that label a URL as blocked for learning
+
+
+def labelled_urls(pages):
+    """URLs with the verdict of their rule, else blocked if a word of the host is marked."""
+    ruled = with_rules(pages, URL_RULES)
+    marked = F.arrays_overlap(F.split("host", "[.-]"), F.array(*map(F.lit, URL_MARKS)))
+    blocks = [rule for verdict, rule in URL_RULES if verdict == "block"]
+    return ruled.withColumn("blocked", F.when(F.col("rule").isNotNull(), F.col("rule").isin(blocks)).otherwise(marked))
+
+
+@query("op6_url_trees")
+def op6_url_trees(spark, sf):
+    """Host, path, rule and verdict of every page's URL."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    return judge_urls(pages, learn_urls(labelled_urls(pages)), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+@query("op8_pivot_vectors")
+def op8_pivot_vectors(spark, sf):
+    """Direct links and groups of all embeddings of a label."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    return near_vectors(vectors, 0.98)
