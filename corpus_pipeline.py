@@ -1,22 +1,64 @@
 """The training-corpus pipeline: every stage works on what the one before kept.
 
-Stages take ``(spark, docs, sf_dir)`` and return a DataFrame that is written as Parquet and read again.
+Stages take ``(spark, docs, sf_dir)`` and return a DataFrame that is written as Parquet and read again. All but
+the last return the columns of ``docs``. Rows with null or empty text go in the first stage that judges texts
+(language, if quality keeps them); repeated rows leave one; empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.jaccard_join import keep_one_per_group
+from gridtide.llm.language_id import UNKNOWN, learn_languages, predict_language
+from gridtide.llm.quality_ranking import learn_quality, score_quality
+from gridtide.llm.substring_dedup import remove_repeats
 from gridtide.session import materialise
 
+LEAST_LANGUAGE_SCORE = 0.3  # pooled probability of the language
+PASSAGE_WORDS = 50          # a passage of so many words that repeats goes
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ranking learned from ``labels`` puts above its cut."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return score_quality(own, learn_quality(docs.select("doc_id", "text"), labels)).where("predicted = 1").select("row.*")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages learned from ``lang``; all of them if none is given there."""
+    network = learn_languages(docs.select("doc_id", "text", "lang"))
+    if not network.labels:
+        return docs
+    judged = predict_language(docs.select("text", F.struct(*docs.columns).alias("row")), network)
+    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return keep_one_per_group(docs)
+    """One document of each group of near copies: 5-word shingles, similarity 0.8 or more."""
+    return keep_one_per_group(docs, words=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of ``PASSAGE_WORDS`` words that repeat; texts that lose nothing stay as they are."""
+    stripped = remove_repeats(docs.select("text", F.struct(*docs.columns).alias("row")), PASSAGE_WORDS)
+    cut = F.col("n_removed") > 0
+    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text")),
+               "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return stripped.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 tokens and their places in sequences."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+STAGES = [("quality_ranking", quality), ("byte_language", language), ("ngram_jaccard", near_duplicates),
+          ("fm_substring", repeated_passages), ("min_bin_slack", packing)]
 ORACLE_SQL = None  # learned scores and packing are beyond SQL; tests compare with brute force
 
 

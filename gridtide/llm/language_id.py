@@ -178,7 +178,9 @@ def label_positions(network: ByteNetwork, codes: np.ndarray) -> np.ndarray:
 
 def document_probabilities(network: ByteNetwork, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean probability per language over the places of letters; 0 for a text without any."""
-    total, places = np.zeros((len(offsets) - 1, len(network.labels))), np.zeros(len(offsets) - 1)
+    total, places = np.zeros((len(offsets) - 1, max(len(network.labels), 1))), np.zeros(len(offsets) - 1)
+    if not network.labels:
+        return total
     codes, owner = _windows(data, offsets, WINDOW)
     for lo in range(0, len(owner), COLUMNS):
         own, part = owner[lo:lo + COLUMNS], codes[:, lo:lo + COLUMNS]
@@ -193,11 +195,14 @@ def document_probabilities(network: ByteNetwork, data: np.ndarray, offsets: np.n
 
 def learn_languages(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_DOCS,
                     seed_key: str = "doc_id") -> ByteNetwork:
-    """A network from at most ``sample`` rows with text and label, as many of each label as there are, spread by a hash."""
+    """A network from at most ``sample`` rows with text and label, as many of each label as there are, spread by a hash.
+
+    Without any, the network has no labels and calls every text ``und``.
+    """
     known = labelled.where(F.col(label_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS))
     counts = {r[0]: r[1] for r in known.groupBy(label_col).count().orderBy(F.desc("count")).limit(200).collect()}
     if not counts:
-        raise ValueError("no labelled text to learn from")
+        return ByteNetwork([], [], [], np.zeros((0, 0)), np.zeros(0))
     each = max(1, sample // len(counts))
     order = F.xxhash64(seed_key, text_col)
     rows = []

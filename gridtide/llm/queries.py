@@ -8,6 +8,7 @@ from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.embedding_dedup import near_vectors
 from gridtide.llm.jaccard_join import jaccard_components
 from gridtide.llm.language_id import learn_languages, predict_language
+from gridtide.llm.license_scan import licence_sql, scan_licences
 from gridtide.llm.quality_ranking import learn_quality, score_quality
 from gridtide.llm.quality_rules import line_frequency_rules
 from gridtide.llm.sentencepiece_codec import decode, encode
@@ -146,3 +147,9 @@ def op8_pivot_vectors(spark, sf):
     """Direct links and groups of all embeddings of a label."""
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
     return near_vectors(vectors, 0.98)
+
+
+@query("op10_license_sentences", licence_sql("documents", "doc_id"))
+def op10_license_sentences(spark, sf):
+    """Known licence sentences and licences of every whole text."""
+    return scan_licences(documents(spark, sf, "doc_id", "text")).drop("text")
