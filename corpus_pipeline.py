@@ -22,11 +22,22 @@ LEAST_LANGUAGE_SCORE = 0.3  # pooled probability of the language
 PASSAGE_WORDS = 50          # a passage of so many words that repeats goes
 
 
+def _boxed(docs: DataFrame) -> DataFrame:
+    """The text and all other columns as one, so that no operator's new column can clash."""
+    return docs.select("text", F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unboxed(boxed: DataFrame, docs: DataFrame, **changed) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed."""
+    back = {c: F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns} | changed
+    return boxed.select(*[back[c].alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ranking learned from ``labels`` puts above its cut."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    own = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return score_quality(own, learn_quality(docs.select("doc_id", "text"), labels)).where("predicted = 1").select("row.*")
+    ranking = learn_quality(docs.select("doc_id", "text"), labels)
+    return _unboxed(score_quality(_boxed(docs), ranking).where("predicted = 1"), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +45,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     network = learn_languages(docs.select("doc_id", "text", "lang"))
     if not network.labels:
         return docs
-    judged = predict_language(docs.select("text", F.struct(*docs.columns).alias("row")), network)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
+    judged = predict_language(_boxed(docs), network)
+    return _unboxed(judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +56,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of ``PASSAGE_WORDS`` words that repeat; texts that lose nothing stay as they are."""
-    stripped = remove_repeats(docs.select("text", F.struct(*docs.columns).alias("row")), PASSAGE_WORDS)
+    stripped = remove_repeats(_boxed(docs), PASSAGE_WORDS)
     cut = F.col("n_removed") > 0
-    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("row.text")),
-               "n_chars": F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return stripped.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    changed = {"text": F.when(cut, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return _unboxed(stripped, docs, **changed)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
