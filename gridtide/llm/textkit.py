@@ -83,8 +83,9 @@ class Words:
         place = np.arange(int(length.sum()), dtype=np.int32) - np.repeat(begin.astype(np.int32), length)
         value = _TABLE[((place & 31) << 8) | self.data[self.word]]
         if int(length.max()) > 32:
-            power = np.cumprod(np.full(int(length.max()) // 32 + 1, _BLOCK, dtype=np.uint64))
-            value *= power[place >> 5]
+            power = np.cumprod(np.full(int(length.max()) // 32 + 2, _BLOCK, dtype=np.uint64))
+            late = np.flatnonzero(place >= 32)  # shorter words must not depend on their neighbours
+            value[late] *= power[place[late] >> 5]
         return mix(np.add.reduceat(value, begin) + length.astype(np.uint64) * _BLOCK)
 
 
