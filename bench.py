@@ -11,14 +11,14 @@ import os
 import time
 
 from gridtide.queries import QUERIES
-from gridtide.session import local_session
+from gridtide.session import local_session, release
 
 HEADLINE = (
     "anomaly_log", "anomaly_severity", "anomaly_log_by_series", "resample_hourly", "resample_hourly_by_series",
     "describe_numeric", "summary_minute", "dq_report", "fill_missing", "fill_missing_by_series", "clean_hourly",
     "feat_lags", "feat_rolling_by_series", "feature_table", "split_cv_folds", "consumption_overview", "load_heatmap",
     "power_histogram", "power_kde", "seasonal_decompose", "acf", "feature_correlation", "forecast_blend",
-    "evaluate_models", "evaluate_by_series",
+    "evaluate_models", "evaluate_by_series", "sarima_hr_fit", "sequence_forecast", "train_and_compare",
 )
 
 
@@ -35,6 +35,7 @@ def main() -> None:
         seconds[name] = round(min(runs[1:]), 3)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
                       "queries": seconds, "sf": sf.rstrip("/").rsplit("sf", 1)[-1]}))
+    release(spark)
     spark.stop()
 
 

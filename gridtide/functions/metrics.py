@@ -1,4 +1,7 @@
-"""Forecast metrics as aggregate expressions over (actual, predicted) columns."""
+"""Forecast metrics as aggregate expressions over (actual, predicted) columns.
+
+Only rows with both values count, in every metric.
+"""
 
 from __future__ import annotations
 
@@ -27,6 +30,7 @@ def smape(y: Column, p: Column) -> Column:
 
 def r2(y: Column, p: Column) -> Column:
     """1 - SSE/SST; a constant actual scores 1 when hit exactly and 0 otherwise."""
+    y = F.when(p.isNotNull(), y)
     sse = F.sum((y - p) * (y - p))
     sst = F.var_pop(y) * F.count(y)
     flat = F.when(sse == 0, F.lit(1.0)).otherwise(F.lit(0.0))
@@ -35,7 +39,7 @@ def r2(y: Column, p: Column) -> Column:
 
 def adj_r2(y: Column, p: Column, k: Column) -> Column:
     """Adjusted for ``k`` features; plain R2 when there are too few rows."""
-    n = F.count(y)
+    n = F.count(F.when(p.isNotNull(), y))
     score = r2(y, p)
     return F.when(n <= k + 1, score).otherwise(
         1 - (1 - score) * F.try_divide(n - 1, n - k - 1))

@@ -76,12 +76,16 @@ def rate(df: DataFrame, value: str, *, threshold: float = Z_LIMIT, sampled_step:
         F.round(100.0 * hits / base, 2).alias("rate_pct"))
 
 
-def overlay(df: DataFrame, value: str, days: int = 0, *, threshold: float = Z_LIMIT,
+def overlay(df: DataFrame, value: str, days: int = 0, *, threshold: float = Z_LIMIT, step: int = 1,
             keys: Sequence[str] = (), pos: str = "slot", time: str = "ts") -> DataFrame:
-    """A thinned series and all anomalies of the window, told apart by ``kind``."""
+    """The series and all anomalies of the window, told apart by ``kind``.
+
+    ``step`` keeps every so many rows of the series; the dashboard shows every 6th up to two years, else every 12th.
+    """
     known = df.where(F.col(value).isNotNull())
-    step = 6 if 0 < days <= 730 else 12
-    thin = stride(last_days(known, days, keys=keys, time=time), step, keys=keys, pos=pos)
+    thin = last_days(known, days, keys=keys, time=time)
+    if step > 1:
+        thin = stride(thin, step, keys=keys, pos=pos)
     found = detect_last_days(df, value, days, threshold=threshold, keys=keys, time=time)
     series = thin.select(*keys, F.lit("series").alias("kind"), time, F.round(value, 4).alias("value"),
                          F.lit(None).cast("double").alias("z_score"))

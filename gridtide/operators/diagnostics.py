@@ -84,13 +84,14 @@ def histogram(df: DataFrame, value: str, bins: int = 80, *, keys: Sequence[str]
         (F.col("lo") + (F.col("bin") + 1) * width).alias("right_edge"), "n")
 
 
-def kde(df: DataFrame, value: str, points: int = 1000, per_bandwidth: int = 64, *,
+def kde(df: DataFrame, value: str, points: int = 1000, per_bandwidth: int = 64, reach: float = 39.0, *,
         keys: Sequence[str] = ()) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on a regular axis.
 
     Values are first binned ``per_bandwidth`` times finer than the bandwidth (kept as bin mean
     and count), so the number of kernels depends on the value range, not the row count. Each bin
-    reaches the axis points within nine bandwidths; beyond, the kernel is below double precision.
+    reaches the axis points within ``reach`` bandwidths; beyond 39 the kernel underflows to 0. A series
+    without spread has no bandwidth and gives no rows.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
     stats = known.groupBy(*keys).agg(
@@ -104,22 +105,22 @@ def kde(df: DataFrame, value: str, points: int = 1000, per_bandwidth: int = 64,
     bins = attach(known, stats, keys).groupBy(*keys, fine).agg(
         F.avg("_x").alias("_m"), F.count("_x").alias("_c"))
     near = attach(bins, stats, keys)
-    first = F.greatest(F.ceil((F.col("_m") - 9 * F.col("h") - F.col("x0")) / F.col("dx")), F.lit(0))
-    last = F.least(F.floor((F.col("_m") + 9 * F.col("h") - F.col("x0")) / F.col("dx")), F.lit(points - 1))
-    reach = near.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    first = F.greatest(F.ceil((F.col("_m") - reach * F.col("h") - F.col("x0")) / F.col("dx")), F.lit(0))
+    last = F.least(F.floor((F.col("_m") + reach * F.col("h") - F.col("x0")) / F.col("dx")), F.lit(points - 1))
+    met = near.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
     u = (F.col("x0") + F.col("point") * F.col("dx") - F.col("_m")) / F.col("h")
     height = F.col("_c") * F.exp(-0.5 * u * u) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
-    parts = reach.select(*keys, "point", height.alias("_d"))
+    parts = met.select(*keys, "point", height.alias("_d"))
     axis = stats.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1))).alias("point"),
                         F.lit(0.0).alias("_d"))
     curve = parts.unionByName(axis).groupBy(*keys, "point").agg(F.sum("_d").alias("density"))
     return attach(curve, stats, keys).select(
-        *keys, "point", (F.col("x0") + F.col("point") * F.col("dx")).alias("x"), "density")
+        *keys, "point", (F.col("x0") + F.col("point") * F.col("dx")).alias("x"), "density").where("x IS NOT NULL")
 
 
-def seasonal_decompose(df: DataFrame, value: str, period: int = 7, last: int | None = 365, *,
+def seasonal_decompose(df: DataFrame, value: str, period: int = 7, last: int | None = None, *,
                        keys: Sequence[str] = (), pos: str = "slot", time: str = "ts") -> DataFrame:
-    """Additive trend, seasonal and residual parts of the last known rows."""
+    """Additive trend, seasonal and residual parts of the known rows, or of the ``last`` of them."""
     cut = _last_known(df, value, last, keys, pos)
     trended = centred_mean(cut, value, period, keys=keys, into="trend").withColumn(
         "_phase", F.col("ord") % period)
@@ -136,9 +137,12 @@ def _melt(one: DataFrame, keys: Sequence[str], names: dict[int, str], label: str
     return one.selectExpr(*keys, f"inline(array({pairs}))")
 
 
-def acf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
+def acf(df: DataFrame, value: str, lags: int = 48, last: int | None = None, *,
         keys: Sequence[str] = (), pos: str = "slot", size: int = CHUNK) -> DataFrame:
-    """Autocorrelation with one mean and one variance for all lags; one shuffle."""
+    """Autocorrelation with one mean and one variance for all lags; one shuffle.
+
+    Of all known rows, or of the ``last`` of them. Null at every lag for a series without spread.
+    """
     cut = _last_known(df, value, last, keys, pos).select(*keys, "ord", F.col(value).alias("_x"))
     mean = cut.groupBy(*keys).agg(F.avg("_x").alias("_mean"))
     centred = attach(cut, mean, keys).withColumn("_x", F.col("_x") - F.col("_mean"))
@@ -146,13 +150,13 @@ def acf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
     wide = halo(centred, "ord", lags, size=size).selectExpr(
         *keys, "ord", "_chunk", "_x", *[f"lag(_x, {k}) OVER ({over}) AS _l{k}" for k in range(1, lags + 1)])
     one = own(wide, "ord", size).groupBy(*keys).agg(
-        F.lit(1.0).alias("_r0"),
+        F.expr("try_divide(sum(_x * _x), sum(_x * _x)) AS _r0"),
         *[F.expr(f"try_divide(coalesce(sum(_x * _l{k}), 0D), sum(_x * _x)) AS _r{k}")
           for k in range(1, lags + 1)])
     return _melt(one, keys, {k: f"_r{k}" for k in range(lags + 1)}, "lag", "acf")
 
 
-def pacf(df: DataFrame, value: str, lags: int = 48, last: int | None = 1000, *,
+def pacf(df: DataFrame, value: str, lags: int = 48, last: int | None = None, *,
          keys: Sequence[str] = (), pos: str = "slot") -> DataFrame:
     """Partial autocorrelation (Yule-Walker) from the ``lags + 1`` numbers of :func:`acf`."""
     def levinson_durbin(r: np.ndarray) -> np.ndarray:

@@ -28,8 +28,9 @@ from gridtide.plans.chunks import CHUNK, chunk_sql, halo, own, with_ordinal
 from gridtide.plans.slots import slot_time
 from gridtide.session import materialise
 
-# Parameters of the boosted-tree forecaster.
-TREE_PARAMS = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
+# Parameters of the boosted-tree forecaster, but for the number of trees. The reference
+# grows 500; one Spark job per level and tree makes that minutes, so 40 is the default and ``maxIter`` an argument.
+TREE_PARAMS = {"maxIter": 40, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8,
                "featureSubsetStrategy": "0.8", "minInstancesPerNode": 5, "seed": 42}
 PATIENCE = 30
 ADF_CRITICAL_5PCT = -2.86  # fixed value: large-sample limit, regression with constant
@@ -119,6 +120,7 @@ def cross_validate(forecaster: TreeForecaster, df: DataFrame, folds: int = 5, *,
 
     One fit per fold, each a distributed job on a range of row ordinals; nothing is copied.
     """
+    _one_series(df, pos)
     placed = materialise(with_ordinal(df, (), pos))
     size = F.floor(F.col("rows") / (folds + 1))
     rmses = []
@@ -136,6 +138,12 @@ def cross_validate(forecaster: TreeForecaster, df: DataFrame, folds: int = 5, *,
 
 # ---------------------------------------------------------------- linear helpers
 
+def _one_series(df: DataFrame, pos: str) -> None:
+    """These models take one series: lags would run across several."""
+    if df.groupBy(pos).count().where("count > 1").limit(1).count():
+        raise ValueError(f"several rows share a {pos!r}: fit one series at a time")
+
+
 def _lagged(df: DataFrame, cols: Mapping[str, tuple[str, Sequence[int]]], pos: str = "slot",
             keys: Sequence[str] = (), size: int = CHUNK) -> DataFrame:
     """Add ``<prefix><k>`` lag columns for several source columns in one window pass."""
@@ -164,6 +172,7 @@ def adf_decision(df: DataFrame, value: str, lags: int = 24, *, pos: str = "slot"
 
     The lag order is fixed and the t value is compared with the 5 % critical value.
     """
+    _one_series(df, pos)
     diff = _lagged(df, {"_x": (value, (1,))}, pos).withColumn("_d", F.col(value) - F.col("_x1"))
     wide = materialise(_lagged(diff, {"_d": ("_d", range(1, lags + 1))}, pos))
     model = _regress(wide, "_d", ["_x1", *[f"_d{k}" for k in range(1, lags + 1)]], solver="normal")
@@ -175,9 +184,6 @@ def adf_decision(df: DataFrame, value: str, lags: int = 24, *, pos: str = "slot"
 
 # ---------------------------------------------------------------- seasonal model
 
-LONG_AR = 26  # long autoregression: past the seasonal lags 24 and 25
-
-
 @dataclass
 class SeasonalForecaster:
     """Order (1,1,1)(1,1,1,24) by two regressions on the twice-differenced series.
@@ -193,6 +199,11 @@ class SeasonalForecaster:
     intercept: float = 0.0
     stats: dict[str, float] = field(default_factory=dict)
 
+    @property
+    def long_ar(self) -> int:
+        """Order of the long autoregression: past the seasonal lags."""
+        return self.season + 2
+
     @property
     def lags(self) -> tuple[int, int, int]:
         return (1, self.season, self.season + 1)
@@ -206,8 +217,8 @@ class SeasonalForecaster:
         return wide.withColumn("_w", F.col(self.value) - F.col("_y1") - F.col(f"_y{s}") + F.col(f"_y{s + 1}"))
 
     def _shocked(self, w: DataFrame, pos: str) -> DataFrame:
-        names = [f"_a{k}" for k in range(1, LONG_AR + 1)]
-        wide = _lagged(w, {"_a": ("_w", range(1, LONG_AR + 1))}, pos)
+        names = [f"_a{k}" for k in range(1, self.long_ar + 1)]
+        wide = _lagged(w, {"_a": ("_w", range(1, self.long_ar + 1))}, pos)
         return wide.withColumn("_e", F.col("_w") - _linear(self.ar, names)).drop(*names)
 
     def _design(self, df: DataFrame, pos: str) -> DataFrame:
@@ -215,10 +226,11 @@ class SeasonalForecaster:
                        {"_w": ("_w", self.lags), "_e": ("_e", self.lags)}, pos)
 
     def fit(self, df: DataFrame, *, pos: str = "slot") -> "SeasonalForecaster":
-        """Fit one series on a dense grid without nulls."""
+        """Fit one series on a dense grid without nulls; rows that share a position are an error."""
+        _one_series(df, pos)
         w = materialise(self._differenced(df, pos))
-        names = [f"_a{k}" for k in range(1, LONG_AR + 1)]
-        self.ar = _regress(_lagged(w, {"_a": ("_w", range(1, LONG_AR + 1))}, pos), "_w", names,
+        names = [f"_a{k}" for k in range(1, self.long_ar + 1)]
+        self.ar = _regress(_lagged(w, {"_a": ("_w", range(1, self.long_ar + 1))}, pos), "_w", names,
                            solver="normal", regParam=0.0)
         design = _lagged(self._shocked(w, pos), {"_w": ("_w", self.lags), "_e": ("_e", self.lags)}, pos)
         model = _regress(design, "_w", self._inputs(), solver="normal", regParam=0.0)
@@ -248,7 +260,7 @@ class SeasonalForecaster:
 
     def forecast(self, df: DataFrame, steps: int = 24, *, pos: str = "slot", freq: str = "H") -> DataFrame:
         """``steps`` values ahead, from the last two seasons of rows only."""
-        keep = LONG_AR + 3 * (self.season + 1) + 2
+        keep = self.long_ar + 3 * (self.season + 1) + 2
         recent = self._design(tail(df, keep, pos=pos), pos).select(
             pos, F.col(self.value).alias("y"), F.col("_w").alias("w"), F.col("_e").alias("e"))
         s, lags, coefs, const = self.season, self.lags, self.coefs, self.intercept

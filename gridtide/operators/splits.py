@@ -38,6 +38,11 @@ def tail(df: DataFrame, n: int, *, keys: Sequence[str] = (), pos: str = "slot")
     return with_ordinal(df, keys, pos).where(F.col("ord") >= F.col("rows") - n).drop("ord", "rows")
 
 
+def split_tail(df: DataFrame, n: int | None = None, test_ratio: float = 0.2, *, keys: Sequence[str] = (), pos: str = "slot") -> DataFrame:
+    """Label the rows of the last ``n`` of each series, all of them by default, as :func:`split_temporal` does."""
+    return split_temporal(df if n is None else tail(df, n, keys=keys, pos=pos), test_ratio, keys=keys, pos=pos)
+
+
 def stride(df: DataFrame, step: int, *, keys: Sequence[str] = (), pos: str = "slot") -> DataFrame:
     """Every ``step``-th row of each series, from the first."""
     return with_ordinal(df, keys, pos).where(F.col("ord") % step == 0).drop("ord", "rows")

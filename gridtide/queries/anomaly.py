@@ -43,10 +43,10 @@ def anomaly_last_days(spark, sf):
 
 
 @query("anomaly_severity", q.sql(RAW_Z, select=(
-    f"SELECT event_id, {q.r('value', 4, 'value')}, {q.r('z', 2, 'z_score')}, {GRADE} AS severity FROM z WHERE abs(z) > 3")))
+    f"SELECT event_id, {q.r('value', 4, 'value')}, round(z, 2) AS z_score, {GRADE} AS severity FROM z WHERE abs(z) > 3")))
 def anomaly_severity(spark, sf):
     found = op.detect(b.events(spark, sf), "value")
-    return found.select("event_id", r("value", 4), r("z_score", 2), op.severity(F.col("z_score")).alias("severity"))
+    return found.select("event_id", r("value", 4), F.round("z_score", 2).alias("z_score"), op.severity(F.col("z_score")).alias("severity"))
 
 
 @query("anomaly_type", q.sql(RAW_Z, select=(
@@ -90,13 +90,21 @@ def anomaly_rate(spark, sf):
 
 @query("anomaly_overlay", q.sql(
     HOUR_Z, "cut AS (SELECT max(ts) - INTERVAL 10 DAY AS c FROM z)",
-    "recent AS (SELECT ts, p, z, row_number() OVER (ORDER BY ts) - 1 AS j FROM z, cut WHERE ts >= c)", select=(
-        "SELECT 'series' AS kind, ts, round(p, 4) AS value, NULL::DOUBLE AS z_score FROM recent WHERE j % 6 = 0 UNION ALL "
+    "recent AS (SELECT ts, p, z FROM z, cut WHERE ts >= c)", select=(
+        "SELECT 'series' AS kind, ts, round(p, 4) AS value, NULL::DOUBLE AS z_score FROM recent UNION ALL "
         "SELECT 'anomaly', ts, round(p, 4), round(z, 2) FROM recent WHERE abs(z) > 2")))
 def anomaly_overlay(spark, sf):
     return op.overlay(b.hourly_power(spark, sf), TARGET, 10, threshold=2.0)
 
 
+@query("anomaly_overlay_thinned", q.sql(HOUR_Z, "seq AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS j FROM z)", select=(
+    "SELECT 'series' AS kind, ts, round(p, 4) AS value, NULL::DOUBLE AS z_score FROM seq WHERE j % 12 = 0 UNION ALL "
+    "SELECT 'anomaly', ts, round(p, 4), round(z, 2) FROM seq WHERE abs(z) > 2")))
+def anomaly_overlay_thinned(spark, sf):
+    """The dashboard's display of the whole history: every 12th row and all anomalies."""
+    return op.overlay(b.hourly_power(spark, sf), TARGET, threshold=2.0, step=12)
+
+
 @query("anomaly_export", q.sql(HOUR_Z, select=(
     "SELECT strftime(ts, '%Y-%m-%d %H:%M') AS \"Timestamp\", round(p, 4) AS \"Power_kW\", round(z, 2) AS \"Z_Score\" "
     "FROM z WHERE abs(z) > 3")))

@@ -74,7 +74,7 @@ def power_kde(spark, sf):
 
 
 @query("seasonal_decompose", q.sql(
-    q.DAILY, CUT,
+    q.DAILY, "cut AS (SELECT ts, p, o AS i FROM days)",
     "t AS (SELECT ts, p, i, CASE WHEN count(p) OVER w = 7 THEN avg(p) OVER w END AS trend FROM cut "
     "WINDOW w AS (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))",
     "ph AS (SELECT i % 7 AS f, avg(p - trend) AS s FROM t GROUP BY 1)",
@@ -86,7 +86,7 @@ def seasonal_decompose(spark, sf):
     return parts.select("ts", *[r(c) for c in ("observed", "trend", "seasonal", "resid")])
 
 
-ACF = ("tail AS (SELECT ts, p, row_number() OVER (ORDER BY ts) - 1 AS i FROM days WHERE o >= n - 1000)",
+ACF = ("tail AS (SELECT ts, p, o AS i FROM days)",
        "c AS (SELECT i, p - avg(p) OVER () AS x FROM tail)",
        "acf AS (SELECT k AS lag, sum(a.x * b.x) / (SELECT sum(x * x) FROM c) AS acf "
        "FROM (SELECT unnest(range(49)) AS k) JOIN c a ON true JOIN c b ON b.i = a.i + k GROUP BY 1)")

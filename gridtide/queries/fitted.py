@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridtide.operators import clean, features, splits
+from gridtide.operators import clean, evaluate, features, splits
 from gridtide.operators import models as op
 from gridtide.queries import bindings as b
 from gridtide.queries.registry import query, r
 from gridtide.schemas import TARGET
 from gridtide.session import materialise, scratch_path
 
-SMALL = {"maxIter": 8, "maxDepth": 4}  # fixture size; the operator's defaults are the full fit
-
 
 def filled_hours(spark, sf):
     return materialise(clean.fill_missing(b.hourly_power(spark, sf), [TARGET]))
@@ -29,7 +27,7 @@ def labelled(spark, sf, val_ratio: float = 0.0):
 
 def trees(table) -> op.TreeForecaster:
     cols = features.feature_columns(table, not_features=("ts", "slot", "split", "ord", "rows"))
-    return op.TreeForecaster(cols, TARGET, SMALL)
+    return op.TreeForecaster(cols, TARGET)
 
 
 @query("gbt_forecast")
@@ -42,7 +40,7 @@ def gbt_forecast(spark, sf):
 @query("gbt_best_iteration")
 def gbt_best_iteration(spark, sf):
     table = labelled(spark, sf, 0.1)
-    model = trees(table).fit(table.where("split = 'train'"), table.where("split = 'validation'"), patience=3)
+    model = trees(table).fit(table.where("split = 'train'"), table.where("split = 'validation'"))
     kept = model.trees.getNumTrees
     rows = [(i, float(err), i == kept) for i, err in model.history]
     return spark.createDataFrame(rows, "iteration int, validation_mse double, is_best boolean")
@@ -51,9 +49,7 @@ def gbt_best_iteration(spark, sf):
 @query("gbt_cv")
 def gbt_cv(spark, sf):
     table = feature_rows(spark, sf)
-    model = trees(table)
-    model.params = {"maxIter": 3, "maxDepth": 3}
-    return op.cross_validate(model, table)
+    return op.cross_validate(trees(table), table)
 
 
 def _importance(spark, sf):
@@ -106,18 +102,18 @@ def sarima_hr_fitted(spark, sf):
     return op.SeasonalForecaster(TARGET).fit(table).fitted(table).select("ts", r(TARGET), r("p"))
 
 
-def scaled_sequences(spark, sf):
-    table = filled_hours(spark, sf)
-    ranges = features.value_range(table, TARGET)
+def scaled_sequences(spark, sf, test_ratio: float = 0.1):
+    """The filled hours scaled by the range of their train rows, and labelled sequences."""
+    table = materialise(splits.split_temporal(filled_hours(spark, sf), test_ratio))
+    ranges = features.value_range(table.where("split = 'train'"), TARGET)
     scaled = materialise(features.scale(table, TARGET, ranges))
-    return scaled, ranges, features.sequences(scaled, "scaled")
+    return scaled, ranges, materialise(features.sequences(scaled, "scaled"))
 
 
 @query("sequence_forecast")
 def sequence_forecast(spark, sf):
     """One-step predictions on the last tenth, in the original scale."""
-    _, ranges, seqs = scaled_sequences(spark, sf)
-    table = materialise(splits.split_temporal(seqs, 0.1))
+    _, ranges, table = scaled_sequences(spark, sf)
     model = op.SequenceForecaster().fit(table.where("split = 'train'"))
     test = model.predict(table.where("split = 'test'"))
     return features.unscale(test, "p", ranges, into="pred").select("ts", r(TARGET), r("pred"))
@@ -126,11 +122,37 @@ def sequence_forecast(spark, sf):
 @query("sequence_multistep")
 def sequence_multistep(spark, sf):
     scaled, ranges, seqs = scaled_sequences(spark, sf)
-    ahead = op.SequenceForecaster().fit(seqs).multi_step(scaled, "scaled", 48)
+    ahead = op.SequenceForecaster().fit(seqs.where("split = 'train'")).multi_step(scaled, "scaled", 48)
     return features.unscale(ahead, "p", ranges, into="pred").select("step", "ts", r("pred"))
 
 
 @query("training_history")
 def training_history(spark, sf):
     _, _, seqs = scaled_sequences(spark, sf)
-    return op.SequenceForecaster().fit(seqs).history(seqs).select("iteration", r("loss"))
+    return op.SequenceForecaster().fit(seqs.where("split = 'train'")).history(seqs).select("iteration", r("loss"))
+
+
+@query("train_and_compare")
+def train_and_compare(spark, sf):
+    """Seasonal, tree and sequence model fitted on one train range, scored on one test range and ranked."""
+    table = materialise(splits.split_temporal(clean.fill_missing(b.hourly(spark, sf), b.MEASURES)))
+    train, test = table.where("split = 'train'"), table.where("split = 'test'").select("ts", TARGET)
+    rows = features.feature_table(table.drop("split")).join(table.select("ts", "split"), "ts")
+    tabular = materialise(rows)
+
+    def seasonal():
+        model = op.SeasonalForecaster(TARGET).fit(train.select("ts", "slot", TARGET))
+        return model.forecast(train.select("ts", "slot", TARGET), test.count()).select("ts", "p")
+
+    def boosted():
+        return trees(tabular).fit(tabular.where("split = 'train'")).predict(tabular.where("split = 'test'")).select("ts", "p")
+
+    def sequence():
+        ranges = features.value_range(train, TARGET)
+        seqs = materialise(features.sequences(materialise(features.scale(table, TARGET, ranges)), "scaled"))
+        found = op.SequenceForecaster().fit(seqs.where("split = 'train'")).predict(seqs.where("split = 'test'"))
+        return features.unscale(found, "p", ranges, into="pred").select("ts", F.col("pred").alias("p"))
+
+    forecasts = {"seasonal": seasonal(), "trees": boosted(), "sequence": sequence()}
+    metrics = evaluate.evaluate(evaluate.align(test, forecasts, value=TARGET))
+    return evaluate.leaderboard(evaluate.with_failures(metrics, list(forecasts)))

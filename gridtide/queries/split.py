@@ -44,11 +44,10 @@ def split_validation(spark, sf):
     return op.split_temporal(known_days(spark, sf), val_ratio=0.1).select("ts", "split")
 
 
-@query("split_tail", q.sql(q.DAILY, "cut AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS m "
-                           "FROM days WHERE o >= n - 2000)", select=(
-    "SELECT ts, CASE WHEN i >= floor(m * (1 - 0.2::DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM cut")))
+@query("split_tail", q.sql(q.DAILY, select=(
+    f"SELECT ts, CASE WHEN o >= {TRAIN} THEN 'test' ELSE 'train' END AS split FROM days")))
 def split_tail(spark, sf):
-    return op.split_temporal(op.tail(known_days(spark, sf), 2000)).select("ts", "split")
+    return op.split_tail(known_days(spark, sf)).select("ts", "split")
 
 
 @query("split_sequences", q.sql(q.HOURS, select=(

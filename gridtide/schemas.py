@@ -27,11 +27,3 @@ METRICS = T.StructType(
     + [T.StructField(name, T.DoubleType())
        for name in ("MAE", "RMSE", "MAPE", "SMAPE", "R2", "Adj_R2")]
 )
-
-
-def processed(measures: tuple[str, ...]) -> T.StructType:
-    """Schema of a cleaned, resampled table."""
-    return T.StructType(
-        [T.StructField("ts", T.TimestampNTZType()), T.StructField("slot", T.LongType())]
-        + [T.StructField(name, T.DoubleType()) for name in measures]
-    )

@@ -8,16 +8,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.schemas import RAW_MEASURES, RAW_TEXT, processed
+from gridtide.schemas import RAW_MEASURES, RAW_TEXT
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     """A ``;``-separated meter file: day-first date and time, ``?`` for missing, seven measures.
 
-    Text that is not a number, and NaN, become null. Rows keep file order nowhere; order is
-    explicit wherever it matters.
+    Columns are found by the names in the header, in any order; a missing one is an error, as is a
+    second file with another header. Text that is not a number, and NaN, become null. Rows keep file
+    order nowhere; order is explicit wherever it matters.
     """
-    text = spark.read.schema(RAW_TEXT).option("sep", ";").option("header", True).csv(path)
+    text = spark.read.option("sep", ";").option("header", True).option("enforceSchema", False).csv(path)
+    absent = [c for c in RAW_TEXT.names if c not in text.columns]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in {path}")
     date, clock = F.split("Date", "/"), F.split("Time", ":")
     parts = [F.get(date, F.lit(i)) for i in (2, 1, 0)] + [F.get(clock, F.lit(i)) for i in (0, 1)]
     second = F.get(clock, F.lit(2)).try_cast("decimal(16,6)")
@@ -53,11 +57,21 @@ def write_table(df: DataFrame, path: str, *, time: str = "ts", fmt: str = "parqu
 
 
 def load_processed(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:
-    """A processed table; fails when it is absent."""
+    """Time, slot, series keys and the asked measures of a processed table.
+
+    Fails when the table or a measure is absent. Columns that are no numbers with a fraction, such as
+    series keys and the date, always stay.
+    """
     try:
-        return spark.read.schema(processed(tuple(measures))).parquet(path)
+        table = spark.read.parquet(path)
     except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise FileNotFoundError(f"no processed table at {path}") from e
+    absent = [c for c in measures if c not in table.columns]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} in {path}")
+    return table.select(*[c for c, kind in table.dtypes if c in measures or kind not in ("double", "float")])
 
 
 def first_available(spark: SparkSession, paths: Sequence[str], measures: Sequence[str]) -> DataFrame:

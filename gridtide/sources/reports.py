@@ -18,7 +18,9 @@ def load_metrics(spark: SparkSession, path: str) -> DataFrame:
     """Saved metrics; no rows when none were saved."""
     try:
         return spark.read.schema(METRICS).json(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], METRICS)
 
 

@@ -8,13 +8,14 @@ for folder in (ROOT, ROOT / "tests"):
     if str(folder) not in sys.path:
         sys.path.insert(0, str(folder))
 
-from gridtide.session import local_session  # noqa: E402
+from gridtide.session import local_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, "tests")
     yield session
+    release(session)
     session.stop()
 
 

@@ -225,3 +225,38 @@ def test_rows_without_key_are_a_series(spark, series):
     assert hours.count() == 8 and anomalies.zscores(hours, "x", keys=["k"]).count() == 5
     ends = splits.split_temporal(hours, 0.5, keys=["k"]).groupBy("k", "split").count().collect()
     assert {r["count"] for r in ends} == {2} and len(ends) == 4
+
+
+def test_rows_without_prediction_count_nowhere(spark):
+    from gridtide.operators import evaluate
+    full = [("a", float(y), float(y) + (0.5 if y % 2 else -0.5)) for y in range(5)]
+    holes = full + [("a", 100.0, None), ("a", None, 3.0)]
+    results = [evaluate.evaluate(spark.createDataFrame(rows, "model string, y double, p double")).first() for rows in (full, holes)]
+    assert results[0] == results[1]
+
+
+def test_no_spread_has_no_density_and_no_correlation(spark, series):
+    from gridtide.operators import diagnostics
+    flat = series([3.0] * 30)
+    assert diagnostics.kde(flat, "x").count() == 0 and diagnostics.kde(flat.withColumn("k", F.lit(1)), "x", keys=["k"]).count() == 0
+    assert {r["acf"] for r in diagnostics.acf(flat, "x", 5).collect()} == {None}
+
+
+def test_density_far_from_the_crowd(series):
+    from gridtide.operators import diagnostics
+    import numpy as np
+    xs = [i % 10 for i in range(500)] + [1000]
+    rows = diagnostics.kde(series(xs), "x").orderBy("point").collect()
+    h = np.std(xs, ddof=1) * len(xs) ** -0.2
+    for row in rows[::50]:
+        direct = np.exp(-0.5 * ((row["x"] - np.array(xs, float)) / h) ** 2).sum() / (len(xs) * h * np.sqrt(2 * np.pi))
+        assert row["density"] == pytest.approx(direct, rel=2e-3, abs=1e-300)
+
+
+def test_models_refuse_several_series(series):
+    from gridtide.operators import models
+    two = series([1.0, 2.0, 3.0]).unionByName(series([1.0, 2.0, 3.0]))
+    with pytest.raises(ValueError):
+        models.adf_decision(two, "x", 1)
+    with pytest.raises(ValueError):
+        models.SeasonalForecaster("x").fit(two)

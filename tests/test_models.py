@@ -50,7 +50,7 @@ def test_seasonal_forecast_beats_naive(series):
 def test_seasonal_stages_match_least_squares(series):
     xs = 10 + np.cumsum(noise(400, 3)) * 0.1 + np.sin(np.arange(400) / 3)
     w = xs[25:] - xs[24:-1] - xs[1:-24] + xs[:-25]
-    k = models.LONG_AR
+    k = models.SeasonalForecaster("x").long_ar
     design = np.array([[1, *[w[i - j] for j in range(1, k + 1)]] for i in range(k, len(w))])
     b1, *_ = np.linalg.lstsq(design, w[k:], rcond=None)
     e = w[k:] - design @ b1
