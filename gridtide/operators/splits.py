@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.plans.chunks import attach, with_ordinal
+from gridtide.plans.chunks import attach, last_rows, with_ordinal
 
 
 def split_temporal(df: DataFrame, test_ratio: float = 0.2, *, val_ratio: float = 0.0,
@@ -35,7 +35,7 @@ def tail(df: DataFrame, n: int, *, keys: Sequence[str] = (), pos: str = "slot")
     """The last ``n`` rows of each series."""
     if not keys:
         return df.orderBy(F.desc(pos)).limit(n)
-    return with_ordinal(df, keys, pos).where(F.col("ord") >= F.col("rows") - n).drop("ord", "rows")
+    return last_rows(df, n, keys, pos)
 
 
 def split_tail(df: DataFrame, n: int | None = None, test_ratio: float = 0.2, *, keys: Sequence[str] = (), pos: str = "slot") -> DataFrame:

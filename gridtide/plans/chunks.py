@@ -72,23 +72,54 @@ def attach(df: DataFrame, per_series: DataFrame, keys: Sequence[str]) -> DataFra
     return df.select("*", *[row.getField(c).alias(c) for c in per_series.columns])
 
 
-def with_ordinal(df: DataFrame, keys: Sequence[str], pos: str = "slot",
-                 size: int = CHUNK) -> DataFrame:
-    """Add ``ord`` (0-based row number by ``pos``) and ``rows`` (row count) per series."""
-    chunked = df.withColumn("_chunk", chunk_of(pos, size))
-    counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    series = Window.partitionBy(*keys)
+def _chunked(df: DataFrame, keys: Sequence[str], chunk: Column) -> DataFrame:
+    """Rows with ``_chunk`` and ``_series``, the keys as one never-null value.
+
+    Both are plain columns that grouping, joining and windows share, so rows shuffle once; null keys
+    compare as equal inside the struct. Rows without a position belong to no chunk and are dropped here,
+    on every branch alike.
+    """
+    placed = df.withColumns({"_chunk": chunk, "_series": F.struct(F.lit(0).alias("_"), *keys)})
+    return placed.where("_chunk IS NOT NULL")
+
+
+def _carried(chunked: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows joined to the table with one row per series and chunk."""
+    named = table.withColumnsRenamed({"_series": "_r_series", "_chunk": "_r_chunk"})
+    match = (F.col("_series") == F.col("_r_series")) & (F.col("_chunk") == F.col("_r_chunk"))
+    return chunked.join(named, match).drop("_r_series", "_r_chunk")
+
+
+def _numbered(chunked: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``ord`` and ``rows`` from counts per chunk and row numbers inside chunks."""
+    counts = chunked.groupBy("_series", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    series = Window.partitionBy("_series")
     earlier = series.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(
-        *keys, "_chunk",
+        "_series", "_chunk",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
         F.sum("_n").over(series).alias("rows"),
     )
-    return (
-        join_on(chunked, bases, keys, ["_chunk"])
-        .withColumn("ord", F.col("_base") + F.row_number().over(chunk_window(keys, pos)) - 1)
-        .drop("_chunk", "_base")
-    )
+    inside = Window.partitionBy("_series", "_chunk").orderBy(*order)
+    return (_carried(chunked, bases).withColumn("ord", F.col("_base") + F.row_number().over(inside) - 1)
+            .drop("_chunk", "_series", "_base"))
+
+
+def with_ordinal(df: DataFrame, keys: Sequence[str], pos: str = "slot",
+                 size: int = CHUNK) -> DataFrame:
+    """Add ``ord`` (0-based row number by ``pos``) and ``rows`` (row count) per series."""
+    return _numbered(_chunked(df, keys, chunk_of(pos, size)), [pos])
+
+
+def last_rows(df: DataFrame, n: int, keys: Sequence[str], pos: str = "slot", size: int = CHUNK) -> DataFrame:
+    """The last ``n`` rows of each series: only chunks that can hold them are numbered."""
+    chunked = _chunked(df, keys, chunk_of(pos, size))
+    counts = chunked.groupBy("_series", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    later = Window.partitionBy("_series").orderBy(F.desc("_chunk")).rowsBetween(Window.unboundedPreceding, -1)
+    held = counts.select("_series", "_chunk", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_after")).where(F.col("_after") < n)
+    inside = Window.partitionBy("_series", "_chunk").orderBy(F.desc(pos))
+    return (_carried(chunked, held).withColumn("_nth", F.row_number().over(inside)).where(F.col("_nth") + F.col("_after") <= n)
+            .drop("_chunk", "_series", "_after", "_nth"))
 
 
 def row_chunk(ordered: DataFrame) -> int:
@@ -97,6 +128,21 @@ def row_chunk(ordered: DataFrame) -> int:
     return max(ROW_CHUNK, -(-longest // MAX_CHUNKS))
 
 
+def with_row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: int = 3600) -> DataFrame:
+    """Like :func:`with_ordinal` for rows in any order.
+
+    The first of ``order``, a time or a number, cuts a series into buckets of ``bucket`` seconds or units;
+    counts per bucket give each bucket's first ordinal, and rows are numbered inside their bucket: one hash
+    shuffle, no global sort. Give ``order`` a unique end, or rows of equal order may be numbered either way;
+    the result is written once, so that all later steps see one numbering.
+    """
+    first = F.col(order[0])
+    if df.schema[order[0]].dataType.typeName().startswith("timestamp"):
+        first = F.unix_micros(first.cast("timestamp")) / 1_000_000
+    chunked = _chunked(df, keys, F.coalesce(F.floor(first / bucket), F.lit(-(1 << 62))))
+    return materialise(_numbered(chunked, order), "ordered")
+
+
 def stage_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Range-partition and sort by ``order``, numbering partitions (``_part``) and rows.
 
@@ -111,25 +157,6 @@ def stage_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
         {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "sorted")
 
 
-def with_row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Like :func:`with_ordinal` for rows in any order, ties and hot timestamps included."""
-    staged = stage_sorted(df, [*keys, *order])
-    runs = staged.groupBy(*keys, "_part").agg(
-        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    series = Window.partitionBy(*keys)
-    earlier = series.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = runs.select(
-        *keys, "_part", "_first",
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"),
-        F.sum("_n").over(series).alias("rows"),
-    )
-    return (
-        join_on(staged, bases, keys, ["_part"])
-        .withColumn("ord", F.col("_base") + F.col("_row") - F.col("_first"))
-        .drop("_part", "_row", "_first", "_base")
-    )
-
-
 def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pos: str = "slot",
                      size: int = CHUNK) -> DataFrame:
     """Add ``_prev_<c>`` and ``_next_<c>``: structs (at, v) of the nearest known values.
@@ -138,26 +165,25 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], po
     (a frame that ends at the partition's end would be recomputed for every row); values from
     other chunks come from a table with one row per series and chunk.
     """
-    chunked = df.withColumn("_chunk", chunk_of(pos, size))
+    chunked = _chunked(df, keys, chunk_of(pos, size))
 
     def known(c: str) -> str:
         return f"CASE WHEN `{c}` IS NOT NULL THEN struct(`{pos}` AS at, CAST(`{c}` AS DOUBLE) AS v) END"
 
-    by = ", ".join(f"`{k}`" for k in keys)
-    series = f"PARTITION BY {by}" if keys else ""
-    edges = chunked.groupBy(*keys, "_chunk").agg(
+    edges = chunked.groupBy("_series", "_chunk").agg(
         *[F.expr(f"max({known(c)}) AS `_last_{c}`") for c in cols],
         *[F.expr(f"min({known(c)}) AS `_first_{c}`") for c in cols],
     )
     before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
     carry = edges.selectExpr(
-        *keys, "_chunk",
-        *[f"last(`_last_{c}`, true) OVER ({series} ORDER BY _chunk {before}) AS `_left_{c}`" for c in cols],
-        *[f"last(`_first_{c}`, true) OVER ({series} ORDER BY _chunk DESC {before}) AS `_right_{c}`" for c in cols],
+        "_series", "_chunk",
+        *[f"last(`_last_{c}`, true) OVER (PARTITION BY _series ORDER BY _chunk {before}) AS `_left_{c}`" for c in cols],
+        *[f"last(`_first_{c}`, true) OVER (PARTITION BY _series ORDER BY _chunk DESC {before}) AS `_right_{c}`" for c in cols],
     )
-    upto = f"OVER ({chunk_sql(keys, pos)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    back = f"OVER ({chunk_sql(keys, pos)} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    return join_on(chunked, carry, keys, ["_chunk"]).selectExpr(
+    inside = f"PARTITION BY _series, _chunk ORDER BY `{pos}`"
+    upto = f"OVER ({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    back = f"OVER ({inside} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return _carried(chunked, carry).selectExpr(
         *[f"`{c}`" for c in df.columns],
         *[f"coalesce(last({known(c)}, true) {upto}, `_left_{c}`) AS `_prev_{c}`" for c in cols],
         *[f"coalesce(last({known(c)}, true) {back}, `_right_{c}`) AS `_next_{c}`" for c in cols],

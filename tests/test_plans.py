@@ -92,3 +92,17 @@ def test_tail_and_stride_per_series(series):
 def test_windows_are_chunked(series):
     plan = features.add_lags(series(range(50)), "x")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "_chunk" in plan
+
+
+def test_fill_shuffles_rows_once(spark):
+    """With broadcasts off, the exchange that joins the carried values also serves the windows."""
+    from gridtide.operators.clean import fill_missing
+    rows = spark.range(20_000).selectExpr("id % 3 AS k", "id AS slot", "CASE WHEN id % 5 > 0 THEN CAST(id AS DOUBLE) END AS x")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = fill_missing(rows, ["x"], keys=["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    main = [line for line in plan.splitlines() if "Exchange hashpartitioning(_series" in line and "_chunk" in line]
+    assert len(main) == 2, plan  # the rows, and the edges behind the carried values
