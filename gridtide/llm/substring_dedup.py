@@ -18,7 +18,6 @@ must, so windows are dealt by content:
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from gridtide.llm.hash_filter import build_filter
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import Words, mix, rolling_hashes, slices
+from gridtide.llm.textkit import Words, rolling_hashes, slices
 from gridtide.session import materialise
 
 ANCHOR = 8                  # words of an anchor at most
-SHARD_BYTES = 8 << 20       # text of a shard, about
+SHARD_BYTES = 4 << 20       # text of a shard, about
 HOT_SEGMENTS = 20_000       # different segments of one anchor; beyond, its windows are dealt one by one
-FILTER_BITS = 1 << 28       # bits of the anchor filter at most (32 MB), 16 per anchor below that
-BROADCAST_ROWS = 200_000    # rows of text keys or intervals sent to every executor at most; beyond, a shuffled join
+BROADCAST_BYTES = 8 << 20   # text keys or intervals sent to every executor at most; beyond, a shuffled join
 
 
 # --- compressed full-text index ------------------------------------------------------------------------------------------
@@ -203,56 +202,11 @@ def _anchor_rows(window: int):
     return run
 
 
-def _filter_chunks(bits: int, chunk_bits: int):
-    """Bits set by the anchors of each chunk of the filter; a chunk's anchors are all in one partition."""
-    schema = pa.schema([("chunk", pa.int32()), ("bitmap", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            slot = _filter_slot(batch.column(0).to_numpy().view(np.uint64), bits)
-            for chunk in np.unique(slot // chunk_bits):
-                own = slot[slot // chunk_bits == chunk] % chunk_bits
-                chunks.setdefault(int(chunk), np.zeros(chunk_bits, bool))[own] = True
-        for chunk, flags in chunks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()),
-                                              pa.array([zlib.compress(np.packbits(flags).tobytes(), 1)], pa.binary())], schema=schema)
-    return run
-
-
-def _filter_slot(anchors: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(anchors) >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64)
-
-
-def _anchor_filter(anchors: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bitmap that holds every repeated anchor; others pass now and then, which only costs work."""
-    bits = 1 << max(16, min((16 * max(n, 1) - 1).bit_length(), (FILTER_BITS - 1).bit_length()))
-    chunk_bits = min(bits, 1 << 22)
-    keyed = anchors.select("anchor").withColumn("deal", F.lit(0))
-    rows = keyed.select("anchor").mapInArrow(_with_chunk(bits, chunk_bits), "anchor long, chunk int")
-    made = rows.repartition("chunk").select("anchor").mapInArrow(_filter_chunks(bits, chunk_bits), "chunk int, bitmap binary")
-    bitmap = np.zeros((bits // chunk_bits, chunk_bits // 8), np.uint8)
-    for row in made.toLocalIterator():
-        bitmap[row["chunk"]] = np.frombuffer(zlib.decompress(bytes(row["bitmap"])), np.uint8)
-    return bitmap.reshape(-1), bits
-
-
-def _with_chunk(bits: int, chunk_bits: int):
-    schema = pa.schema([("anchor", pa.int64()), ("chunk", pa.int32())])
-
-    def run(batches):
-        for batch in batches:
-            slot = _filter_slot(batch.column(0).to_numpy().view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((slot // chunk_bits).astype(np.int32))], schema=schema)
-    return run
-
-
-def _segment_rows(window: int, bits: int, filter_):
+def _segment_rows(window: int, filter_):
     schema = pa.schema([("anchor", pa.int64()), ("segment", pa.binary()), ("k1", pa.int64()), ("k2", pa.int64()),
                         ("start", pa.int32()), ("windows", pa.int32()), ("words", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = filter_.value
         for batch in batches:
             rows, held = [[] for _ in range(7)], 0
 
@@ -264,8 +218,7 @@ def _segment_rows(window: int, bits: int, filter_):
                 places, runs = _anchors(hashes, window)
                 first = np.flatnonzero(np.diff(places, prepend=-1))
                 anchors = runs[places[first]]
-                slot = _filter_slot(anchors, bits)
-                kept = (bitmap[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
+                kept = filter_.value.passes(anchors)
                 stop = np.append(first[1:], len(places))
                 for i in np.flatnonzero(kept):
                     a, b = int(first[i]), int(stop[i])
@@ -318,37 +271,56 @@ def _match(window: int):
     return run
 
 
+def _merge(window: int):
+    """Per text the covered word ranges, joined where they touch, as pairs of 32-bit numbers."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("ranges", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column("spans"):
+                lo, hi = (spans.values.field(i).to_numpy() for i in (0, 1))
+                order = np.argsort(lo, kind="stable")
+                lo, end = lo[order], np.maximum.accumulate(hi[order] + window)
+                first = np.flatnonzero(np.concatenate([[True], lo[1:] > end[:-1]]))
+                last = np.append(first[1:], len(lo)) - 1
+                out.append(np.stack([lo[first], end[last]], axis=1).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(out, pa.binary())], schema=schema)
+    return run
+
+
 def _strip(window: int, at: dict[str, int], schema: pa.Schema):
-    """Texts without the words their intervals cover."""
+    """Texts without the words of their ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, removed = [], [], []
-            for text, spans, copies in zip(batch.column(at["text"]), batch.column(at["spans"]), batch.column(at["copies"])):
+            for text, ranges, copies in zip(*(batch.column(at[c]) for c in ("text", "ranges", "copies"))):
                 words = (text.as_py() or "").encode("utf-8").split()  # at ASCII white space, as bytes split
                 n = len(words)
                 if n >= window and (copies.as_py() or 1) > 1:
                     words = []
-                elif spans.is_valid:
+                elif ranges.is_valid:
                     keep = np.ones(n, bool)
-                    for lo, hi in zip(spans.values.field(0).to_pylist(), spans.values.field(1).to_pylist()):
-                        keep[lo:hi + window] = False
+                    for lo, hi in np.frombuffer(ranges.as_py(), "<i4").reshape(-1, 2).tolist():
+                        keep[lo:hi] = False
                     words = [words[i] for i in np.flatnonzero(keep)]
                 kept.append(b" ".join(words).decode("utf-8"))
                 total.append(n)
                 removed.append(n - len(words))
-            rest = [c for i, c in enumerate(batch.columns) if i not in (at["spans"], at["copies"])]
+            rest = [c for i, c in enumerate(batch.columns) if i not in (at["ranges"], at["copies"])]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
                                               pa.array(kept, pa.string())], schema=schema)
     return run
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """A written table, to be sent to every executor if it is small enough."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _bounded(table: DataFrame, payload: str | None = None) -> DataFrame:
+    """A written table, to be sent to every executor if its bytes are few enough."""
+    size = F.count("*") * 32 + (F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)) if payload else F.lit(0))
+    return F.broadcast(table) if table.agg(size).first()[0] <= BROADCAST_BYTES else table
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two written tables: text keys with copies (over 1), and intervals of window starts per text key."""
+    """Two written tables: text keys with copies (over 1), and covered word ranges per text key."""
     spark = shipped(docs.sparkSession)
     keyed = docs.where(F.col(text_col).isNotNull()).select(
         F.xxhash64(text_col).alias("k1"), F.xxhash64(F.lit(1), text_col).alias("k2"), F.col(text_col).alias("text"))
@@ -359,9 +331,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, text_col: str = "text") ->
 
     anchors = base.select("text").mapInArrow(_anchor_rows(window), "anchor long")
     repeated = materialise(anchors.groupBy("anchor").count().where("count > 1"), "anchors")
-    bitmap, bits = _anchor_filter(repeated, repeated.count())
+    known = spark.sparkContext.broadcast(build_filter(repeated, "anchor", repeated.count()))
     shape = "anchor long, segment binary, k1 long, k2 long, start int, windows int, words string"
-    raw = materialise(base.mapInArrow(_segment_rows(window, bits, spark.sparkContext.broadcast(bitmap)), shape), "segments")
+    raw = materialise(base.mapInArrow(_segment_rows(window, known), shape), "segments")
     # an anchor that passed by chance meets nothing in its shard
     different = materialise(raw.groupBy("anchor", "segment").agg(F.first("words").alias("words"), F.count("*").alias("times")), "different")
     per_anchor = different.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("all"), F.sum(F.octet_length("words")).alias("bytes"))
@@ -377,7 +349,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     placed = raw.select("segment", "k1", "k2", "start").join(found, "segment")
     spans = placed.groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"),
                                                                    (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
-    return copies, materialise(spans, "spans")
+    return copies, materialise(spans.mapInArrow(_merge(window), "k1 long, k2 long, ranges binary"), "ranges")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, text_col: str = "text") -> DataFrame:
@@ -389,16 +361,14 @@ def remove_repeats(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     text; a text shorter than the window keeps all its words. An empty table gives no rows. Columns of
     ``docs`` with the three new names are replaced, all others pass.
     """
-    copies, spans = repeated_spans(docs, window, text_col)
-    new = ("n_words", "n_removed", "kept_text")
-    own = docs.drop(*new)
-    keyed = own.withColumns({"_k1": F.xxhash64(text_col), "_k2": F.xxhash64(F.lit(1), text_col)})
-    joined = keyed
-    for side in (copies, spans):
-        side = _bounded(side.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}))
-        joined = joined.join(side, ["_k1", "_k2"], "left")
-    joined = joined.select(*own.columns, "spans", "copies")
+    copies, ranges = repeated_spans(docs, window, text_col)
+    own = docs.drop("n_words", "n_removed", "kept_text")
+    joined = own.withColumns({"__k1": F.xxhash64(text_col), "__k2": F.xxhash64(F.lit(1), text_col)})
+    sides = {"copies": _bounded(copies), "ranges": _bounded(ranges, "ranges")}
+    for name, side in sides.items():
+        joined = joined.join(side.withColumnsRenamed({"k1": "__k1", "k2": "__k2", name: f"__{name}"}), ["__k1", "__k2"], "left")
+    joined = joined.select(*own.columns, "__ranges", "__copies")
     schema = StructType([*own.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()),
                          StructField("kept_text", StringType())])
-    at = {"text": joined.columns.index(text_col), "spans": joined.columns.index("spans"), "copies": joined.columns.index("copies")}
+    at = {"text": joined.columns.index(text_col), "ranges": len(own.columns), "copies": len(own.columns) + 1}
     return joined.mapInArrow(_strip(window, at, to_arrow_schema(schema)), schema)
