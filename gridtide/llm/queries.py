@@ -11,7 +11,7 @@ from gridtide.llm.language_id import learn_languages, predict_language
 from gridtide.llm.license_scan import licence_sql, scan_licences
 from gridtide.llm.quality_ranking import learn_quality, score_quality
 from gridtide.llm.quality_rules import line_frequency_rules
-from gridtide.llm.sentencepiece_codec import decode, encode
+from gridtide.llm.sentencepiece_codec import encode
 from gridtide.llm.substring_dedup import remove_repeats
 from gridtide.llm.url_filter import judge_urls, learn_urls, with_rules
 
@@ -44,8 +44,7 @@ def op1_sentencepiece(spark, sf):
     """Ids of every whole text and the text they decode to, as digests."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = decode(encode(documents(spark, sf, "doc_id", "text"), model), model)
+    coded = encode(documents(spark, sf, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"), decoded_col="decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import slices
+from gridtide.llm.textkit import slices, with_columns
 
 MARK = "▁"
 PACK_BYTES = 1 << 19     # text per pack of documents
 BLOCK_BYTES = 12 << 20   # text per block
-BUCKET_BYTES = 96 << 20  # corpus bytes per bucket of distinct chunks
+BUCKET_BYTES = 16 << 20  # corpus bytes per bucket of distinct chunks
+MOST_BUCKETS = 4096      # so that a block's list per bucket stays worth a row
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -103,7 +104,7 @@ def _split(payload: bytes) -> list[str]:
 
 def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of documents as compressed Arrow tables."""
-    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
     for batch in batches:
         for lo, hi, _, _ in slices(batch.column("text"), PACK_BYTES):
             sink = pa.BufferOutputStream()
@@ -117,20 +118,24 @@ def _unpacked(packs: pa.Table) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(pack.as_buffer()).read_all()
 
 
+def _asked(packs: pa.Table, buckets: int) -> dict[int, list[str]]:
+    """A block's distinct chunks by bucket, in order."""
+    distinct: set[str] = set()
+    for docs in _unpacked(packs):
+        for text in docs.column("text"):
+            distinct.update(chunks(text.as_py() or ""))
+    lists: dict[int, list[str]] = {}
+    for chunk in sorted(distinct):
+        lists.setdefault(zlib.crc32(chunk.encode("utf-8")) % buckets, []).append(chunk)
+    return lists
+
+
 def _ask(buckets: int):
     """A block's distinct chunks, one row per bucket."""
-    def run(table: pa.Table) -> pa.Table:
-        distinct: set[str] = set()
-        for docs in _unpacked(table):
-            for text in docs.column("text"):
-                distinct.update(chunks(text.as_py() or ""))
-        lists: list[list[str]] = [[] for _ in range(buckets)]
-        for chunk in distinct:
-            lists[zlib.crc32(chunk.encode("utf-8")) % buckets].append(chunk)
-        used = [i for i, x in enumerate(lists) if x]
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(used), pa.int64()), "bucket": pa.array(used, pa.int32()),
-                         "asked": pa.array([_join(sorted(lists[i])) for i in used], pa.binary())})
+    def run(packs: pa.Table) -> pa.Table:
+        lists = _asked(packs, buckets)
+        return pa.table({"block": pa.array([packs.column("block")[0].as_py()] * len(lists), pa.int64()),
+                         "bucket": pa.array(list(lists), pa.int32()), "asked": pa.array([_join(x) for x in lists.values()], pa.binary())})
     return run
 
 
@@ -140,7 +145,7 @@ def _width(processor) -> type:
 
 def _segment(model: bytes):
     """Segments each distinct chunk of a partition once and answers every block that asked."""
-    schema = pa.schema([("block", pa.int64()), ("asked", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("check", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor, known, bucket = _processor(model), {}, None
@@ -157,79 +162,87 @@ def _segment(model: bytes):
                 parts = [known[x] for x in asked]
                 sizes = np.array([len(x) // width().itemsize for x in parts], np.int32)
                 answer = _squeeze(sizes.tobytes() + b"".join(parts))
-                yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), pa.array([payload], pa.binary()),
-                                                  pa.array([answer], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(row, 1), batch.column("bucket").slice(row, 1),
+                                                  pa.array([zlib.crc32(payload)], pa.int64()), pa.array([answer], pa.binary())], schema=schema)
     return run
 
 
-def _place(model: bytes):
-    """Documents of a block with their ids, laid out by position from the block's answers."""
+def _place(model: bytes, buckets: int, decoded: bool):
+    """Documents of a block with their ids, laid out by position from the block's answers, and their text again."""
     def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
         processor = _processor(model)
         width = _width(processor)
         known: dict[str, bytes] = {}
-        for payload, answer in zip(answers.column("asked"), answers.column("ids")):
-            asked, raw = _split(payload.as_py()), _expand(answer.as_py())
+        lists = _asked(packs, buckets)
+        for bucket, check, answer in zip(*(answers.column(c) for c in ("bucket", "check", "ids"))):
+            asked = lists.get(bucket.as_py(), [])
+            if zlib.crc32(_join(asked)) != check.as_py():
+                continue  # a block dealt anew after a lost executor may hold other documents
+            raw = _expand(answer.as_py())
             end = (np.cumsum(np.frombuffer(raw, np.int32, len(asked)), dtype=np.int64) * width().itemsize + 4 * len(asked)).tolist()
             begin = 4 * len(asked)
             for chunk, stop in zip(asked, end):
                 known[chunk] = raw[begin:stop]
                 begin = stop
+        del lists
         out = []
         for docs in _unpacked(packs):
-            values, offsets = [], [0]
+            values, offsets, again = [], [0], []
             for text in docs.column("text"):
                 parts = chunks(text.as_py() or "")
                 try:
                     raw = b"".join([known[x] for x in parts])
-                except KeyError:  # a block dealt anew after a lost executor may hold other documents
+                except KeyError:
                     raw = np.array(processor.encode(text.as_py()), width).tobytes()
                 values.append(raw)
                 offsets.append(offsets[-1] + len(raw) // width().itemsize)
+                if decoded:
+                    again.append(processor.decode(np.frombuffer(raw, width).tolist()))
             flat = pa.array(np.frombuffer(b"".join(values), width).astype(np.int32))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            out.append(pa.table([docs.column("id").combine_chunks(), ids], names=["id", "ids"]))
+            columns = [docs.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)]
+            out.append(pa.table(columns + [pa.array(again, pa.string())] * decoded, names=["id", "ids", "decoded"][:2 + decoded]))
         return pa.concat_tables(out)
     return run
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", id_col: str = "doc_id", ids_col: str = "ids",
+           decoded_col: str | None = None) -> DataFrame:
     """``id_col`` and ``ids_col``: the ids the library gives the whole text, without begin or end ids.
 
+    With ``decoded_col`` also the text that the library's ``decode`` gives for these ids, in the same task.
     One row per row of ``docs``, also for repeated rows and null ids; a null or empty text has no ids
     (an empty list). An empty table gives no rows. Other columns are not read.
     """
     spark = shipped(docs.sparkSession)
     model = read_model(model_path)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks, buckets = max(12, -(-total // BLOCK_BYTES)), max(12, -(-total // BUCKET_BYTES))
+    blocks, buckets = max(12, -(-total // BLOCK_BYTES)), min(MOST_BUCKETS, max(12, -(-total // BUCKET_BYTES)))
     table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     dealt = table.mapInArrow(_packs, "pack binary").select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block"), "pack")
     asked = dealt.groupBy("block").applyInArrow(_ask(buckets), "block long, bucket int, asked binary")
     answers = (asked.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-               .mapInArrow(_segment(model), "block long, asked binary, ids binary"))
-    kind = table.schema["id"].dataType.simpleString()
-    placed = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_place(model), f"id {kind}, ids array<int>")
-    return placed.select(F.col("id").alias(id_col), F.col("ids").alias(ids_col))
+               .mapInArrow(_segment(model), "block long, bucket int, check long, ids binary"))
+    shape = f"id {table.schema['id'].dataType.simpleString()}, ids array<int>" + ", decoded string" * bool(decoded_col)
+    placed = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_place(model, buckets, bool(decoded_col)), shape)
+    return placed.toDF(id_col, ids_col, *[decoded_col] * bool(decoded_col))
 
 
-def _decoder(model: bytes, place: int, schema: pa.Schema):
+def _decoder(model: bytes, place: int, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = _processor(model)
         for batch in batches:
             column = batch.column(place)
             texts = [None if not x.is_valid else processor.decode(x.values.to_numpy().tolist()) for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=schema)
+            yield with_columns(batch, {into: pa.array(texts, pa.string())})
     return run
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``coded`` with the text of its ids as the library's ``decode`` gives it; null ids give null."""
-    from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StringType, StructField, StructType
 
     shipped(coded.sparkSession)
     rest = coded.drop(into)
     schema = StructType([*rest.schema.fields, StructField(into, StringType())])
-    return rest.mapInArrow(_decoder(read_model(model_path), rest.columns.index(ids_col), to_arrow_schema(schema)), schema)
+    return rest.mapInArrow(_decoder(read_model(model_path), rest.columns.index(ids_col), into), schema)
