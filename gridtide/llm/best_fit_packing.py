@@ -24,6 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from gridtide.llm.shipping import shipped
+from gridtide.llm.textkit import with_columns
 from gridtide.session import materialise
 
 SALT_ROWS = 500_000  # pieces of one length that one task numbers, about
@@ -187,7 +188,7 @@ def plan_bins(counts: dict[int, int], size: int) -> Plan:
     return Plan(*columns, bins)
 
 
-def _assign(plan: Plan, length_at: int, rank_at: int, schema: pa.Schema):
+def _assign(plan: Plan, length_at: int, rank_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top = np.int64(1) << np.int64(46)
         keys = plan.length * top + plan.rank
@@ -197,8 +198,7 @@ def _assign(plan: Plan, length_at: int, rank_at: int, schema: pa.Schema):
             nth = rank - plan.rank[row]
             sequence = plan.sequence[row] + nth // plan.times[row]
             offset = plan.offset[row] + nth % plan.times[row] * length
-            kept = [c for i, c in enumerate(batch.columns) if i != rank_at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], schema=schema)
+            yield with_columns(batch, {"sequence_id": pa.array(sequence), "offset": pa.array(offset)}, (rank_at,))
     return run
 
 
@@ -225,7 +225,7 @@ def pack(pieces: DataFrame, size: int = 1024, length_col: str = "length") -> Dat
               .join(bases, (F.col(length_col) == F.col("_length")) & (F.col("_salt") == F.col("_s")))
               .select(*rows.columns, (F.col("_nth") + F.col("_base")).alias("_rank")))
     schema = StructType([*rows.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(_assign(plan, ranked.columns.index(length_col), len(rows.columns), to_arrow_schema(schema)), schema)
+    return ranked.mapInArrow(_assign(plan, ranked.columns.index(length_col), len(rows.columns)), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2,

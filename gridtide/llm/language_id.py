@@ -15,11 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import raw_bytes
+from gridtide.llm.textkit import raw_bytes, with_columns
 
 WINDOW = 96          # bytes of a text that run as one sequence
 COLUMNS = 2048       # windows that run side by side
@@ -214,7 +213,7 @@ def learn_languages(labelled: DataFrame, text_col: str = "text", label_col: str
     return train_network([r[0].encode("utf-8") for r in rows], [r[1] for r in rows])
 
 
-def _predict(network: ByteNetwork, place: int, schema: pa.Schema):
+def _predict(network: ByteNetwork, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*network.labels, UNKNOWN], dtype=object)
         for batch in batches:
@@ -232,8 +231,7 @@ def _predict(network: ByteNetwork, place: int, schema: pa.Schema):
                 labels += names[np.where(blank, len(network.labels), best)].tolist()
                 scores.append(np.where(blank, 0.0, np.clip(score, 0, 1)))
                 lo = hi
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.string()),
-                                              pa.array(np.concatenate(scores) if scores else [], pa.float64())], schema=schema)
+            yield with_columns(batch, {"lang_pred": pa.array(labels, pa.string()), "score": pa.array(np.concatenate(scores) if scores else [], pa.float64())})
     return run
 
 
@@ -246,4 +244,4 @@ def predict_language(docs: DataFrame, network: ByteNetwork, text_col: str = "tex
     shipped(docs.sparkSession)
     rest = docs.drop("lang_pred", "score")
     schema = StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rest.mapInArrow(_predict(network, rest.columns.index(text_col), to_arrow_schema(schema)), schema)
+    return rest.mapInArrow(_predict(network, rest.columns.index(text_col)), schema)

@@ -24,12 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gridtide.llm.hash_filter import build_filter
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import Words, rolling_hashes, slices
+from gridtide.llm.textkit import Words, rolling_hashes, slices, with_columns
 from gridtide.session import materialise
 
 ANCHOR = 8                  # words of an anchor at most
@@ -289,7 +288,7 @@ def _merge(window: int):
     return run
 
 
-def _strip(window: int, at: dict[str, int], schema: pa.Schema):
+def _strip(window: int, at: dict[str, int]):
     """Texts without the words of their ranges."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -307,9 +306,8 @@ def _strip(window: int, at: dict[str, int], schema: pa.Schema):
                 kept.append(b" ".join(words).decode("utf-8"))
                 total.append(n)
                 removed.append(n - len(words))
-            rest = [c for i, c in enumerate(batch.columns) if i not in (at["ranges"], at["copies"])]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                                              pa.array(kept, pa.string())], schema=schema)
+            new = {"n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())}
+            yield with_columns(batch, new, (at["ranges"], at["copies"]))
     return run
 
 
@@ -371,4 +369,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     schema = StructType([*own.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()),
                          StructField("kept_text", StringType())])
     at = {"text": joined.columns.index(text_col), "ranges": len(own.columns), "copies": len(own.columns) + 1}
-    return joined.mapInArrow(_strip(window, at, to_arrow_schema(schema)), schema)
+    return joined.mapInArrow(_strip(window, at), schema)

@@ -59,6 +59,12 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def with_columns(batch: pa.RecordBatch, new: dict[str, pa.Array], without: tuple[int, ...] = ()) -> pa.RecordBatch:
+    """The batch with more columns at its end; the others keep the types they came with."""
+    kept = [i for i in range(batch.num_columns) if i not in without]
+    return pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], *new.values()], names=[*[batch.schema.names[i] for i in kept], *new])
+
+
 class Words:
     """The words of a run of texts: ``start``/``end`` byte places, ``first`` word of each text (one more at the end)."""
 

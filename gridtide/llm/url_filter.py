@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridtide.llm.shipping import shipped
+from gridtide.llm.textkit import with_columns
 
 SAMPLE_ROWS = 20_000   # labelled URLs to learn from, at most
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.2, 32, 20
@@ -159,11 +159,11 @@ def learn_urls(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> UrlModel:
     return fit_urls([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], bool))
 
 
-def _judge(model: UrlModel, at: tuple[int, int, int], schema: pa.Schema):
+def _judge(model: UrlModel, at: tuple[int, int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = model.features(*(batch.column(i).to_pylist() for i in at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.trees.chance(x), pa.float64())], schema=schema)
+            yield with_columns(batch, {"block_score": pa.array(model.trees.chance(x), pa.float64())})
     return run
 
 
@@ -184,7 +184,7 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]],
     ruled = with_rules(pages.drop("block_score", "verdict"), rules, url_col)
     schema = StructType([*ruled.schema.fields, StructField("block_score", DoubleType())])
     at = tuple(ruled.columns.index(c) for c in (url_col, "host", "path"))
-    scored = ruled.mapInArrow(_judge(model, at, to_arrow_schema(schema)), schema)
+    scored = ruled.mapInArrow(_judge(model, at), schema)
     verdict = F.when(F.col("block_score") >= cut, "block").otherwise("allow")
     for name, rule in rules:
         verdict = F.when(F.col("rule") == rule, name).otherwise(verdict)

@@ -18,7 +18,7 @@ def corpus(spark, sf):
     frame = spark.createDataFrame(docs + extra, "doc_id long, text string, lang string, source string")
     for name in ("score", "ids", "n_words", "kept", "id", "cls", "row", "spans", "copies", "length"):
         frame = frame.selectExpr("*", f"'own' as `{name}`")
-    return frame
+    return frame.selectExpr("*", "timestamp'2024-01-01 00:00:00' AS seen", "array(1, null) AS list", "map('a', 1) AS pairs")
 
 
 @pytest.fixture(scope="session")
