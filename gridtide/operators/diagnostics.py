@@ -179,13 +179,13 @@ def pacf(df: DataFrame, value: str, lags: int = 48, last: int | None = None, *,
     return per_series.select(*keys, F.posexplode(solve("r")).alias("lag", "pacf"))
 
 
-def correlation(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
+def correlation(df: DataFrame, target: str, cols: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlation of each column with the target, in one pass; null without spread."""
     def pearson(c: str) -> Column:
         r = F.corr(F.col(c).cast("double"), F.col(target))
         return F.when(~F.isnan(r), r).alias(c)
-    one = df.agg(*[pearson(c) for c in cols])
-    return one.unpivot([], list(cols), "feature", "corr").orderBy(F.desc_nulls_last(F.abs("corr")))
+    one = df.groupBy(*keys).agg(*[pearson(c) for c in cols])
+    return one.unpivot(list(keys), list(cols), "feature", "corr").orderBy(F.desc_nulls_last(F.abs("corr")))
 
 
 # Lags of the autocorrelation table.

@@ -19,7 +19,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, LinearRegression,
                                    LinearRegressionModel)
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -162,9 +162,21 @@ def _regress(df: DataFrame, label: str, inputs: Sequence[str], **kw) -> LinearRe
         assembled.select("features", label))
 
 
-def _linear(model: LinearRegressionModel, inputs: Sequence[str]):
-    terms = (F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients.toArray(), inputs))
-    return sum(terms, F.lit(float(model.intercept)))
+@dataclass
+class Line:
+    """Weights and intercept of a fitted regression."""
+
+    weights: np.ndarray
+    intercept: float
+
+    @classmethod
+    def of(cls, model: LinearRegressionModel) -> "Line":
+        return cls(model.coefficients.toArray(), float(model.intercept))
+
+
+def _linear(line: Line, inputs: Sequence[str]):
+    terms = (F.lit(float(b)) * F.col(c) for b, c in zip(line.weights, inputs))
+    return sum(terms, F.lit(line.intercept))
 
 
 def adf_decision(df: DataFrame, value: str, lags: int = 24, *, pos: str = "slot") -> DataFrame:
@@ -194,7 +206,7 @@ class SeasonalForecaster:
 
     value: str
     season: int = 24
-    ar: LinearRegressionModel | None = None
+    ar: Line | None = None
     coefs: np.ndarray | None = None
     intercept: float = 0.0
     stats: dict[str, float] = field(default_factory=dict)
@@ -230,8 +242,8 @@ class SeasonalForecaster:
         _one_series(df, pos)
         w = materialise(self._differenced(df, pos))
         names = [f"_a{k}" for k in range(1, self.long_ar + 1)]
-        self.ar = _regress(_lagged(w, {"_a": ("_w", range(1, self.long_ar + 1))}, pos), "_w", names,
-                           solver="normal", regParam=0.0)
+        self.ar = Line.of(_regress(_lagged(w, {"_a": ("_w", range(1, self.long_ar + 1))}, pos), "_w", names,
+                                   solver="normal", regParam=0.0))
         design = _lagged(self._shocked(w, pos), {"_w": ("_w", self.lags), "_e": ("_e", self.lags)}, pos)
         model = _regress(design, "_w", self._inputs(), solver="normal", regParam=0.0)
         self.coefs, self.intercept = model.coefficients.toArray(), float(model.intercept)
@@ -281,6 +293,24 @@ class SeasonalForecaster:
         return steps_df.select("step", slot_time("slot", freq).alias("ts"), "p")
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted numbers as a table of one row."""
+        if self.ar is None:
+            raise RuntimeError("fit a model first")
+        row = (self.value, self.season, [float(x) for x in self.ar.weights], self.ar.intercept,
+               [float(x) for x in self.coefs], self.intercept, {k: float(v) for k, v in self.stats.items()})
+        spark.createDataFrame([row], SEASONAL_ROW).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "SeasonalForecaster":
+        row = spark.read.schema(SEASONAL_ROW).parquet(path).first()
+        return cls(row["value"], row["season"], Line(np.array(row["ar"]), row["ar_intercept"]), np.array(row["coefs"]),
+                   row["intercept"], row["stats"])
+
+
+SEASONAL_ROW = "value string, season int, ar array<double>, ar_intercept double, coefs array<double>, intercept double, stats map<string,double>"
+
+
 # ---------------------------------------------------------------- sequence model
 
 @dataclass
@@ -345,5 +375,6 @@ class SequenceForecaster:
         self.model.write().overwrite().save(path)
 
     @classmethod
-    def load(cls, path: str, look_back: int = 24) -> "SequenceForecaster":
-        return cls(look_back, model=LinearRegressionModel.load(path))
+    def load(cls, path: str) -> "SequenceForecaster":
+        model = LinearRegressionModel.load(path)
+        return cls(model.numFeatures, model=model)

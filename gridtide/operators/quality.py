@@ -36,19 +36,19 @@ def duplicate_timestamps(df: DataFrame, *, keys: Sequence[str] = (), time: str =
         F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicates"))
 
 
-def missing_rule(df: DataFrame, cols: Sequence[str], limit: float = 0.05) -> DataFrame:
+def missing_rule(df: DataFrame, cols: Sequence[str], limit: float = 0.05, *, keys: Sequence[str] = ()) -> DataFrame:
     """Mean null share over columns and whether it exceeds ``limit``."""
-    shares = df.agg(mean_null_share(cols).alias("missing_share"))
-    return shares.select("missing_share", (F.col("missing_share") > limit).alias("exceeded"))
+    shares = df.groupBy(*keys).agg(mean_null_share(cols).alias("missing_share"))
+    return shares.select(*keys, "missing_share", (F.col("missing_share") > limit).alias("exceeded"))
 
 
-def missing_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def missing_table(df: DataFrame, cols: Sequence[str], *, keys: Sequence[str] = ()) -> DataFrame:
     """Null count and percentage per column, in one pass."""
-    one = df.agg(F.count(F.lit(1)).alias("_rows"),
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"),
                  *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
-    long = one.unpivot(["_rows"], list(cols), "column", "missing")
+    long = one.unpivot([*keys, "_rows"], list(cols), "column", "missing")
     pct = F.round(100.0 * F.col("missing") / F.nullif(F.col("_rows"), F.lit(0)), 2)
-    return long.select("column", "missing", pct.alias("missing_pct"))
+    return long.select(*keys, "column", "missing", pct.alias("missing_pct"))
 
 
 def validate(df: DataFrame, cols: Sequence[str], *, expected: Sequence[str] = RAW_MEASURES,
@@ -140,26 +140,28 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
 
 
-def describe(df: DataFrame, cols: Sequence[str], *, accuracy: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str], *, accuracy: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, std, min, quartiles and max per column.
 
     Quartiles are exact, which sorts the distinct values; with ``accuracy`` they come from one
     pass with a relative rank error of ``1 / accuracy``.
     """
-    long = df.unpivot([], [F.col(c).cast("double").alias(c) for c in cols], "column", "x")
-    basic = long.groupBy("column").agg(
+    by = [*keys, "column"]
+    long = df.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in cols], "column", "x")
+    basic = long.groupBy(*by).agg(
         F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"), F.max("x").alias("max"))
     if accuracy is None:
-        quart = exact_quantiles(long, ["column"], "x")
+        quart = exact_quantiles(long, by, "x")
     else:
         q = F.percentile_approx("x", list(QUARTILES), accuracy)
-        quart = long.groupBy("column").agg(q.alias("q")).select(
-            "column", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(QUARTILES))])
-    joined = basic.join(quart, "column", "left")
+        quart = long.groupBy(*by).agg(q.alias("q")).select(
+            *by, *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(QUARTILES))])
+    named = quart.withColumnsRenamed({c: f"_q_{c}" for c in by})
+    joined = basic.join(named, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by], "left")
     rounded = {"mean": "mean", "std": "std", "min": "min", "q0": "p25", "q1": "p50",
                "q2": "p75", "max": "max"}
-    return joined.select("column", "count",
+    return joined.select(*by, "count",
                          *[F.round(F.col(c), 4).alias(a) for c, a in rounded.items()])
 
 

@@ -137,3 +137,11 @@ def feature_correlation(spark, sf):
         f"SELECT {k} AS lag, {q.r(f'corr(p, l{k})', 6, 'autocorr')} FROM lagged" for k in op.TABLE_LAGS)))
 def lag_autocorr(spark, sf):
     return op.lag_autocorrelation(b.hourly_power(spark, sf), TARGET).select("lag", r("autocorr"))
+
+
+@query("correlation_by_series", q.sql(q.BY_TYPE, select=" UNION ALL ".join(
+    f"SELECT series_id, '{c}' AS feature, {q.r(f'corr({x}, p)', 6, 'corr')} FROM typed GROUP BY 1"
+    for c, x in (("hour", "hour(ts)"), ("day", "day(ts)")))))
+def correlation_by_series(spark, sf):
+    table = b.hourly_by_type(spark, sf).withColumns({"hour": F.hour("ts"), "day": F.day("ts")})
+    return op.correlation(table, TARGET, ["hour", "day"], keys=b.BY_TYPE).select("series_id", "feature", r("corr"))

@@ -156,3 +156,14 @@ def train_and_compare(spark, sf):
     forecasts = {"seasonal": seasonal(), "trees": boosted(), "sequence": sequence()}
     metrics = evaluate.evaluate(evaluate.align(test, forecasts, value=TARGET))
     return evaluate.leaderboard(evaluate.with_failures(metrics, list(forecasts)))
+
+
+@query("seasonal_roundtrip", "SELECT unnest(range(24)) AS step, true AS same")
+def seasonal_roundtrip(spark, sf):
+    """Whether a seasonal model forecasts the same after saving and loading."""
+    table, path = filled_hours(spark, sf), scratch_path(spark, "seasonal")
+    model = op.SeasonalForecaster(TARGET).fit(table)
+    model.save(spark, path)
+    again = op.SeasonalForecaster.load(spark, path)
+    before = model.forecast(table).select("step", F.col("p").alias("a"))
+    return before.join(again.forecast(table).select("step", F.col("p").alias("b")), "step").select("step", (F.col("a") == F.col("b")).alias("same"))

@@ -118,3 +118,25 @@ def describe_numeric(spark, sf):
        "CAST(floor((epoch(max(ts)) - epoch(min(ts))) / 86400) AS BIGINT) AS days FROM events")
 def series_extent(spark, sf):
     return op.extent(b.events(spark, sf))
+
+
+@query("dq_missing_rule_by_series", q.sql(q.BY_TYPE, select=(
+    f"SELECT series_id, {q.r('avg((p IS NULL)::INT)', 6, 'missing_share')}, avg((p IS NULL)::INT) > 0.05 AS exceeded FROM typed GROUP BY 1")))
+def dq_missing_rule_by_series(spark, sf):
+    found = op.missing_rule(b.hourly_by_type(spark, sf), [TARGET], keys=b.BY_TYPE)
+    return found.select("series_id", r("missing_share"), "exceeded")
+
+
+@query("dq_missing_table_by_series", q.sql(q.BY_TYPE, select=(
+    f"SELECT series_id, '{TARGET}' AS \"column\", count(*) - count(p) AS missing, "
+    "round(100.0::DOUBLE * (count(*) - count(p)) / count(*), 2) AS missing_pct FROM typed GROUP BY 1")))
+def dq_missing_table_by_series(spark, sf):
+    return op.missing_table(b.hourly_by_type(spark, sf), [TARGET], keys=b.BY_TYPE)
+
+
+@query("describe_by_series", q.sql(q.BY_TYPE, select=(
+    f"SELECT series_id, '{TARGET}' AS \"column\", count(p) AS count, round(avg(p), 4) AS mean, round(stddev_samp(p), 4) AS std, "
+    "round(min(p), 4) AS min, " + ", ".join(f"round(quantile_cont(p, {x}), 4) AS {a}" for x, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")))
+    + ", round(max(p), 4) AS max FROM typed GROUP BY 1")))
+def describe_by_series(spark, sf):
+    return op.describe(b.hourly_by_type(spark, sf), [TARGET], keys=b.BY_TYPE)
