@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from gridtide.llm.components import connected_components
+from gridtide.llm.hash_filter import build_filter
 from gridtide.llm.shipping import shipped
 from gridtide.llm.textkit import mix, shingle_sets
 from gridtide.session import materialise
@@ -35,7 +36,7 @@ COUNTERS = 1 << 22    # entries of each count table, whatever the data's size
 CHUNK = 1 << 16       # entries per row of a count table on its way
 SALTS = 32            # first-step sums per chunk
 BROADCAST_ROWS = 1_000_000  # class ids (8 bytes) sent to every executor at most; beyond, a shuffled join
-PARTS = 8             # parts of the suffix filter, one byte each
+PARTS = 512           # parts of the suffix filter, one bit each
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -53,12 +54,12 @@ def _class_id(shingles: np.ndarray) -> int:
 
 def _profile(n: int, lower: bool, id_type: pa.DataType):
     """Per document its set's size and class; at the end of a task its counts of words and shingles."""
-    schema = pa.schema([("id", id_type), ("n", pa.int64()), ("cls", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("id", id_type), ("n", pa.int64()), ("cls", pa.int64()), ("parts", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, COUNTERS), np.uint32)
         for batch in batches:
-            sizes, classes = np.zeros(len(batch), np.int64), [None] * len(batch)
+            sizes, classes, parts = np.zeros(len(batch), np.int64), [None] * len(batch), [None] * len(batch)
             pending: list[list[np.ndarray]] = [[], []]
 
             def flush():
@@ -71,6 +72,8 @@ def _profile(n: int, lower: bool, id_type: pa.DataType):
             held = 0
             for row, shingles, words in shingle_sets(batch.column(1), n, lower):
                 sizes[row], classes[row] = len(shingles), _class_id(shingles)
+                odd = np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS) & 1
+                parts[row] = np.packbits(odd.astype(bool)).tobytes()
                 pending[0].append(_slot(shingles))
                 pending[1].append(_slot(words[:, 0]))
                 held += len(shingles)
@@ -79,19 +82,19 @@ def _profile(n: int, lower: bool, id_type: pa.DataType):
                     held = 0
             flush()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes), pa.array(classes, pa.int64()), pa.nulls(len(batch), pa.int32()),
-                 pa.nulls(len(batch), pa.binary())], schema=schema)
-        yield from _count_rows(counts, schema, pad=3, id_type=id_type)
+                [batch.column(0), pa.array(sizes), pa.array(classes, pa.int64()), pa.array(parts, pa.binary()),
+                 pa.nulls(len(batch), pa.int32()), pa.nulls(len(batch), pa.binary())], schema=schema)
+        yield from _count_rows(counts, schema)
     return run
 
 
-def _count_rows(counts: np.ndarray, schema: pa.Schema, pad: int, id_type=None) -> Iterator[pa.RecordBatch]:
+def _count_rows(counts: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     import zlib
     flat = counts.reshape(-1, CHUNK)
     used = np.flatnonzero(flat.any(axis=1))
     if len(used):
         cells = [pa.array(used, pa.int32()), pa.array([zlib.compress(flat[i].tobytes(), 1) for i in used], pa.binary())]
-        lead = [pa.nulls(len(used), schema.field(i).type) for i in range(pad)]
+        lead = [pa.nulls(len(used), schema.field(i).type) for i in range(len(schema) - 2)]
         yield pa.RecordBatch.from_arrays(lead + cells, schema=schema)
 
 
@@ -123,34 +126,38 @@ def _levels(profile: DataFrame) -> np.ndarray:
     return levels.reshape(2, COUNTERS)
 
 
-def _prefixes(n: int, lower: bool, percent: int, levels):
-    """(shingle, class, set size, position, suffix parts) of the prefix of every document's set."""
-    schema = pa.schema([("g", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("parts", pa.int64())])
+def _prefixes(n: int, lower: bool, percent: int, levels, known=None):
+    """(shingle, class, set size, position) of the prefix of every document's set; only shingles that pass ``known``."""
+    schema = pa.schema([("g", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_level, word_level = levels.value
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
             held = 0
             for _, shingles, words in shingle_sets(batch.column(0), n, lower):
                 size = len(shingles)
                 take = size - -(-percent * size // 100) + 1
                 level = np.minimum(gram_level[_slot(shingles)], word_level[_slot(words)].min(axis=1))
-                order = np.argsort(level, kind="stable")[:take]  # shingles are sorted: ties go by their hash
-                parts = np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS).astype(np.uint8)
-                cells = (_signed(shingles[order]), np.full(take, _class_id(shingles)), np.full(take, size, np.int32),
-                         np.arange(take, dtype=np.int32), np.full(take, parts.view(np.int64)[0]))
-                for column, cell in zip(out, cells):
-                    column.append(cell)
-                held += take
+                prefix = shingles[np.argsort(level, kind="stable")[:take]]  # shingles are sorted: ties go by their hash
+                places = np.arange(take) if known is None else np.flatnonzero(known.value.passes(prefix))
+                if not len(places):
+                    continue
+                for column, cell in zip(out, (prefix[places].view(np.int64), _class_id(shingles), size, places)):
+                    column.append(np.broadcast_to(cell, len(places)))
+                held += len(places)
                 if held > 1 << 17:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
-                    out, held = [[] for _ in range(5)], 0
+                    yield _batch(out, schema)
+                    out, held = [[] for _ in range(4)], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], schema=schema)
+                yield _batch(out, schema)
     return run
 
 
+def _batch(columns: list[list[np.ndarray]], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def _sets(n: int, lower: bool):
     schema = pa.schema([("cls", pa.int64()), ("shingles", pa.binary())])
 
@@ -184,21 +191,22 @@ def _verify(percent: int):
     return run
 
 
-def _may_reach(x: str, y: str, percent: int) -> Column:
+def _may_reach(x: str, y: str, percent: int, suffix: bool) -> Column:
     """The length, position and suffix filters for postings ``x`` and ``y`` of one shingle."""
     nx, ny, px, py = (F.col(f"{s}.{c}").cast("long") for c in ("n", "pos") for s in (x, y))
     need = F.floor(((nx + ny) * percent + 99 + percent) / F.lit(100 + percent))
     at_most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
-    apart = F.lit(0)
-    for i in range(PARTS):  # sizes modulo 256 of equal parts of both sets: their differences add up to 2 * union - sizes at most
-        a, b = (F.shiftrightunsigned(F.col(f"{s}.parts"), 8 * i).bitwiseAND(F.lit(255)) for s in (x, y))
-        apart = apart + F.least(F.abs(a - b), 256 - F.abs(a - b))
-    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (at_most >= need) & (apart <= nx + ny - 2 * need)
+    fits = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (at_most >= need)
+    if suffix:  # sets cut into equal parts by hash: where one part's sizes differ in parity, the sets differ
+        apart = F.lit(0)
+        for i in range(PARTS // 64):
+            apart = apart + F.bit_count(F.col(f"{x}.p{i}").bitwiseXOR(F.col(f"{y}.p{i}")))
+        fits = fits & (apart <= nx + ny - 2 * need)
+    return fits
 
 
-def _pairs(joined: DataFrame, percent: int) -> DataFrame:
-    return (joined.where(_may_reach("x", "y", percent))
-            .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct())
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, n: int, lower: bool, percent: int) -> DataFrame:
@@ -227,28 +235,30 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower
     table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = table.select("text")
     id_type = to_arrow_type(table.schema["id"].dataType)
-    profile = materialise(table.mapInArrow(_profile(words, lower, id_type),
-                                           f"id {table.schema['id'].dataType.simpleString()}, n long, cls long, chunk int, counts binary"),
-                          "profile")
+    shape = f"id {table.schema['id'].dataType.simpleString()}, n long, cls long, parts binary, chunk int, counts binary"
+    profile = materialise(table.mapInArrow(_profile(words, lower, id_type), shape), "profile")
     sizes = profile.where("chunk is null").select("id", "n", "cls")
     levels = spark.sparkContext.broadcast(_levels(profile))
-    postings = materialise(texts.mapInArrow(_prefixes(words, lower, percent, levels),
-                                            "g long, cls long, n int, pos int, parts long"), "postings")
-    repeated = postings.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("g")
-    meeting = materialise(postings.join(repeated, "g").distinct(), "meeting")
-
-    hubs = meeting.groupBy("g").agg(F.min(F.struct("pos", "n", "cls", "parts")).alias("h")).select("g", "h.*")
-    starred = meeting.alias("x").join(hubs.alias("y"), F.expr("x.g = y.g and x.cls <> y.cls"))
-    first = materialise(_pairs(starred, percent), "pairs")
+    shape = "g long, cls long, n int, pos int"
+    prefixes = texts.mapInArrow(_prefixes(words, lower, percent, levels), shape).select("g", "cls")
+    repeated = materialise(prefixes.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("g"), "repeated")
+    known = spark.sparkContext.broadcast(build_filter(repeated, "g", repeated.count()))
+    meeting = materialise(texts.mapInArrow(_prefixes(words, lower, percent, levels, known), shape).join(repeated, "g").distinct(), "meeting")
+
+    hubs = meeting.groupBy("g").agg(F.min(F.struct("pos", "n", "cls")).alias("h")).select("g", "h.*")
+    starred = meeting.alias("x").join(hubs.alias("y"), F.expr("x.g = y.g and x.cls <> y.cls") & _may_reach("x", "y", percent, suffix=False))
+    first = materialise(_pairs(starred), "pairs")
     linked = materialise(_checked(first, texts, words, lower, percent), "links")
     known = connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     placed = (meeting.join(known.withColumnRenamed("node", "cls"), "cls", "left")
               .withColumn("root", F.coalesce("root", "cls")))
     split = placed.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
-    open_ = materialise(placed.join(split, "g"), "open")
-    crossing = open_.alias("x").join(open_.alias("y"), F.expr("x.g = y.g and x.root < y.root"))
-    rest = materialise(_pairs(crossing, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    parts = profile.where("cls is not null").groupBy("cls").agg(F.first("parts").alias("parts"))
+    words_of = [F.conv(F.hex(F.substring("parts", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"p{i}") for i in range(PARTS // 64)]
+    open_ = materialise(placed.join(split, "g").join(parts, "cls").select("g", "cls", "n", "pos", "root", *words_of), "open")
+    crossing = open_.alias("x").join(open_.alias("y"), F.expr("x.g = y.g and x.root < y.root") & _may_reach("x", "y", percent, suffix=True))
+    rest = materialise(_pairs(crossing).join(first, ["a", "b"], "left_anti"), "pairs")
     more = _checked(rest, texts, words, lower, percent)
     found = connected_components(linked.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
