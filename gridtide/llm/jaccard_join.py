@@ -242,8 +242,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower
     shape = "g long, cls long, n int, pos int"
     prefixes = texts.mapInArrow(_prefixes(words, lower, percent, levels), shape).select("g", "cls")
     repeated = materialise(prefixes.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("g"), "repeated")
-    known = spark.sparkContext.broadcast(build_filter(repeated, "g", repeated.count()))
-    meeting = materialise(texts.mapInArrow(_prefixes(words, lower, percent, levels, known), shape).join(repeated, "g").distinct(), "meeting")
+    shared = spark.sparkContext.broadcast(build_filter(repeated, "g", repeated.count()))
+    meeting = materialise(texts.mapInArrow(_prefixes(words, lower, percent, levels, shared), shape).join(repeated, "g").distinct(), "meeting")
+    levels.destroy()  # what follows reads written tables
+    shared.destroy()
 
     hubs = meeting.groupBy("g").agg(F.min(F.struct("pos", "n", "cls")).alias("h")).select("g", "h.*")
     starred = meeting.alias("x").join(hubs.alias("y"), F.expr("x.g = y.g and x.cls <> y.cls") & _may_reach("x", "y", percent, suffix=False))

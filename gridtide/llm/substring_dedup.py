@@ -332,6 +332,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     known = spark.sparkContext.broadcast(build_filter(repeated, "anchor", repeated.count()))
     shape = "anchor long, segment binary, k1 long, k2 long, start int, windows int, words string"
     raw = materialise(base.mapInArrow(_segment_rows(window, known), shape), "segments")
+    known.destroy()  # what follows reads written tables
     # an anchor that passed by chance meets nothing in its shard
     different = materialise(raw.groupBy("anchor", "segment").agg(F.first("words").alias("words"), F.count("*").alias("times")), "different")
     per_anchor = different.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("all"), F.sum(F.octet_length("words")).alias("bytes"))
