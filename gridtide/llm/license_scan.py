@@ -1,10 +1,15 @@
 """Licences by sentences: normalised sentences become identifiers, ordered rules match their sequences.
 
+Two cuts: lines and sentences that equal a short notice (``SENTENCES``, ``RULES``), and the whole sentences of the
+standard licence texts (``STANDARD``, ``STANDARD_RULES``), looked for in the text with its lines joined, so that
+line breaks, comment marks, list numbers and punctuation do not matter.
 All of it is DataFrame functions: one pass over the texts, no shuffle.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +56,116 @@ RULES = [
 GROUPS = ("restricted", "copyleft", "permissive")  # the strictest one found is the document's
 BREAK = r"\n+|[.!?;:]+[ \t\r]+"
 
+# Whole sentences of the standard texts, normalised, without a subject that each project replaces; * stands for its own words.
+STANDARD = {
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT-PERMIT",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so": "MIT-0-PERMIT",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MIT-NOTICE",
+    "the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software": "MIT-NOTICE",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MIT-AS-IS",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSD-PERMIT",
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSD-SOURCE",
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSD-BINARY",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "BSD-ADVERTISING",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgment": "BSD-ADVERTISING",
+    "neither the name of * may be used to endorse or promote products derived from this software without specific prior written permission": "BSD-NAME",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "BSD-NAME",
+    "the end user documentation included with the redistribution if any must include the following acknowledgment": "APACHE-1-ACKNOWLEDGE",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "APACHE-2-COMPLY",
+    "under the apache license version 2 0 the license you may not use this file except in compliance with the license": "APACHE-2-COMPLY",
+    "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form": "APACHE-2-COPYRIGHT",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "GPL-3",
+    "gnu general public license version 2 june 1991": "GPL-2",
+    "gnu library general public license version 2 june 1991": "LGPL-2",
+    "gnu lesser general public license version 2 1 february 1999": "LGPL-21",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "LGPL-3",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "AGPL-3",
+    "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license": "GFDL-TERMS",
+    "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package": "ARTISTIC-1",
+    "the contents of this file are subject to the mozilla public license version 1 1": "MPL-11",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "MPL-2",
+    "mozilla public license version 2 0": "MPL-2",
+    "made available under the terms of the eclipse public license v1 0": "EPL-1",
+    "made available under the terms of the eclipse public license v 2 0": "EPL-2",
+    "made available under the terms of the eclipse public license 2 0": "EPL-2",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC-PERMIT",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC-PERMIT",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0BSD-PERMIT",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "ZLIB-PERMIT",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "BSL-PERMIT",
+    "distributed under the boost software license version 1 0": "BSL-PERMIT",
+    "this is free and unencumbered software released into the public domain": "UNLICENSE",
+    "to the extent possible under law * waived all copyright and related or neighboring rights to": "CC0-WAIVER",
+    "cc0 1 0 universal": "CC0-WAIVER",
+    # short notices, wherever they stand
+    "licensed under the apache license version 2 0": "APACHE-2-GRANT",
+    "released under the mit license": "MIT-GRANT",
+    "licensed under the mit license": "MIT-GRANT",
+    "licensed under the gnu general public license version 3": "GPL-3-GRANT",
+    "licensed under cc by nc 4 0": "CC-BY-NC-4-GRANT",
+    "licensed under cc by sa 4 0": "CC-BY-SA-4-GRANT",
+    "licensed under cc by 4 0": "CC-BY-4-GRANT",
+}
+_GNU = "redistribute it and or modify it under the terms of the gnu {} general public license"
+_FSF = "as published by the free software foundation"
+for _kind, _of, _versions in (("", "GPL", {"2": "2", "3": "3"}), ("lesser", "LGPL", {"2 1": "21", "3": "3", "2": "2"}),
+                              ("library", "LGPL", {"2": "2"}), ("affero", "AGPL", {"3": "3"})):
+    _terms = " ".join(_GNU.format(_kind).split())
+    STANDARD[_terms] = f"{_of}-TERMS"
+    for _words, _number in _versions.items():
+        for _rest in (f"{_FSF} either version {_words}", f"{_FSF} version {_words}", f"version {_words} {_FSF}", f"version {_words}"):
+            STANDARD[f"{_terms} {_rest}"] = f"{_of}-{_number}"
+# Rules over the standard sentences that follow each other, longer sequences first.
+_BSD = ("BSD-PERMIT", "BSD-SOURCE", "BSD-BINARY")
+STANDARD_RULES = [
+    ("Apache-1.1", "permissive", (*_BSD, "APACHE-1-ACKNOWLEDGE")),
+    ("BSD-4-Clause", "permissive", (*_BSD, "BSD-ADVERTISING", "BSD-NAME")),
+    ("BSD-3-Clause", "permissive", (*_BSD, "BSD-NAME")),
+    ("BSD-2-Clause", "permissive", _BSD),
+    ("BSD", "permissive", ("BSD-PERMIT",)),
+    ("Apache-2.0", "permissive", ("APACHE-2-COMPLY",)),
+    ("Apache-2.0", "permissive", ("APACHE-2-COPYRIGHT",)),
+    ("Apache-2.0", "permissive", ("APACHE-2-GRANT",)),
+    ("MIT", "permissive", ("MIT-PERMIT",)),
+    ("MIT", "permissive", ("MIT-GRANT",)),
+    ("MIT-0", "permissive", ("MIT-0-PERMIT",)),
+    ("ISC", "permissive", ("ISC-PERMIT",)),
+    ("0BSD", "permissive", ("0BSD-PERMIT",)),
+    ("Zlib", "permissive", ("ZLIB-PERMIT",)),
+    ("BSL-1.0", "permissive", ("BSL-PERMIT",)),
+    ("Unlicense", "permissive", ("UNLICENSE",)),
+    ("CC0-1.0", "permissive", ("CC0-WAIVER",)),
+    ("GPL-2.0", "copyleft", ("GPL-2",)),
+    ("GPL-3.0", "copyleft", ("GPL-3",)),
+    ("GPL-3.0", "copyleft", ("GPL-3-GRANT",)),
+    ("GPL", "copyleft", ("GPL-TERMS",)),
+    ("LGPL-2.0", "copyleft", ("LGPL-2",)),
+    ("LGPL-2.1", "copyleft", ("LGPL-21",)),
+    ("LGPL-3.0", "copyleft", ("LGPL-3",)),
+    ("LGPL", "copyleft", ("LGPL-TERMS",)),
+    ("AGPL-3.0", "copyleft", ("AGPL-3",)),
+    ("AGPL", "copyleft", ("AGPL-TERMS",)),
+    ("GFDL", "copyleft", ("GFDL-TERMS",)),
+    ("Artistic-1.0", "permissive", ("ARTISTIC-1",)),
+    ("MPL-1.1", "copyleft", ("MPL-11",)),
+    ("MPL-2.0", "copyleft", ("MPL-2",)),
+    ("EPL-1.0", "copyleft", ("EPL-1",)),
+    ("EPL-2.0", "copyleft", ("EPL-2",)),
+    ("CC-BY-NC-4.0", "restricted", ("CC-BY-NC-4-GRANT",)),
+    ("CC-BY-SA-4.0", "copyleft", ("CC-BY-SA-4-GRANT",)),
+    ("CC-BY-4.0", "permissive", ("CC-BY-4-GRANT",)),
+]
+for _kind, _name, _group in (("attribution", "CC-BY", "permissive"), ("attribution sharealike", "CC-BY-SA", "copyleft"),
+                             ("attribution noncommercial", "CC-BY-NC", "restricted"), ("attribution noderivatives", "CC-BY-ND", "restricted"),
+                             ("attribution noncommercial sharealike", "CC-BY-NC-SA", "restricted"),
+                             ("attribution noncommercial noderivatives", "CC-BY-NC-ND", "restricted")):
+    for _version in ("3", "4"):
+        STANDARD |= {f"licensed under {_a} creative commons {_kind} {_version} 0": f"{_name}-{_version}-GRANT" for _a in ("a", "the")}
+        if (_name, _version) not in (("CC-BY", "4"), ("CC-BY-SA", "4"), ("CC-BY-NC", "4")):
+            STANDARD_RULES.append((f"{_name}-{_version}.0", _group, (f"{_name}-{_version}-GRANT",)))
+HINTS = ("licens", "software", "permission", "redistribut", "universal", "waived", "copied")  # each standard sentence has one of these words
+RESERVED = "all-rights-reserved"  # says nothing beside a standard licence text, which often begins with it
+
 
 def sentences_of(text: Column) -> Column:
     """Normalised sentences with a letter or digit, in order."""
@@ -62,19 +177,51 @@ def _marks(ids: tuple[str, ...]) -> str:
     return "".join(f"<{x}>" for x in ids)
 
 
+def standard_ids(text: Column) -> Column:
+    """Identifiers of the standard sentences in a text that is not null, in order: ``<A><B>``."""
+    fixed = {k: v for k, v in STANDARD.items() if " * " not in k}
+    table = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
+    longest = sorted(STANDARD, key=len, reverse=True)
+    pattern = r"\b(?<!\bnot )(?:" + "|".join(k.replace(" * ", " [a-z0-9 ]{1,300}? ") for k in longest) + r")\b"
+
+    def name(sentence: Column) -> Column:
+        known = F.try_element_at(table, sentence)
+        for key in STANDARD.keys() - fixed.keys():
+            known = F.coalesce(known, F.when(sentence.startswith(key.split(" * ")[0]), STANDARD[key]))
+        return F.concat(F.lit("<"), known, F.lit(">"))
+    low = F.lower(text)
+    hinted = F.lit(False)
+    for hint in HINTS:
+        hinted = hinted | low.contains(hint)
+    joined = F.regexp_replace(low, "[^a-z0-9]+", " ")
+    return F.when(hinted, F.array_join(F.transform(F.regexp_extract_all(joined, F.lit(pattern), F.lit(0)), name), "")).otherwise("")
+
+
+def _standard_licences(ids: Column) -> Column:
+    """The licences whose rules match standard sentences, in rule order; what a rule has matched is spent."""
+    longest = sorted(STANDARD_RULES, key=lambda rule: -len(rule[2]))
+    table = F.create_map(*[F.lit(x) for name, _, wanted in longest for x in (_marks(wanted), name)])
+    pattern = "|".join(re.escape(_marks(wanted)) for _, _, wanted in longest)
+    found = F.transform(F.regexp_extract_all(ids, F.lit(pattern), F.lit(0)), lambda x: F.try_element_at(table, x))
+    return F.array_intersect(F.array(*[F.lit(name) for name, _, _ in STANDARD_RULES]), found)
+
+
 def scan_licences(docs: DataFrame, text_col: str = "text", sentences: dict[str, str] | None = None, rules=None) -> DataFrame:
-    """``docs`` with ``n_sentences``, ``sentence_ids``, ``licences``, ``licence_group``.
+    """``docs`` with ``n_sentences``, ``sentence_ids``, ``standard_ids``, ``licences``, ``licence_group``.
 
-    ``sentence_ids`` are the known sentences' identifiers in order, ``<>`` for each one unknown sentence or run
-    of them in between; ``licences`` the names of all rules that match, in rule order, joined by commas. What a
-    rule has matched is spent for later rules. ``licence_group`` is the strictest of the matched rules'. Texts
-    without a known sentence, null texts among them, have empty strings and a null group. Rows stand alone:
+    ``sentence_ids`` are the known short sentences' identifiers in order, ``<>`` for each one unknown sentence or
+    run of them in between; ``standard_ids`` those of the standard texts' sentences, found in the joined lines.
+    ``licences`` are the names of all rules that match, in rule order, those of standard sentences last, joined by
+    commas; "all rights reserved" is none beside a standard text. What a rule has matched is spent for later rules.
+    ``licence_group`` is the strictest of the matched rules'. Texts without a known sentence, null texts among them, have empty strings and a null group. Rows stand alone:
     repeated ones get equal results. Columns with the new names are replaced, others pass. The two tables of
     sentences and rules are configuration and go into the plan.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
     table = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
-    step = docs.drop("n_sentences", "sentence_ids", "licences", "licence_group")
+    step = docs.drop("n_sentences", "sentence_ids", "standard_ids", "licences", "licence_group")
+    step = step.withColumn("standard_ids", standard_ids(F.coalesce(F.col(text_col), F.lit(""))))
+    step = step.withColumn("_standard", _standard_licences(F.col("standard_ids")))
     step = step.withColumn("_s", sentences_of(F.coalesce(F.col(text_col), F.lit(""))))
     ids = F.array_join(F.transform("_s", lambda s: F.concat(F.lit("<"), F.coalesce(F.try_element_at(table, s), F.lit("")), F.lit(">"))), "")
     step = step.withColumns({"n_sentences": F.size("_s").cast("long"), "_ids": F.regexp_replace(ids, "(<>)+", "<>")})
@@ -83,15 +230,20 @@ def scan_licences(docs: DataFrame, text_col: str = "text", sentences: dict[str,
     for i, (_, _, wanted) in enumerate(rules):
         step = step.withColumns({f"_hit{i}": F.col("_left").contains(_marks(wanted)),
                                  "_left": F.replace(F.col("_left"), F.lit(_marks(wanted)), F.lit("<>"))})
-    names = F.array_distinct(F.array_compact(F.array(*[F.when(F.col(f"_hit{i}"), name) for i, (name, _, _) in enumerate(rules)])))
+    names = F.array_compact(F.array(*[F.when(F.col(f"_hit{i}"), name) for i, (name, _, _) in enumerate(rules)]))
+    texts = sorted({wanted[0] for _, _, wanted in STANDARD_RULES if not wanted[0].endswith("-GRANT")})
+    said = F.col("standard_ids").rlike(f"<({'|'.join(texts)})>")
+    names = F.when(said, F.array_remove(names, RESERVED)).otherwise(names)
+    step = step.withColumn("_names", F.array_distinct(F.concat(names, "_standard")))
     group = F.lit(None).cast("string")
     for wanted_group in reversed(GROUPS):
-        any_hit = F.lit(False)
-        for i, (_, of, _) in enumerate(rules):
-            any_hit = any_hit | F.col(f"_hit{i}") if of == wanted_group else any_hit
+        standard = [name for name, of, _ in STANDARD_RULES if of == wanted_group]
+        any_hit = F.arrays_overlap("_standard", F.array(*map(F.lit, standard)))
+        for i, (name, of, _) in enumerate(rules):
+            any_hit = any_hit | (F.col(f"_hit{i}") & ~(F.lit(name == RESERVED) & said)) if of == wanted_group else any_hit
         group = F.when(any_hit, wanted_group).otherwise(group)
-    step = step.withColumns({"licences": F.array_join(names, ","), "licence_group": group})
-    return step.drop("_left", *[f"_hit{i}" for i in range(len(rules))])
+    step = step.withColumns({"licences": F.array_join("_names", ","), "licence_group": group})
+    return step.drop("_left", "_standard", "_names", *[f"_hit{i}" for i in range(len(rules))])
 
 
 def licence_sql(table: str, columns: str) -> str:

@@ -151,4 +151,4 @@ def op8_pivot_vectors(spark, sf):
 @query("op10_license_sentences", licence_sql("documents", "doc_id"))
 def op10_license_sentences(spark, sf):
     """Known licence sentences and licences of every whole text."""
-    return scan_licences(documents(spark, sf, "doc_id", "text")).drop("text")
+    return scan_licences(documents(spark, sf, "doc_id", "text")).drop("text", "standard_ids")

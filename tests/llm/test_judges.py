@@ -8,7 +8,7 @@ from compare import connect, difference
 from brute import ordered, words
 from pyspark.sql import functions as F
 
-from gridtide.llm import language_id, queries, quality_ranking, quality_rules, url_filter
+from gridtide.llm import language_id, license_scan, queries, quality_ranking, quality_rules, url_filter
 from gridtide.llm.license_scan import scan_licences
 
 
@@ -152,6 +152,97 @@ def test_licences(spark):
     assert scan_licences(frame.limit(0)).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD2 = """Copyright (c) 2009, Some One. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL2 = GPL.replace(":", ";").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL = GPL2.replace("General", "Lesser General").replace("version 2", "version 2.1")
+AGPL = GPL.replace("General", "Affero General")
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+CC = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
+
+
+def test_standard_licence_texts_wrapped_and_not(spark):
+    """Each text as it stands, on one line, as a comment, with Windows line ends and inside other text."""
+    want = {MIT: ("MIT", "permissive"), BSD2: ("BSD-2-Clause", "permissive"), BSD3: ("BSD-3-Clause", "permissive"), GPL: ("GPL-3.0", "copyleft"),
+            GPL2: ("GPL-2.0", "copyleft"), LGPL: ("LGPL-2.1", "copyleft"), AGPL: ("AGPL-3.0", "copyleft"), APACHE: ("Apache-2.0", "permissive"),
+            ISC: ("ISC", "permissive"), MPL: ("MPL-2.0", "copyleft"), CC: ("CC-BY-NC-4.0", "restricted"),
+            "Foo is released\nunder the MIT License, see the file.": ("MIT", "permissive"), "It is not licensed under the MIT license, sorry.": ("", None),
+            "The software comes with permission, no licence.": ("", None)}
+    shapes = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "".join(f" * {x}\n" for x in t.splitlines()), lambda t: t.replace("\n", "\r\n"),
+              lambda t: f"int main() {{}}\n// see below\n{t}\nand more text"]
+    rows = [(i, shape(text)) for i, text in enumerate(want) for shape in shapes]
+    got = scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert [(r["doc_id"], r["licences"], r["licence_group"]) for r in got] == [(i, *found) for i, found in enumerate(want.values()) for _ in shapes]
+
+
+def test_several_licences_in_one_text(spark):
+    rows = [(1, BSD3 + MIT + GPL), (2, BSD2 + BSD3), (3, MIT + "\nLicensed under CC BY-NC 4.0.\n"), (4, "All rights reserved.\nReleased under the MIT License."),
+            (5, f"All rights reserved.\n{APACHE}")]
+    got = {r["doc_id"]: (r["licences"], r["licence_group"]) for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT,BSD-3-Clause,GPL-3.0", "copyleft"), 2: ("BSD-3-Clause,BSD-2-Clause", "permissive"), 3: ("MIT,CC-BY-NC-4.0", "restricted"),
+                   4: ("MIT,all-rights-reserved", "restricted"), 5: ("Apache-2.0", "permissive")}
+
+
+def test_standard_sentences_have_a_hint():
+    assert all(any(hint in sentence for hint in license_scan.HINTS) for sentence in license_scan.STANDARD)
+    assert {x for _, _, wanted in license_scan.STANDARD_RULES for x in wanted} <= set(license_scan.STANDARD.values())
+
+
 def test_id_checksum(spark):
     rows = spark.createDataFrame([(7,), (None,)], "doc_id long").select(queries.id_checksum()).collect()
     assert [r[0] for r in rows] == [zlib.crc32(b"7"), 0]
