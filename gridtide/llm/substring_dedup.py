@@ -8,8 +8,8 @@ must, so windows are dealt by content:
 2. Every window of ``window`` words has an anchor: the smallest hash of the ``ANCHOR``-word runs inside.
    Equal windows have equal anchors. Anchors that occur once in the corpus cannot hold a repeat.
 3. Consecutive windows with one anchor form a segment. Segments of repeated anchors are dealt to shards
-   by anchor; equal segments are counted before that. An anchor with very many different segments is
-   dealt window by window instead, by the window's own hash.
+   by anchor; equal segments are counted before that. An anchor with very many different segments goes
+   to no shard: its windows are counted by a digest of their words, whole windows being all there is to match.
 4. A shard indexes its segments and streams them against the index: backward search extends a match to
    the left while it occurs twice, which gives the matching windows as intervals.
 5. Intervals go back to the texts, which lose the words they cover.
@@ -33,8 +33,9 @@ from gridtide.session import materialise
 
 ANCHOR = 8                  # words of an anchor at most
 SHARD_BYTES = 4 << 20       # text of a shard, about
-HOT_SEGMENTS = 20_000       # different segments of one anchor; beyond, its windows are dealt one by one
+HOT_SEGMENTS = 20_000       # different segments of one anchor; beyond, its windows are counted one by one
 BROADCAST_BYTES = 8 << 20   # text keys or intervals sent to every executor at most; beyond, a shuffled join
+ROW_BYTES = 32              # of a key in a broadcast, about
 
 
 # --- compressed full-text index ------------------------------------------------------------------------------------------
@@ -236,22 +237,41 @@ def _segment_rows(window: int, filter_):
 
 
 def _windows_apart(window: int):
-    """Each window of a segment as a segment of its own, keyed by its words' hash."""
-    schema = pa.schema([("deal", pa.int64()), ("segment", pa.binary()), ("from", pa.int32()), ("times", pa.int64()), ("words", pa.string())])
+    """Each window of a segment by a digest of its words, whatever stands between them."""
+    schema = pa.schema([("segment", pa.binary()), ("from", pa.int32()), ("times", pa.int64()), ("digest", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             segment, times = batch.column("segment").to_pylist(), batch.column("times").to_pylist()
-            out = [[] for _ in range(5)]
-            for row, hashes, data, begin, end in _texts_of(batch.column("words"), window):
-                for i, key in enumerate(rolling_hashes(hashes, window).view(np.int64).tolist()):
-                    words = data[begin[i]:end[i + window - 1]].tobytes().decode("utf-8", "replace")
-                    for column, cell in zip(out, (key, segment[row], i, times[row], words)):
-                        column.append(cell)
+            out = [[] for _ in range(4)]
+            for row, hashes, *_ in _texts_of(batch.column("words"), window):
+                raw, n = hashes.tobytes(), len(hashes) - window + 1
+                out[0] += [segment[row]] * n
+                out[1] += range(n)
+                out[2] += [times[row]] * n
+                out[3] += [hashlib.blake2b(raw[8 * i:8 * (i + window)], digest_size=16).digest() for i in range(n)]
             yield pa.RecordBatch.from_arrays([pa.array(c, schema.field(i).type) for i, c in enumerate(out)], schema=schema)
     return run
 
 
+def _repeated_apart(windows: DataFrame) -> DataFrame:
+    """The windows whose digest occurs more than once, as ``segment, lo, hi``; ``windows`` is a written table.
+
+    Digests are counted before the shuffle. Those of very many rows, few by their nature, are broadcast, so that
+    no task of the join gets all the rows of a common passage.
+    """
+    counted = materialise(windows.groupBy("digest").agg(F.sum("times").alias("all"), F.count("*").alias("rows")).where("all > 1"), "digests")
+    n, total = counted.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    most = BROADCAST_BYTES // ROW_BYTES
+    place = [F.col("from").alias("lo"), F.col("from").alias("hi")]
+    if n <= most:
+        return windows.join(F.broadcast(counted.select("digest")), "digest").select("segment", *place)
+    many = F.broadcast(counted.where(F.col("rows") > total // most).select("digest", F.lit(True).alias("common")))
+    marked = windows.join(many, "digest", "left")
+    rest = marked.where(F.col("common").isNull()).drop("common").join(counted.select("digest"), "digest")
+    return marked.where("common").select("segment", *place).unionByName(rest.select("segment", *place))
+
+
 def _match(window: int):
     """One shard: index its segments, stream them, report repeated window starts per segment."""
     schema = pa.schema([("segment", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -263,10 +283,9 @@ def _match(window: int):
         sure = np.asarray(table.column("times").to_numpy() > 1)
         found = repeated_windows(segments, sure, window)
         who = np.array([f[0] for f in found], np.int64)
-        begin = table.column("from").to_numpy()[who]
         return pa.table([table.column("segment").combine_chunks().take(pa.array(who)),
-                         pa.array((begin + np.array([f[1] for f in found], np.int64)).astype(np.int32)),
-                         pa.array((begin + np.array([f[2] for f in found], np.int64)).astype(np.int32))], schema=schema)
+                         pa.array(np.array([f[1] for f in found], np.int32)),
+                         pa.array(np.array([f[2] for f in found], np.int32))], schema=schema)
     return run
 
 
@@ -313,7 +332,7 @@ def _strip(window: int, at: dict[str, int]):
 
 def _bounded(table: DataFrame, payload: str | None = None) -> DataFrame:
     """A written table, to be sent to every executor if its bytes are few enough."""
-    size = F.count("*") * 32 + (F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)) if payload else F.lit(0))
+    size = F.count("*") * ROW_BYTES + (F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)) if payload else F.lit(0))
     return F.broadcast(table) if table.agg(size).first()[0] <= BROADCAST_BYTES else table
 
 
@@ -337,14 +356,16 @@ def repeated_spans(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     different = materialise(raw.groupBy("anchor", "segment").agg(F.first("words").alias("words"), F.count("*").alias("times")), "different")
     per_anchor = different.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("times").alias("all"), F.sum(F.octet_length("words")).alias("bytes"))
     sizes = materialise(per_anchor.where("all > 1"), "sizes")
-    volume = sizes.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(12, -(-volume // SHARD_BYTES))
+    calm = F.col("n") <= HOT_SEGMENTS
+    volume, crowded = sizes.agg(F.sum(F.when(calm, F.col("bytes"))), F.count_if(~calm)).first()
+    shards = max(12, -(-(volume or 0) // SHARD_BYTES))
     live = different.join(sizes.select("anchor", "n"), "anchor")
-    calm = live.where(F.col("n") <= HOT_SEGMENTS).select(F.col("anchor").alias("deal"), "segment", F.lit(0).alias("from"), "times", "words")
-    hot = live.where(F.col("n") > HOT_SEGMENTS).select("segment", "times", "words").mapInArrow(
-        _windows_apart(window), "deal long, segment binary, from int, times long, words string")
-    dealt = calm.unionByName(hot).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
-    found = dealt.select("shard", "segment", "from", "times", "words").groupBy("shard").applyInArrow(_match(window), "segment binary, lo int, hi int")
+    dealt = live.where(calm).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    found = dealt.select("shard", "segment", "times", "words").groupBy("shard").applyInArrow(_match(window), "segment binary, lo int, hi int")
+    if crowded:
+        apart = live.where(~calm).select("segment", "times", "words").mapInArrow(
+            _windows_apart(window), "segment binary, from int, times long, digest binary")
+        found = found.unionByName(_repeated_apart(materialise(apart, "windows")))
     placed = raw.select("segment", "k1", "k2", "start").join(found, "segment")
     spans = placed.groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"),
                                                                    (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))

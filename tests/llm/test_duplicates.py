@@ -116,6 +116,30 @@ def test_repeated_words_go(corpus, plain, window, hot, monkeypatch):
     assert ordered(tuple(r) for r in rows) == ordered(brute_strip([r[:2] for r in plain], window))
 
 
+@pytest.mark.parametrize("most", [None, 3])
+def test_a_passage_with_many_surroundings_fills_no_shard(spark, most, monkeypatch):
+    """One passage in 300 texts, each with words and breaks of its own around it."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(20)]) + " " + ("\n" if i % 2 else " ").join(passage) + f" b{i} " + " ".join(f"c{i}x{k}" for k in range(20)))
+            for i in range(300)]
+    rows += [(1000 + i, " ".join([f"d{i}x{k}" for k in range(9)] + passage[10:50])) for i in range(5)]
+    monkeypatch.setattr(substring, "HOT_SEGMENTS", 20)
+    if most:
+        monkeypatch.setattr(substring, "BROADCAST_BYTES", most * substring.ROW_BYTES)
+    match = substring._match
+
+    def counted(window):
+        inner = match(window)
+
+        def run(table):
+            assert table.num_rows < 100, f"{table.num_rows} rows in one shard"
+            return inner(table)
+        return run
+    monkeypatch.setattr(substring, "_match", counted)
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 35)
+    assert ordered(tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_text").collect()) == ordered(brute_strip(rows, 35))
+
+
 def test_repeats_of_an_empty_table(corpus):
     assert substring.remove_repeats(corpus.limit(0)).count() == 0
 
