@@ -16,8 +16,7 @@ from gridtide.session import materialise
 SEPARATORS = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 200_000  # frequent lines (24 bytes) sent to every executor at most; beyond, a shuffled join
 MIN_WORDS = 50
-MIN_DOCS = 10             # a line in fewer documents of its host stays
-MIN_SHARE = 0.01          # as does one in a smaller share of them
+MIN_DOCS = 10             # a line in so many documents of its host or fewer stays, however large the host
 RUN = 3
 
 
@@ -72,23 +71,24 @@ def text_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text",
-                   min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+                   min_docs: int = MIN_DOCS, min_share: float | None = None) -> DataFrame:
     """A written table of ``host, line, n_docs``: normalised lines in more documents of their host than the limit.
 
-    The limit is the larger of ``min_docs`` and ``min_share`` of the host's documents. Rows are documents;
-    a null host is a host of its own.
+    The limit is ``min_docs`` at every size of a host; with ``min_share`` it is that share of the host's documents
+    where this is more. Rows are documents; a null host is a host of its own.
     """
     host = F.col(host_col).alias("host")
-    hosts = docs.groupBy(host).agg(F.count("*").alias("host_docs"))
     lines = F.filter(F.split(text_col, "\n"), lambda x: F.btrim(x, F.lit(SEPARATORS)) != "")
     keys = docs.select(host, F.explode(F.array_distinct(F.transform(lines, line_key))).alias("line"))
     counted = keys.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    return materialise(counted.join(hosts.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
-                       .where(F.col("n_docs") > min_share * F.col("host_docs")).select("host", "line", "n_docs"), "lines")
+    if min_share is not None:
+        hosts = docs.groupBy(host).agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of")
+        counted = counted.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > min_share * F.col("host_docs"))
+    return materialise(counted.select("host", "line", "n_docs"), "lines")
 
 
 def line_frequency_rules(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-                         min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+                         min_docs: int = MIN_DOCS, min_share: float | None = None) -> DataFrame:
     """``id_col``, the columns of ``text_rules``, ``removed_lines``, ``n_words_left``, ``depleted`` and ``kept``, one row per row.
 
     ``removed_lines`` are the places (from 0, among the lines with a word) of lines above the limit of

@@ -106,6 +106,18 @@ def test_lines_above_the_limit_deplete(spark):
     assert got[100]["removed_lines"] == [2] and got[100]["kept"]
 
 
+def test_the_line_limit_holds_in_hosts_of_every_size(spark):
+    own = " ".join(f"own{i}" for i in range(60))
+    menu = " ".join(f"menu{i}" for i in range(80))
+    rows = [(i, f"{own} {i}\n{menu if i < 11 else menu.upper() + ' ten' if i < 21 else i}", host)
+            for host, n in (("small", 100), ("hot", 5000), (None, 3000)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality_rules.line_frequency_rules(docs).where("not kept or size(removed_lines) > 0").collect()
+    assert ordered((r["doc_id"], r["removed_lines"], r["kept"]) for r in got) == ordered((i, [1], False) for i in range(11) for _ in range(3))
+    assert {r["host"]: r["n_docs"] for r in quality_rules.frequent_lines(docs).collect()} == {"small": 11, "hot": 11, None: 11}
+    assert {r["host"] for r in quality_rules.frequent_lines(docs, min_share=0.01).collect()} == {"small"}
+
+
 def test_url_rules_and_trees(spark):
     urls = ["http://A.Example.net/en/x?q=1", "https://example.net/de/", "http://net", "http://net/", "http://www.example.com/de/1#a", "http://b.org/fr/", "http://border.org/fr",
             "http://example.com/en/", None, "", "no scheme", "http://", "ftp://x.example.NET:80/en/#://", "http://myexample.net/en/", "a?://b.org/fr/z"]
