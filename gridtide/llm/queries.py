@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.best_fit_packing import pack_documents
 from gridtide.llm.embedding_dedup import near_vectors
+from gridtide.llm.hard_negatives import hard_negatives
 from gridtide.llm.jaccard_join import jaccard_components
 from gridtide.llm.language_id import learn_languages, predict_language
 from gridtide.llm.license_scan import licence_sql, scan_licences
+from gridtide.llm.periodic_runs import periodic_runs
 from gridtide.llm.quality_ranking import learn_quality, score_quality
 from gridtide.llm.quality_rules import line_frequency_rules
 from gridtide.llm.sentencepiece_codec import encode
 from gridtide.llm.substring_dedup import remove_repeats
+from gridtide.llm.topk_search import top_products
 from gridtide.llm.url_filter import judge_urls, learn_urls, with_rules
 
 QUERIES: dict = {}
@@ -152,3 +155,83 @@ def op8_pivot_vectors(spark, sf):
 def op10_license_sentences(spark, sf):
     """Known licence sentences and licences of every whole text."""
     return scan_licences(documents(spark, sf, "doc_id", "text")).drop("text", "standard_ids")
+
+
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.uid, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, b.uid AS other,
+             CAST(list_inner_product(CAST(a.c AS DOUBLE[]), CAST(b.c AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.uid <> b.uid AND len(a.c) = len(b.c)),
+p AS (SELECT uid, anchor_id, vec_id AS positive_id, other, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) <= 5),
+n AS (SELECT p.uid, p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.uid, p.other ORDER BY s.score DESC, s.vec_id, s.other) AS rank
+      FROM p JOIN s ON p.uid = s.uid AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+
+@query("op11_shared_list_negatives", OP11_SQL)
+def op11_shared_list_negatives(spark, sf):
+    """Hard negatives of every hundredth vector, after moving every seventh label on by one."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+           FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (SELECT a.uid, a.vec_id AS query_id, b.vec_id, b.uid AS other,
+             CAST(list_inner_product(CAST(a.c AS DOUBLE[]), CAST(b.c AS DOUBLE[])) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.uid <> b.uid AND len(a.c) = len(b.c)),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, other) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+
+@query("op12_branch_and_bound", OP12_SQL)
+def op12_branch_and_bound(spark, sf):
+    """The 20 highest inner products of every twentieth vector."""
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    return top_products(table, F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def with_loop(docs, id_col: str = "doc_id"):
+    """Texts of every tenth id, by checksum, whose words repeat from some word on; a null id changes nothing."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    told = docs.withColumns({"_h": F.crc32(F.col(id_col).cast("string").cast("binary")), "_w": F.lit(None).cast("array<string>")})
+    told = told.withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    told = told.withColumn("_n", F.size("_w")).withColumn("_g", F.floor(F.col("_h") / 10))
+    told = told.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    told = told.withColumn("_p", F.lit(1) + F.floor((F.col("_n") - F.col("_a")) / (F.lit(3) + F.col("_g") % 8)))
+    at = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda i: F.when(i < F.col("_a"), i).otherwise(
+        F.col("_a") + (i - F.col("_a")) % F.col("_p")))
+    looped = F.array_join(F.transform(at, lambda i: F.get(F.col("_w"), i.cast("int"))), " ")
+    return told.withColumn("text", F.when(F.col("_n") > 0, looped).otherwise(F.col("text"))).drop("_h", "_w", "_n", "_g", "_a", "_p")
+
+
+@query("op13_recompressed_runs")
+def op13_recompressed_runs(spark, sf):
+    """Periodic runs of the words of every whole text, and the text without their repeats, as digests."""
+    found = periodic_runs(with_loop(documents(spark, sf, "doc_id", "text")), least=24, times=3)
+    return found.select("doc_id", *run_digests())
+
+
+def run_digests():
+    """Columns of the runs: their number, the one of greatest exact exponent, and digests."""
+    more = lambda a, b: a["length"].cast("decimal(38,0)") * b["period"] - b["length"].cast("decimal(38,0)") * a["period"]
+    by_exponent = F.array_sort("runs", lambda a, b: F.when(more(a, b) != 0, F.when(more(a, b) > 0, -1).otherwise(1))
+                               .when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1))
+                               .when(a["period"] != b["period"], F.when(a["period"] < b["period"], -1).otherwise(1)).otherwise(0))
+    top = F.get(by_exponent, 0)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    milli = (1000 * top["length"] - F.pmod(1000 * top["length"], top["period"])) / top["period"]  # a whole number
+    return [F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"),
+            milli.cast("long").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+            F.sha2("collapsed_text", 256).alias("collapsed_sha256")]
