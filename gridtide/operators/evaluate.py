@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import metrics as m
 from gridtide.operators.splits import tail
 from gridtide.plans.chunks import join_on
+from gridtide.session import materialise
 
 
 def long_form(wide: DataFrame, actual: str, models: Mapping[str, str], *,
@@ -26,12 +27,35 @@ def long_form(wide: DataFrame, actual: str, models: Mapping[str, str], *,
 
 def align(actual: DataFrame, forecasts: Mapping[str, DataFrame], *, value: str,
           keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
-    """Join forecast tables (``time``, ``p``) to the actuals; common times only."""
-    wide = actual.select(*keys, time, F.col(value).alias("_y"))
-    for i, table in enumerate(forecasts.values()):
-        wide = join_on(wide, table.select(*keys, time, F.col("p").alias(f"_p{i}")), keys, [time])
-    return long_form(wide, "_y", {name: f"_p{i}" for i, name in enumerate(forecasts)},
-                     keys=keys, time=time)
+    """Forecast tables (``time``, ``p``) with the actuals, at the times that every model with any forecast has one for.
+
+    A model without forecasts has no rows and leaves the others theirs.
+    """
+    told = None
+    for name, table in forecasts.items():
+        part = table.where(F.col("p").isNotNull()).select(*keys, time, F.lit(name).alias("model"), F.col("p").cast("double").alias("p"))
+        told = part if told is None else told.unionByName(part)
+    if told is None:
+        raise ValueError("no forecasts to align")
+    known = actual.where(F.col(value).isNotNull()).select(*keys, time, F.col(value).alias("y"))
+    long = join_on(told, known, keys, [time]).select(*keys, time, "model", "y", "p")
+    alive = told.agg(F.count_distinct("model")).scalar()
+    common = long.groupBy(*keys, time).agg(F.count_distinct("model").alias("_m")).where(F.col("_m") == alive).drop("_m")
+    return join_on(long, common, keys, [time])
+
+
+def attempt(makers: Mapping[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Written forecasts of the models that could be fitted, and the reasons of those that could not.
+
+    A model's failure is a row of the comparison, so any error of its own fit is caught here.
+    """
+    forecasts, reasons = {}, {}
+    for name, make in makers.items():
+        try:
+            forecasts[name] = materialise(make(), "forecast")
+        except Exception as e:  # noqa: BLE001
+            reasons[name] = f"{type(e).__name__}: {e}".splitlines()[0][:200]
+    return forecasts, reasons
 
 
 def scores(df: DataFrame, wanted: Mapping[str, Column], *, by: Sequence[str] = ("model",)) -> DataFrame:
@@ -55,10 +79,11 @@ def evaluate(df: DataFrame, n_features: Mapping[str, int] | int = 1, *,
         "R2": F.round(m.r2(y, p), 4), "Adj_R2": F.round(m.adj_r2(y, p, k), 4)}, by=by)
 
 
-def with_failures(metrics: DataFrame, expected: Sequence[str]) -> DataFrame:
-    """Add ``status``; an expected model without a score is a failed row with null metrics."""
-    names = metrics.sparkSession.createDataFrame([(n,) for n in expected], "model string")
-    full = names.join(metrics, "model", "full")
+def with_failures(metrics: DataFrame, expected: Sequence[str], reasons: Mapping[str, str] | None = None) -> DataFrame:
+    """Add ``status``; an expected model without a score is a failed row with null metrics. ``reasons`` adds ``reason``."""
+    rows = [(n, (reasons or {}).get(n)) for n in expected]
+    names = metrics.sparkSession.createDataFrame(rows, "model string, reason string")
+    full = (names if reasons is not None else names.drop("reason")).join(metrics, "model", "full")
     return full.withColumn("status", F.when(F.col("MAE").isNull(), "failed").otherwise("ok"))
 
 
