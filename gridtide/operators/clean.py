@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridtide.operators.quality import series_stats
 from gridtide.operators.resample import resample_daily, resample_hourly
-from gridtide.plans.chunks import CHUNK, attach, known_neighbours, row_chunk, with_row_ordinal
+from gridtide.plans.chunks import CHUNK, ROW_CHUNK, attach, known_neighbours, with_row_ordinal
 from gridtide.schemas import TARGET
 from gridtide.session import materialise
 
@@ -120,18 +120,22 @@ def remove_outliers(df: DataFrame, value: str, *, threshold: float = 5.0,
     return fill_linear(masked, [value], edges="trailing", keys=keys, pos=pos, size=size)
 
 
+def untimed(df: DataFrame, *, keys: Sequence[str] = (), time: str = "ts") -> DataFrame:
+    """Rows without a time per series: they have no place in it, and :func:`clean_raw` drops them."""
+    return df.groupBy(*keys).agg(F.count_if(F.col(time).isNull()).alias("untimed"))
+
+
 def clean_raw(df: DataFrame, measures: Sequence[str], *, freq: str = "H", value: str = TARGET,
-              keys: Sequence[str] = (), time: str = "ts", tie: Sequence[str] = ()) -> DataFrame:
+              keys: Sequence[str] = (), time: str = "ts", tie: Sequence[str] = (), size: int = ROW_CHUNK) -> DataFrame:
     """Raw readings to a clean regular table.
 
-    Drop sparse rows, fill, remove outliers, resample, fill again. Fills count rows, so the
-    readings get their global row order first; ``tie`` orders rows of equal time. Every step
-    reads its input more than once, so the ordered, filled and resampled rows are each written
-    to the shared folder: this operator runs jobs when called.
+    Drop rows without a time (:func:`untimed` counts them) and sparse rows, fill, remove outliers, resample, fill again.
+    Fills count rows, so the readings get their global row order first; ``tie`` orders rows of equal time, and fills work
+    on chunks of ``size`` rows. Every step reads its input more than once, so the ordered, filled and resampled rows are each
+    written to the shared folder: this operator runs jobs when called.
     """
-    rows = drop_sparse_rows(df, measures).select(*keys, time, *tie, *measures)
+    rows = drop_sparse_rows(df.where(F.col(time).isNotNull()), measures).select(*keys, time, *tie, *measures)
     ordered = with_row_ordinal(rows, keys, [time, *tie])
-    size = row_chunk(ordered)
     filled = materialise(fill_missing(ordered.drop("rows", *tie), measures, keys=keys, pos="ord", size=size))
     smooth = remove_outliers(filled, value, keys=keys, pos="ord", size=size)
     step = resample_hourly if freq == "H" else resample_daily

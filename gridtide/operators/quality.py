@@ -7,11 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.plans.chunks import attach, join_on, stage_sorted
+from gridtide.plans.chunks import attach, join_on
 from gridtide.plans.slots import epoch_seconds
 from gridtide.schemas import RAW_MEASURES
 
 QUARTILES = (0.25, 0.5, 0.75)
+ACCURACY = 10_000                        # of the sketch: its ranks are off by one in so many rows at most
+SMALL = 4096                             # groups of so few rows are ranked whole
+BRACKET = 2 / ACCURACY + 1 / SMALL       # half the share of rows inside a bracket
+SLICES = 1024                            # of a bracket, ranked apart
 
 
 def null_share(c: str) -> Column:
@@ -107,35 +111,50 @@ def kpis(df: DataFrame, value: str, *, threshold: float = 3.0, keys: Sequence[st
 
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
                     probs: Sequence[float] = QUARTILES) -> DataFrame:
-    """Linearly interpolated quantiles ``q0, q1, ...`` per group, exact at any size.
+    """Linearly interpolated quantiles ``q0, q1, ...`` per group, exact at any size, by selection.
 
-    Equal values are counted before the shuffle; the distinct values are range-sorted and
-    ranked by running counts per sorted partition, so no task holds a whole group.
+    A sketch brackets each wanted rank between two values; one pass counts the rows below and inside the brackets, another
+    ranks the few values inside (about one in a thousand), in slices of the bracket. Nothing is sorted as a whole or written.
+    A bracket that misses its rank, which the counts would show, becomes the whole range of its group.
     """
-    known = long.where(F.col(value).isNotNull())
-    counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    staged = stage_sorted(counted, [*keys, value])
-    parts = staged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_m"))
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select(*keys, "_part",
-                         F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_base"),
-                         F.sum("_m").over(group).alias("_total"))
-    inside = Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, 0)
-    ranked = join_on(staged, bases, keys, ["_part"]).withColumn(
-        "_upto", F.col("_base") + F.sum("_n").over(inside))
-
-    def at(rank: Column) -> Column:
-        hit = (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
-        return F.max(F.when(hit, F.col(value)))
+    known = long.where(F.col(value).isNotNull()).select(*keys, value)
+    ends = [max(0.0, p - BRACKET) for p in probs] + [min(1.0, p + BRACKET) for p in probs]
+    m = len(probs)
+    sketch = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
+                                      F.percentile_approx(value, ends, ACCURACY).alias("_q"))
+    rough = sketch.select(*keys, "_n", "_min", "_max", *[F.when(F.col("_n") > SMALL, F.col("_q")[i]).otherwise(F.col("_min")).alias(f"_lo{i}") for i in range(m)],
+                          *[F.when(F.col("_n") > SMALL, F.col("_q")[m + i]).otherwise(F.col("_max")).alias(f"_hi{i}") for i in range(m)])
+    x = F.col(value)
+    counts = join_on(known, rough, keys).groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("_n", "_min", "_max", *[f"_{e}{i}" for e in ("lo", "hi") for i in range(m)])],
+        *[F.count_if(x < F.col(f"_lo{i}")).alias(f"_below{i}") for i in range(m)], *[F.count_if(x <= F.col(f"_hi{i}")).alias(f"_upto{i}") for i in range(m)])
+    asked = []
+    for i, p in enumerate(probs):
+        rank = F.lit(p) * (F.col("_n") - 1)
+        sure = (F.col(f"_below{i}") <= F.floor(rank)) & (F.col(f"_upto{i}") > F.ceil(rank))
+        asked.append(F.struct(F.lit(i).alias("i"), F.floor(rank).alias("first"), F.ceil(rank).alias("second"), (rank - F.floor(rank)).alias("share"),
+                              F.when(sure, F.col(f"_lo{i}")).otherwise(F.col("_min")).alias("lo"), F.when(sure, F.col(f"_hi{i}")).otherwise(F.col("_max")).alias("hi"),
+                              F.when(sure, F.col(f"_below{i}")).otherwise(F.lit(0)).alias("below")))
+    brackets = counts.select(*keys, F.array(*asked).alias("_asked"))
+    inside = join_on(known, brackets, keys).select(*keys, value, F.explode(F.filter("_asked", lambda a: (x >= a["lo"]) & (x <= a["hi"]))).alias("_a"))
+    held = inside.groupBy(*keys, "_a", value).agg(F.count(F.lit(1)).alias("_m"))
+    width = F.nullif(F.col("_a.hi") - F.col("_a.lo"), F.lit(0.0))
+    slice_ = F.least(F.lit(SLICES - 1), F.coalesce(F.floor((x - F.col("_a.lo")) / width * SLICES), F.lit(0)))
+    held = held.withColumn("_slice", slice_)
+    group = Window.partitionBy(*keys, "_a").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.groupBy(*keys, "_a", "_slice").agg(F.sum("_m").alias("_s")).select(
+        *keys, "_a", "_slice", (F.coalesce(F.sum("_s").over(group), F.lit(0)) + F.col("_a.below")).alias("_base"))
+    inner = Window.partitionBy(*keys, "_a", "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = join_on(held, bases, keys, ["_a", "_slice"]).withColumn("_upto", F.col("_base") + F.sum("_m").over(inner))
+
+    def at(i: int, rank: str) -> Column:
+        hit = (F.col("_a.i") == i) & (F.col(f"_a.{rank}") >= F.col("_upto") - F.col("_m")) & (F.col(f"_a.{rank}") < F.col("_upto"))
+        return F.max(F.when(hit, x))
 
     picks, out = [], []
-    for i, p in enumerate(probs):
-        rank = F.lit(p) * (F.col("_total") - 1)
-        picks += [at(F.floor(rank)).alias(f"_lo{i}"), at(F.ceil(rank)).alias(f"_hi{i}"),
-                  F.max(rank - F.floor(rank)).alias(f"_w{i}")]
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+    for i in range(m):
+        picks += [at(i, "first").alias(f"_first{i}"), at(i, "second").alias(f"_second{i}"), F.max(F.when(F.col("_a.i") == i, F.col("_a.share"))).alias(f"_w{i}")]
+        lo, hi = F.col(f"_first{i}"), F.col(f"_second{i}")
         out.append((lo + (hi - lo) * F.col(f"_w{i}")).alias(f"q{i}"))
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
 
@@ -143,8 +162,8 @@ def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str,
 def describe(df: DataFrame, cols: Sequence[str], *, accuracy: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, std, min, quartiles and max per column.
 
-    Quartiles are exact, which sorts the distinct values; with ``accuracy`` they come from one
-    pass with a relative rank error of ``1 / accuracy``.
+    Quartiles are exact, by three passes; with ``accuracy`` they come from one pass with a
+    relative rank error of ``1 / accuracy``.
     """
     by = [*keys, "column"]
     long = df.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in cols], "column", "x")

@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from gridtide.session import materialise
 
 CHUNK = 4096         # grid steps: 170 days of hours
-ROW_CHUNK = 1 << 14  # raw rows; grows with the series, see row_chunk
-MAX_CHUNKS = 1_000_000
+ROW_CHUNK = 1 << 16  # raw rows
+DRAWN = 16           # sampled rows per part of a crowded bucket
+PARTS = 256          # of a crowded bucket; crowded parts are cut again
+LEVELS = 4           # of such cuts
 
 
 def chunk_of(pos: str, size: int = CHUNK) -> Column:
@@ -122,39 +124,45 @@ def last_rows(df: DataFrame, n: int, keys: Sequence[str], pos: str = "slot", siz
             .drop("_chunk", "_series", "_after", "_nth"))
 
 
-def row_chunk(ordered: DataFrame) -> int:
-    """Chunk size for a table from :func:`with_row_ordinal`: at most a million chunks per series."""
-    longest = ordered.agg(F.max("rows")).first()[0] or 0
-    return max(ROW_CHUNK, -(-longest // MAX_CHUNKS))
-
-
-def with_row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: int = 3600) -> DataFrame:
+def with_row_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: int = 3600, most: int = ROW_CHUNK) -> DataFrame:
     """Like :func:`with_ordinal` for rows in any order.
 
-    The first of ``order``, a time or a number, cuts a series into buckets of ``bucket`` seconds or units;
-    counts per bucket give each bucket's first ordinal, and rows are numbered inside their bucket: one hash
-    shuffle, no global sort. Give ``order`` a unique end, or rows of equal order may be numbered either way;
-    the result is written once, so that all later steps see one numbering.
+    The first of ``order``, a time or a number, cuts a series into buckets of ``bucket`` seconds or units. A bucket of more
+    than ``most`` rows is cut again, about evenly, at quantiles of its rows' full order, so however many rows share an hour,
+    a minute or one moment, no task numbers many more than ``most``. Counts per bucket give each bucket's first ordinal. Give
+    ``order`` a unique end, or rows of equal order may be numbered either way (and stay in one bucket); the result is written
+    once, so that all later steps see one numbering. Rows whose first order is null have no place in the series and are
+    dropped: count them before.
     """
     first = F.col(order[0])
     if df.schema[order[0]].dataType.typeName().startswith("timestamp"):
         first = F.unix_micros(first.cast("timestamp")) / 1_000_000
-    chunked = _chunked(df, keys, F.coalesce(F.floor(first / bucket), F.lit(-(1 << 62))))
+    chunked, crowd = _chunked(df, keys, F.floor(first / bucket)), None
+    for _ in range(LEVELS):
+        hot = materialise(chunked.groupBy("_series", "_chunk").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most), "hot")
+        largest = hot.agg(F.max("_n")).first()[0]
+        if largest is None or largest == crowd:  # none, or rows of one order that nothing tells apart
+            break
+        chunked, crowd = _cut(chunked, hot, order, most), largest
     return materialise(_numbered(chunked, order), "ordered")
 
 
-def stage_sorted(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Range-partition and sort by ``order``, numbering partitions (``_part``) and rows.
+def _cut(chunked: DataFrame, hot: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """Rows whose ``_chunk`` is a pair (bucket, part): crowded buckets in parts of about ``most`` rows by their order.
 
-    The range split samples the full order tuple, so one hot series spreads over many
-    partitions. The numbering depends on the physical layout, so the result is written to the
-    shared folder: a lost executor cannot change it afterwards.
+    Cuts come from a sample of about ``DRAWN`` rows per part; they steer sizes only. A row's part is the number of cuts
+    before it, ``PARTS`` at most.
     """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return materialise(ordered.withColumns(
-        {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "sorted")
+    place = F.struct(*order)
+    named = hot.withColumnsRenamed({"_series": "_r_series", "_chunk": "_r_chunk", "_n": "_crowd"})
+    same = (F.col("_series") == F.col("_r_series")) & (F.col("_chunk") == F.col("_r_chunk"))
+    share = DRAWN * F.least(F.ceil(F.col("_crowd") / most), F.lit(PARTS)) / F.col("_crowd")
+    drawn = (chunked.join(named, same).where(F.pmod(F.xxhash64(*order), F.lit(1 << 30)) < share * (1 << 30))
+             .groupBy("_r_series", "_r_chunk").agg(F.array_sort(F.collect_set(place)).alias("_drawn")))
+    cuts = materialise(drawn.select("_r_series", "_r_chunk", F.filter("_drawn", lambda x, i: i % DRAWN == DRAWN - 1).alias("_cuts")), "cuts")
+    wide = chunked.join(cuts, same, "left")  # one small row per crowded bucket: broadcast, or a join that splits the crowd
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))
+    return wide.withColumn("_chunk", F.struct(F.col("_chunk").alias("bucket"), part.alias("part"))).drop("_r_series", "_r_chunk", "_cuts")
 
 
 def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pos: str = "slot",

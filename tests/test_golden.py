@@ -254,9 +254,10 @@ def test_density_far_from_the_crowd(series):
 
 
 def test_models_refuse_several_series(series):
-    from gridtide.operators import models
+    from gridtide.operators import seasonal, sequence, stationarity
     two = series([1.0, 2.0, 3.0]).unionByName(series([1.0, 2.0, 3.0]))
     with pytest.raises(ValueError):
-        models.adf_decision(two, "x", 1)
-    with pytest.raises(ValueError):
-        models.SeasonalForecaster("x").fit(two)
+        stationarity.adf(two, "x", 1)
+    for model in (seasonal.SeasonalForecaster("x"), sequence.SequenceForecaster("x", 1)):
+        with pytest.raises(ValueError):
+            model.fit(two)

@@ -45,23 +45,40 @@ def test_ordinals(series, size):
     assert [r["ord"] for r in rows] == list(range(len(rows))) and {r["rows"] for r in rows} == {len(rows)}
 
 
-def test_row_ordinals_with_hot_series_and_hot_time(spark):
-    rows = [("hot" if i % 3 else f"s{i % 30}", i // 400, i) for i in range(3000)]
+@pytest.mark.parametrize("most", [1 << 16, 50, 3])
+def test_row_ordinals_with_hot_series_and_hot_time(spark, most):
+    rows = [("hot" if i % 3 else f"s{i % 30}", i // 400, i) for i in range(3000)] + [("hot", None, -1), (None, None, -2), (None, 5, -3)]
     df = spark.createDataFrame(rows, "k string, t int, id int").repartition(5)
-    out = chunks.with_row_ordinal(df, ["k"], ["t", "id"]).collect()
+    out = chunks.with_row_ordinal(df, ["k"], ["t", "id"], most=most).collect()
     by_key = {}
-    for r in sorted(out, key=lambda r: (r["k"], r["t"], r["id"])):
+    for r in sorted(out, key=lambda r: (r["k"] or "", r["t"], r["id"])):
         by_key.setdefault(r["k"], []).append(r)
-    assert len(out) == 3000
+    assert len(out) == 3001  # rows without a time have no place
     for group in by_key.values():
         assert [r["ord"] for r in group] == list(range(len(group)))
         assert {r["rows"] for r in group} == {len(group)}
 
 
-def test_hot_series_spreads_over_partitions(spark):
-    df = spark.range(20_000).select(F.lit("hot").alias("k"), "id")
-    parts = chunks.stage_sorted(df, ["k", "id"]).groupBy("_part").count().collect()
-    assert len(parts) > 1 and max(p["count"] for p in parts) < 10_000
+def test_a_crowded_minute_is_cut_into_even_parts(spark):
+    """Rows of one moment are dealt by the rest of their order; rows that nothing tells apart stay together and end."""
+    df = spark.range(40_000).selectExpr("timestamp_ntz'2024-01-01 00:00:30' AS ts", "pmod(xxhash64(id), 1000003) AS tie", "'a' AS k").withColumn(
+        "_chunk", F.lit(7).cast("long")).withColumn("_series", F.struct(F.lit(0).alias("_"), "k"))
+    hot = df.groupBy("_series", "_chunk").agg(F.count("*").alias("_n"))
+    sizes = [r["count"] for r in chunks._cut(df, hot, ["ts", "tie"], 2000).groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 40_000 and 15 <= len(sizes) <= 25 and max(sizes) < 6000
+    same = spark.range(500).selectExpr("0 AS t", "1 AS tie")
+    assert sorted(r["ord"] for r in chunks.with_row_ordinal(same, (), ["t", "tie"], most=20).collect()) == list(range(500))
+
+
+def test_readings_without_a_time_change_nothing(spark):
+    from gridtide.operators.clean import clean_raw, untimed
+    rows = [(f"2024-01-01 {i // 60:02d}:{i % 60:02d}:00", None if i < 3 else 1.0, i) for i in range(240)]
+    fine = spark.createDataFrame(rows, "t string, x double, id int").selectExpr("cast(t AS timestamp_ntz) AS ts", "x", "id")
+    extra = fine.unionByName(spark.createDataFrame([(100.0, -i) for i in range(1, 6)], "x double, id int"), allowMissingColumns=True)
+    assert untimed(extra).first()["untimed"] == 5 and untimed(fine).first()["untimed"] == 0
+    for size in (1 << 16, 17):
+        clean = [clean_raw(t, ["x"], value="x", tie=["id"], size=size).orderBy("ts").collect() for t in (fine, extra)]
+        assert clean[0] == clean[1] and [r["x"] for r in clean[0]] == [1.0] * 4
 
 
 def test_acf_does_not_depend_on_chunks(series):
@@ -81,6 +98,24 @@ def test_exact_quantiles_match_sorted_values(spark):
         assert [r["q0"], r["q1"], r["q2"]] == pytest.approx(list(np.quantile(xs, [.25, .5, .75])))
 
 
+@pytest.mark.parametrize("small", [4096, 10])
+def test_selected_quantiles_of_many_rows(spark, small, monkeypatch):
+    """Groups beyond the sketch's accuracy, with ties, a narrow bracket, single rows and nulls; no sort of all values."""
+    import numpy as np
+    monkeypatch.setattr(quality, "SMALL", small)
+    df = spark.range(60_000).selectExpr("CASE WHEN id < 50000 THEN 'a' WHEN id < 59000 THEN null ELSE 'b' END AS g",
+                                        "CASE WHEN id % 7 = 0 THEN 3.0 WHEN id % 11 = 0 THEN null ELSE pmod(xxhash64(id), 100003) / 1e3 END AS x")
+    df = df.unionByName(spark.createDataFrame([("one", 4.0), ("same", 2.0), ("same", 2.0)], "g string, x double"))
+    for p in (quality.QUARTILES, (0.0, 0.001, 0.999, 1.0)):
+        got = {r["g"]: [r[f"q{i}"] for i in range(len(p))] for r in quality.exact_quantiles(df, ["g"], "x", p).collect()}
+        xs = {}
+        for r in df.where("x IS NOT NULL").collect():
+            xs.setdefault(r["g"], []).append(r["x"])
+        assert got == {g: pytest.approx(np.quantile(v, p).tolist(), abs=1e-9) for g, v in xs.items()}
+    plan = quality.exact_quantiles(df, ["g"], "x")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "SinglePartition" not in plan
+
+
 def test_tail_and_stride_per_series(series):
     df = series(range(10), keys={"k": "a"}).unionByName(series(range(3), keys={"k": "b"}))
     tail = splits.tail(df, 4, keys=["k"]).collect()
