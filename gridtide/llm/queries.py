@@ -102,9 +102,8 @@ l AS (SELECT rid, source, unnest(list_filter(string_split(t, chr(10)), lambda x:
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
 k AS (SELECT rid, source, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n,
              lower(array_to_string(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''), ' ')) AS norm FROM l),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-many AS (SELECT k.source, norm FROM k JOIN hosts h ON k.source IS NOT DISTINCT FROM h.source
-         GROUP BY k.source, norm, docs HAVING count(DISTINCT rid) > 10 AND count(DISTINCT rid) > 0.01 * docs),
+many AS (SELECT source, norm FROM k
+         GROUP BY source, norm HAVING count(DISTINCT rid) > 10),
 lost AS (SELECT rid, sum(n) AS n FROM k JOIN many m ON k.source IS NOT DISTINCT FROM m.source AND k.norm = m.norm GROUP BY rid),
 base AS (
   SELECT d.rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
