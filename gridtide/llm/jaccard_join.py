@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from gridtide.llm.components import connected_components
 from gridtide.llm.hash_filter import build_filter
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import mix, shingle_sets
+from gridtide.llm.textkit import mix, shingle_sets, tidy
 from gridtide.session import materialise
 
 COUNTERS = 1 << 22    # entries of each count table, whatever the data's size
@@ -209,15 +209,32 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, n: int, lower: bool, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
-    needed = materialise(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
-    keys = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = texts.mapInArrow(_sets(n, lower), "cls long, shingles binary").join(keys, "cls", "left_semi")
-    sets = materialise(sets.groupBy("cls").agg(F.first("shingles").alias("shingles")), "sets")
-    both = (pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("set_a")), "a")
-            .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("set_b")), "b"))
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(_verify(percent), "a long, b long")
+def _sent(table: DataFrame) -> DataFrame:
+    """A written table, to every executor if it has few rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, copies: DataFrame, n: int, lower: bool, percent: int) -> DataFrame:
+    """The pairs (a written table) whose whole sets reach the similarity.
+
+    A pair is turned so that ``h`` is the class with more pairs: the sets of the others meet their pairs where they are made,
+    and travel once, to the few sets of the hubs. Only classes of several documents (``copies``) need their sets made one first.
+    """
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b"))
+    needed = materialise(ends.groupBy("cls").agg(F.count("*").alias("pairs")).join(copies, "cls", "left"), "needed")
+    keys = _sent(needed.select("cls", F.coalesce("several", F.lit(False)).alias("several")))
+    raw = materialise(texts.mapInArrow(tidy(_sets(n, lower)), "cls long, shingles binary").join(keys, "cls"), "sets")
+    one = raw.where("several").groupBy("cls").agg(F.first("shingles").alias("shingles"))
+    sets = raw.where("not several").select("cls", "shingles").unionByName(one)
+    degree = needed.select("cls", "pairs")
+    both = (pairs.join(_sent(degree).toDF("a", "da"), "a").join(_sent(degree).toDF("b", "db"), "b"))
+    turned = materialise(both.select(F.when(F.col("da") > F.col("db"), F.col("a")).otherwise(F.col("b")).alias("h"),
+                                     F.when(F.col("da") > F.col("db"), F.col("b")).otherwise(F.col("a")).alias("x")), "turned")
+    hubs = sets.join(_sent(materialise(turned.select(F.col("h").alias("cls")).distinct(), "hubs")), "cls", "left_semi")
+    meet = sets.withColumnsRenamed({"cls": "x", "shingles": "set_x"}).join(_sent(turned), "x")
+    both = meet.join(hubs.withColumnsRenamed({"cls": "h", "shingles": "set_h"}), "h")
+    least, most = F.least("h", "x").alias("a"), F.greatest("h", "x").alias("b")
+    return both.select(least, most, "set_h", "set_x").mapInArrow(tidy(_verify(percent)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True,
@@ -236,21 +253,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower
     texts = table.select("text")
     id_type = to_arrow_type(table.schema["id"].dataType)
     shape = f"id {table.schema['id'].dataType.simpleString()}, n long, cls long, parts binary, chunk int, counts binary"
-    profile = materialise(table.mapInArrow(_profile(words, lower, id_type), shape), "profile")
+    profile = materialise(table.mapInArrow(tidy(_profile(words, lower, id_type)), shape), "profile")
     sizes = profile.where("chunk is null").select("id", "n", "cls")
     levels = spark.sparkContext.broadcast(_levels(profile))
     shape = "g long, cls long, n int, pos int"
-    prefixes = texts.mapInArrow(_prefixes(words, lower, percent, levels), shape).select("g", "cls")
+    prefixes = texts.mapInArrow(tidy(_prefixes(words, lower, percent, levels)), shape).select("g", "cls")
     repeated = materialise(prefixes.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("g"), "repeated")
     shared = spark.sparkContext.broadcast(build_filter(repeated, "g", repeated.count()))
-    meeting = materialise(texts.mapInArrow(_prefixes(words, lower, percent, levels, shared), shape).join(repeated, "g").distinct(), "meeting")
+    meeting = materialise(texts.mapInArrow(tidy(_prefixes(words, lower, percent, levels, shared)), shape).join(repeated, "g").distinct(), "meeting")
     levels.destroy()  # what follows reads written tables
     shared.destroy()
 
     hubs = meeting.groupBy("g").agg(F.min(F.struct("pos", "n", "cls")).alias("h")).select("g", "h.*")
     starred = meeting.alias("x").join(hubs.alias("y"), F.expr("x.g = y.g and x.cls <> y.cls") & _may_reach("x", "y", percent, suffix=False))
     first = materialise(_pairs(starred), "pairs")
-    linked = materialise(_checked(first, texts, words, lower, percent), "links")
+    copies = materialise(sizes.where("cls is not null").groupBy("cls").count().where("count > 1").select("cls", F.lit(True).alias("several")), "copies")
+    linked = materialise(_checked(first, texts, copies, words, lower, percent), "links")
     known = connected_components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     placed = (meeting.join(known.withColumnRenamed("node", "cls"), "cls", "left")
@@ -261,7 +279,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower
     open_ = materialise(placed.join(split, "g").join(parts, "cls").select("g", "cls", "n", "pos", "root", *words_of), "open")
     crossing = open_.alias("x").join(open_.alias("y"), F.expr("x.g = y.g and x.root < y.root") & _may_reach("x", "y", percent, suffix=True))
     rest = materialise(_pairs(crossing).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _checked(rest, texts, words, lower, percent)
+    more = _checked(rest, texts, copies, words, lower, percent)
     found = connected_components(linked.unionByName(more).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     member = (sizes.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
@@ -275,12 +293,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, lower
 
 def keep_one_per_group(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the near copies: of each component the row with the smallest id stays.
+    """The rows of ``docs`` without the near copies: one row of each component stays.
 
-    Rows without words link with nothing and stay, as do all rows without an id. Rows equal in id and
-    text are one document, of which one row stays. Other columns pass through.
+    It is a row with the smallest id; among rows of that id the text's hash decides, and rows without an id stay only where
+    no row of their component has one. Rows without words link with nothing and stay. Rows equal in id and text, null
+    included, are one document, of which one row stays. Other columns pass through.
     """
-    groups = jaccard_components(docs, words, percent, lower, id_col, text_col)
-    stay = materialise(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct(), "stay")
-    named = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    row = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("k1"),
+                   F.xxhash64(F.lit(1), text_col).alias("k2"), F.col(text_col).isNull().alias("empty"))
+    groups = jaccard_components(docs.select(row.alias("key"), F.col(text_col).alias("text")), words, percent, lower, "key", "text")
+    stay = materialise(groups.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("__stay")).distinct(), "stay")
+    keyed = docs.withColumn("__key", row)
+    return keyed.join(stay, F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"]).drop("__key")

@@ -74,13 +74,26 @@ def test_jaccard_empty_and_wordless(spark):
     assert ordered((r[0], r[1], r[2]) for r in jaccard_components(blank).collect()) == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]
 
 
-def test_one_of_each_group_stays(corpus, plain):
+def one_of_each(rows, n, percent):
+    """(id, whether it is the only row of that id and text) of what should stay: per component the smallest id, named rows first."""
+    sets = [shingles(t, n) for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j]
+            and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    of, groups_ = groups(len(rows), near), collections.defaultdict(set)
+    for i, row in enumerate(rows):
+        groups_[of[i] if sets[i] else row].add(row)
+    return sorted(min((r[0] is None, r[0] or 0) for r in found) for found in groups_.values())
+
+
+def test_one_of_each_group_stays(corpus, plain, spark):
     kept = keep_one_per_group(corpus)
     assert kept.columns == [c for c in corpus.columns]
-    want = {d for d, _, component in brute_jaccard([r[:2] for r in plain], 5, 80) if d is not None and d == component}
-    ids = [r[0] for r in kept.select("doc_id").collect()]
-    assert {i for i in ids if i is not None} == want and len([i for i in ids if i is not None]) == len(want)
-    assert ids.count(None) == sum(1 for r in plain if r[0] is None)
+    ids = sorted((r[0] is None, r[0] or 0) for r in kept.select("doc_id").collect())
+    assert ids == one_of_each([r[:2] for r in plain], 5, 80)
+    text, other = " ".join(f"w{i}" for i in range(30)), " ".join(f"x{i}" for i in range(30))
+    rows = [(3, text), (None, text), (None, text), (7, text), (7, other), (7, other + " more"), (None, "alone here"), (None, None), (9, None)]
+    got = keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r[0] is None, r[0] or 0) for r in got) == one_of_each(rows, 5, 80) and len(got) == 5
 
 
 def test_components_of_chains_and_loops(spark):
