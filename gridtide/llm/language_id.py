@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import raw_bytes, with_columns
+from gridtide.llm.textkit import raw_bytes, tidy, with_columns
 
 WINDOW = 96          # bytes of a text that run as one sequence
 COLUMNS = 2048       # windows that run side by side
@@ -244,4 +244,4 @@ def predict_language(docs: DataFrame, network: ByteNetwork, text_col: str = "tex
     shipped(docs.sparkSession)
     rest = docs.drop("lang_pred", "score")
     schema = StructType([*rest.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rest.mapInArrow(_predict(network, rest.columns.index(text_col)), schema)
+    return rest.mapInArrow(tidy(_predict(network, rest.columns.index(text_col))), schema)

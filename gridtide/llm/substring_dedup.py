@@ -28,11 +28,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from gridtide.llm.hash_filter import build_filter
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import Words, rolling_hashes, slices, with_columns
+from gridtide.llm.textkit import Words, rolling_hashes, slices, tidy, with_columns
 from gridtide.session import materialise
 
 ANCHOR = 8                  # words of an anchor at most
-SHARD_BYTES = 4 << 20       # text of a shard, about
+SHARD_BYTES = 2 << 20       # text of a shard, about
 HOT_SEGMENTS = 20_000       # different segments of one anchor; beyond, its windows are counted one by one
 BROADCAST_BYTES = 8 << 20   # text keys or intervals sent to every executor at most; beyond, a shuffled join
 ROW_BYTES = 32              # of a key in a broadcast, about
@@ -346,11 +346,11 @@ def repeated_spans(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     several = materialise(keyed.join(sent, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text")), "texts")
     base = keyed.join(sent, ["k1", "k2"], "left_anti").unionByName(several)
 
-    anchors = base.select("text").mapInArrow(_anchor_rows(window), "anchor long")
+    anchors = base.select("text").mapInArrow(tidy(_anchor_rows(window)), "anchor long")
     repeated = materialise(anchors.groupBy("anchor").count().where("count > 1"), "anchors")
     known = spark.sparkContext.broadcast(build_filter(repeated, "anchor", repeated.count()))
     shape = "anchor long, segment binary, k1 long, k2 long, start int, windows int, words string"
-    raw = materialise(base.mapInArrow(_segment_rows(window, known), shape), "segments")
+    raw = materialise(base.mapInArrow(tidy(_segment_rows(window, known)), shape), "segments")
     known.destroy()  # what follows reads written tables
     # an anchor that passed by chance meets nothing in its shard
     different = materialise(raw.groupBy("anchor", "segment").agg(F.first("words").alias("words"), F.count("*").alias("times")), "different")
@@ -369,7 +369,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     placed = raw.select("segment", "k1", "k2", "start").join(found, "segment")
     spans = placed.groupBy("k1", "k2").agg(F.collect_list(F.struct((F.col("start") + F.col("lo")).alias("lo"),
                                                                    (F.col("start") + F.col("hi")).alias("hi"))).alias("spans"))
-    return copies, materialise(spans.mapInArrow(_merge(window), "k1 long, k2 long, ranges binary"), "ranges")
+    return copies, materialise(spans.mapInArrow(tidy(_merge(window)), "k1 long, k2 long, ranges binary"), "ranges")
 
 
 def remove_repeats(docs: DataFrame, window: int = 50, text_col: str = "text") -> DataFrame:
@@ -391,4 +391,4 @@ def remove_repeats(docs: DataFrame, window: int = 50, text_col: str = "text") ->
     schema = StructType([*own.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()),
                          StructField("kept_text", StringType())])
     at = {"text": joined.columns.index(text_col), "ranges": len(own.columns), "copies": len(own.columns) + 1}
-    return joined.mapInArrow(_strip(window, at), schema)
+    return joined.mapInArrow(tidy(_strip(window, at)), schema)
