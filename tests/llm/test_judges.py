@@ -2,6 +2,7 @@
 
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from compare import connect, difference
@@ -224,21 +225,62 @@ purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies.
 """
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+GPL2_TITLE = "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n"
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements.
+The ASF licenses this file to You under the Apache License, Version 2.0 (the "License"); you may not use
+this file except in compliance with the License.
+"""
+LONG_HOLDER = BSD3.replace("the copyright holder", "the " + "very " * 200 + "long holder")
 CC = "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0 International License."
 
 
+def licence_rows(rows):
+    keys = ("doc_id", "n_sentences", "sentence_ids", "standard_ids", "licences", "licence_group")
+    return ordered(tuple(r[k] for k in keys) for r in rows)
+
+
+def sql_rows(rows):
+    """The checking SQL over (doc_id, text) rows."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    found = con.execute(license_scan.licence_sql("t", "doc_id"))
+    names = [c[0] for c in found.description]
+    return licence_rows(dict(zip(names, row)) for row in found.fetchall())
+
+
+def test_licence_sql_and_operator_agree_on_edge_rows(corpus, plain):
+    rows = [(r[0], None if r[1] is None else r[1].replace("\0", "")) for r in plain]
+    got = scan_licences(corpus.withColumn("text", F.replace("text", F.lit("\0"), F.lit("")))).collect()
+    assert licence_rows(got) == sql_rows(rows)
+
+
+def test_licences_of_a_very_long_text(spark):
+    text = "\n" * 200_000 + "plain words of a line. " * 100_000 + "\n \n" + MIT + "x" * 500_000 + " \t" * 200_000
+    got = scan_licences(spark.createDataFrame([(1, text), (2, "licens" + "\n-" * 300_000)], "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["licences"]) for r in got] == [(1, "MIT"), (2, "")]
+
+
 def test_standard_licence_texts_wrapped_and_not(spark):
     """Each text as it stands, on one line, as a comment, with Windows line ends and inside other text."""
     want = {MIT: ("MIT", "permissive"), BSD2: ("BSD-2-Clause", "permissive"), BSD3: ("BSD-3-Clause", "permissive"), GPL: ("GPL-3.0", "copyleft"),
             GPL2: ("GPL-2.0", "copyleft"), LGPL: ("LGPL-2.1", "copyleft"), AGPL: ("AGPL-3.0", "copyleft"), APACHE: ("Apache-2.0", "permissive"),
             ISC: ("ISC", "permissive"), MPL: ("MPL-2.0", "copyleft"), CC: ("CC-BY-NC-4.0", "restricted"),
             "Foo is released\nunder the MIT License, see the file.": ("MIT", "permissive"), "It is not licensed under the MIT license, sorry.": ("", None),
-            "The software comes with permission, no licence.": ("", None)}
+            "The software comes with permission, no licence.": ("", None), "The code is no longer licensed under the MIT License.": ("", None),
+            "Nothing here is licensed under CC BY 4.0, ask first.": ("", None), "No part of it is licensed under CC BY 4.0, ask first.": ("", None),
+            "We compared the GNU General Public License, version 2, June 1991 with others.": ("", None),
+            "The contents, which need permission, are like the MIT text that says permission is hereby granted, free of charge.": ("", None),
+            "SPDX-License-Identifier: (GPL-2.0-or-later OR BSD-3-Clause)": ("BSD-3-Clause,GPL-2.0", "copyleft"), "spdx-license-identifier: MITX": ("", None),
+            GPL2_TITLE: ("GPL-2.0", "copyleft"), ASF: ("Apache-2.0", "permissive"),
+            LONG_HOLDER: ("BSD-3-Clause", "permissive")}
     shapes = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "".join(f" * {x}\n" for x in t.splitlines()), lambda t: t.replace("\n", "\r\n"),
               lambda t: f"int main() {{}}\n// see below\n{t}\nand more text"]
     rows = [(i, shape(text)) for i, text in enumerate(want) for shape in shapes]
-    got = scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = scan_licences(frame).collect()
     assert len(got) == len(rows)
+    assert licence_rows(got) == sql_rows(rows)
     assert [(r["doc_id"], r["licences"], r["licence_group"]) for r in got] == [(i, *found) for i, found in enumerate(want.values()) for _ in shapes]
 
 
@@ -251,8 +293,9 @@ def test_several_licences_in_one_text(spark):
 
 
 def test_standard_sentences_have_a_hint():
-    assert all(any(hint in sentence for hint in license_scan.HINTS) for sentence in license_scan.STANDARD)
-    assert {x for _, _, wanted in license_scan.STANDARD_RULES for x in wanted} <= set(license_scan.STANDARD.values())
+    known = license_scan.STANDARD | license_scan.TITLES | license_scan.GRANTS
+    assert all(any(hint in sentence for hint in license_scan.HINTS) for sentence in known)
+    assert {x for _, _, wanted in license_scan.STANDARD_RULES for x in wanted} <= {*known.values(), *license_scan.SPDX.values()}
 
 
 def test_id_checksum(spark):
