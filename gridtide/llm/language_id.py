@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -24,7 +24,8 @@ WINDOW = 96          # bytes of a text that run as one sequence
 COLUMNS = 2048       # windows that run side by side
 HIDDEN = 8           # units per direction
 SAMPLE_DOCS = 2400   # labelled documents to learn from, at most
-SAMPLE_CHARS = 100_000    # longer texts are not in the sample
+SAMPLE_CHARS = 100_000    # of a longer text, so many characters from a place its hash gives
+MOST_LABELS = 1_000       # more are an error, not a cut
 SAMPLE_WINDOWS = 16_000   # windows of 64 bytes from anywhere in them, at most
 UNKNOWN = "und"
 
@@ -90,17 +91,21 @@ def _back(table, matrix, steps, cache, grads):
     return d_table, d_matrix
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(length, columns) byte codes of all windows, padded with 0, and the text of each window."""
-    sizes = np.diff(offsets)
-    per_text = -(-sizes // length)
-    owner = np.repeat(np.arange(len(sizes)), per_text)
+def _windows(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and first byte of every window, without its bytes."""
+    per_text = -(-np.diff(offsets) // length)
+    owner = np.repeat(np.arange(len(per_text)), per_text)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    begin = offsets[owner] + nth * length
+    return owner, offsets[owner] + nth * length
+
+
+def _codes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """(length, columns) byte codes of some windows of texts that end at ``end``, padded with 0."""
+    if not len(begin):
+        return np.zeros((length, 0), np.uint8)
     place = begin[:, None] + np.arange(length)
-    inside = place < offsets[owner + 1][:, None]
-    codes = np.where(inside, data[np.minimum(place, max(len(data) - 1, 0))], 0) if len(owner) else np.zeros((0, length), np.uint8)
-    return np.ascontiguousarray(codes.T), owner
+    codes = np.where(place < end[:, None], data[np.minimum(place, len(data) - 1)], 0)
+    return np.ascontiguousarray(codes.T)
 
 
 def train_network(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, length: int = 64, epochs: int = 5,
@@ -113,10 +118,12 @@ def train_network(texts: list[bytes], labels: list[str], hidden: int = HIDDEN, l
     rng = np.random.default_rng(seed)
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-    codes, owner = _windows(data, offsets, length)
-    wanted = np.array([names.index(x) for x in labels])[owner]
+    owner, begin = _windows(offsets, length)
+    of = {name: i for i, name in enumerate(names)}
+    wanted = np.array([of[x] for x in labels])[owner]
     picked = np.concatenate([rng.permutation(np.flatnonzero(wanted == i))[:max(1, windows // len(names))] for i in range(len(names))])
-    codes, owner, wanted = codes[:, picked], owner[picked], wanted[picked]
+    owner, wanted = owner[picked], wanted[picked]
+    codes = _codes(data, begin[picked], offsets[owner + 1], length)
     share = np.bincount(wanted, minlength=len(names)) / max(len(wanted), 1)
     weight = (1.0 / np.maximum(share, 1e-9) / len(names)).astype(np.float32)  # classes count alike
     scale = 1 / np.sqrt(hidden)
@@ -180,9 +187,11 @@ def document_probabilities(network: ByteNetwork, data: np.ndarray, offsets: np.n
     total, places = np.zeros((len(offsets) - 1, max(len(network.labels), 1))), np.zeros(len(offsets) - 1)
     if not network.labels:
         return total
-    codes, owner = _windows(data, offsets, WINDOW)
-    for lo in range(0, len(owner), COLUMNS):
-        own, part = owner[lo:lo + COLUMNS], codes[:, lo:lo + COLUMNS]
+    owner, start = _windows(offsets, WINDOW)
+    columns = max(1, COLUMNS * 32 // max(32, len(network.labels)))  # the matrix of probabilities keeps its size
+    for lo in range(0, len(owner), columns):
+        own = owner[lo:lo + columns]
+        part = _codes(data, start[lo:lo + columns], offsets[own + 1], WINDOW)
         counted = LETTER[part]
         chance = label_positions(network, part)
         chance *= counted[:, :, None]
@@ -196,21 +205,27 @@ def learn_languages(labelled: DataFrame, text_col: str = "text", label_col: str
                     seed_key: str = "doc_id") -> ByteNetwork:
     """A network from at most ``sample`` rows with text and label, as many of each label as there are, spread by a hash.
 
-    Without any, the network has no labels and calls every text ``und``.
+    Every label is learned; more than ``MOST_LABELS`` are an error. Of a text over ``SAMPLE_CHARS`` characters a part as
+    long is learned. Equal rows and texts with two labels are rows like others. Without any labelled text, the network
+    has no labels and calls every text ``und``.
     """
-    known = labelled.where(F.col(label_col).isNotNull() & F.length(text_col).between(1, SAMPLE_CHARS))
-    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().orderBy(F.desc("count")).limit(200).collect()}
+    known = labelled.where(F.col(label_col).isNotNull() & (F.length(text_col) > 0))
+    counts = {r[0]: r[1] for r in known.groupBy(label_col).count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {label_col}")
     if not counts:
         return ByteNetwork([], [], [], np.zeros((0, 0)), np.zeros(0))
     each = max(1, sample // len(counts))
-    order = F.xxhash64(seed_key, text_col)
-    rows = []
-    for label, n in sorted(counts.items()):
-        of = known.where(F.col(label_col) == label)
-        if n > 2 * each:  # thin first: only a part near the bound is ordered
-            of = of.where(F.pmod(order, F.lit(1_000_000)) < int(1_000_000 * min(1.0, 2 * each / n)))
-        rows += of.orderBy(order, text_col).limit(each).select(text_col, label_col).collect()
-    return train_network([r[0].encode("utf-8") for r in rows], [r[1] for r in rows])
+    share = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, 1_000_000 if n <= 2 * each else int(2_000_000 * each / n))])
+    told = known.select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(seed_key, text_col).alias("order"),
+                        F.spark_partition_id().alias("task")).where(F.pmod("order", F.lit(1_000_000)) < share[F.col("label")])
+    cut = F.pmod("order", F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    told = told.withColumn("text", F.substr("text", cut, F.lit(SAMPLE_CHARS)))
+    for keys in (("label", "task"), ("label",)):  # the first of each task's rows, then the first of those
+        first = Window.partitionBy(*keys).orderBy("order", "text")
+        told = told.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).drop("nth")
+    rows = sorted(told.select("label", "order", "text").collect())
+    return train_network([r[2].encode("utf-8") for r in rows], [r[0] for r in rows])
 
 
 def _predict(network: ByteNetwork, place: int):

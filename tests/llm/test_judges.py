@@ -33,6 +33,53 @@ def test_language_held_out(spark, larger, plain, corpus):
     assert language_id.predict_language(corpus.limit(0), network).count() == 0
 
 
+def test_every_label_and_very_long_texts_are_learned(spark, monkeypatch):
+    long = "slovo dlouhe " * 20_000
+    rows = [(i, f"plain words number {i} of a text", "en") for i in range(50)] + [(99, long, "cs")]
+    rows += [(1000 + i, f"{chr(0x4e00 + i)}" * 30, f"x{i:03}") for i in range(230)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    network = language_id.learn_languages(docs)
+    assert network.labels == sorted({r[2] for r in rows})
+    few = language_id.learn_languages(docs.where("doc_id < 1000"))
+    assert {r["lang_pred"] for r in language_id.predict_language(docs.where("doc_id = 99"), few).collect()} == {"cs"}
+    monkeypatch.setattr(language_id, "MOST_LABELS", 200)
+    with pytest.raises(ValueError, match="more than 200 labels"):
+        language_id.learn_languages(docs)
+
+
+def test_pooled_probabilities_match_a_loop_over_bytes():
+    """Each byte on its own, by plain arithmetic, in windows of the same length."""
+    rng = np.random.default_rng(5)
+    h, names = 2, ["a", "b", "c"]
+    net = language_id.ByteNetwork(names, [rng.normal(size=(256, 3 * h)).astype(np.float32) for _ in range(2)],
+                                  [rng.normal(size=(h, 3 * h)).astype(np.float32) for _ in range(2)], rng.normal(size=(2 * h, 3)), rng.normal(size=3))
+    texts = [b"", b"12", b"Hello, w\xc3\xb6rld", bytes(rng.integers(32, 127, 250).astype(np.uint8))]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def states(table, matrix, data):
+        state, out = np.zeros(h), []
+        for byte in data:
+            gates = sigmoid(table[byte, :2 * h] + state @ matrix[:, :2 * h])
+            candidate = np.tanh(table[byte, 2 * h:] + (gates[h:] * state) @ matrix[:, 2 * h:])
+            state = (1 - gates[:h]) * state + gates[:h] * candidate
+            out.append(state)
+        return out
+    want = []
+    for text in texts:
+        total, places = np.zeros(3), 0
+        for lo in range(0, len(text), language_id.WINDOW):
+            part = text[lo:lo + language_id.WINDOW]
+            padded = part + bytes(language_id.WINDOW - len(part))
+            forth, back = states(net.tables[0], net.recurrent[0], padded), states(net.tables[1], net.recurrent[1], padded[::-1])[::-1]
+            for i, byte in enumerate(part):
+                if byte >= 128 or chr(byte).isalpha():
+                    e = np.exp(np.concatenate([forth[i], back[i]]) @ net.out + net.bias)
+                    total, places = total + e / e.sum(), places + 1
+        want.append(total / max(places, 1))
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert np.allclose(language_id.document_probabilities(net, data, offsets), want, atol=1e-4)
+
+
 def test_language_without_labels(corpus):
     network = language_id.learn_languages(corpus.withColumn("lang", F.lit(None).cast("string")))
     assert {r[0] for r in language_id.predict_language(corpus, network).select("lang_pred").collect()} == {"und"}
