@@ -1,7 +1,8 @@
 """URL verdicts: ordered host and path rules first, gradient-boosted trees on lexical features for the rest.
 
 The trees read the URL alone: lengths, depth, digit share, entropy, parameters, marks, and how often URLs
-with the same host suffix were blocked among the labelled ones. They learn from a bounded sample.
+with the same host suffix were blocked among all labelled ones, a URL's own label apart. The trees learn from a
+bounded sample, the suffix table counts every labelled row and is joined to the pages.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridtide.llm.shipping import shipped
 from gridtide.llm.textkit import with_columns
+from gridtide.session import materialise
 
 SAMPLE_ROWS = 20_000   # labelled URLs to learn from, at most
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.2, 32, 20
@@ -52,7 +54,7 @@ def _entropy(data: bytes) -> float:
     return float(-(share * np.log2(share)).sum())
 
 
-def url_features(url: str | None, host: str, path: str, suffixes: dict[str, float], prior: float) -> list[float]:
+def url_features(url: str | None, host: str, path: str, last_share: float, two_share: float) -> list[float]:
     url = url or ""
     _, _, tail = url.partition("?")
     query, mark, _ = tail.partition("#")
@@ -61,7 +63,7 @@ def url_features(url: str | None, host: str, path: str, suffixes: dict[str, floa
     return [len(url), len(host), len(path), path.count("/"), len(labels), digits / max(len(url), 1), host_digits / max(len(host), 1),
             _entropy(url.encode("utf-8")), _entropy(host.encode("utf-8")), query.count("=") + query.count("&"), len(query),
             float("#" in url), float(url[:6].lower() == "https:"), url.count("-"), host.count("-"), max(map(len, labels)),
-            suffixes.get(labels[-1], prior), suffixes.get(".".join(labels[-2:]), prior)]
+            last_share, two_share]
 
 
 @dataclass
@@ -85,7 +87,7 @@ class BoostedTrees:
 
 def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE) -> BoostedTrees:
     """Logistic loss, second-order leaf values, splits at quantiles of each feature."""
-    share = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
+    share = min(max(float(y.mean()) if len(y) else 0.0, 1e-3), 1 - 1e-3)
     model = BoostedTrees(float(np.log(share / (1 - share))))
     if not len(y):
         return model
@@ -123,47 +125,77 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, rate: float = RATE)
     return model
 
 
+SMOOTHING = 10  # URLs of the overall share that each suffix gets
+LAST, TWO = "last_suffix", "two_suffix"
+
+
 @dataclass
 class UrlModel:
-    suffixes: dict[str, float]
+    """Table ``suffix, bad, n`` of the labelled URLs per suffix, their overall share of blocked ones, and the trees."""
+
+    suffixes: DataFrame
     prior: float
     trees: BoostedTrees
 
-    def features(self, urls, hosts, paths) -> np.ndarray:
-        rows = [url_features(u, h, p, self.suffixes, self.prior) for u, h, p in zip(urls, hosts, paths)]
-        return np.array(rows, float).reshape(-1, len(FEATURES))
-
-
-def fit_urls(urls: list[str], hosts: list[str], paths: list[str], blocked: np.ndarray) -> UrlModel:
-    """Suffix statistics (smoothed shares of blocked URLs) and trees from labelled URLs."""
-    prior = float(blocked.mean()) if len(blocked) else 0.0
-    sums: dict[str, list[float]] = {}
-    for host, bad in zip(hosts, blocked):
-        for suffix in {host.split(".")[-1], ".".join(host.split(".")[-2:])}:
-            entry = sums.setdefault(suffix, [0.0, 0.0])
-            entry[0] += bad
-            entry[1] += 1
-    suffixes = {k: (bad + 10 * prior) / (n + 10) for k, (bad, n) in sums.items()}
-    model = UrlModel(suffixes, prior, BoostedTrees(0.0))
-    model.trees = boost(model.features(urls, hosts, paths), np.asarray(blocked, float))
-    return model
+
+def _features(urls, hosts, paths, last, two) -> np.ndarray:
+    rows = [url_features(*row) for row in zip(urls, hosts, paths, last, two)]
+    return np.array(rows, float).reshape(-1, len(FEATURES))
+
+
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """Blocked and all labelled URLs (``bad``, ``n``) per last label and per last two labels of the host."""
+    ends = F.array_distinct(F.array(*[F.substring_index("host", ".", -k) for k in (1, 2)]))
+    return labelled.select(F.explode(ends).alias("suffix"), F.col("blocked").cast("long").alias("bad")).groupBy("suffix").agg(
+        F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("n"))
+
+
+def _spare(columns: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _with_shares(rows: DataFrame, suffixes: DataFrame, prior: float, own: Column | None = None) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the smoothed shares of both suffixes of ``host``, and the new names; ``own`` is a label to take out.
+
+    A plain join: broadcast if the table is measured as small, else hot suffixes are split by the adaptive planner.
+    """
+    names = []
+    for k, name in ((1, LAST), (2, TWO)):
+        names.append(_spare(rows.columns, f"_{name}"))
+        key, bad, n = (_spare(rows.columns, f"_{x}") for x in ("suffix", "bad", "n"))
+        right = suffixes.toDF(key, bad, n)
+        rows = rows.join(right, F.substring_index("host", ".", -k) == F.col(key), "left")
+        less = (own.cast("long"), F.lit(1)) if own is not None else (F.lit(0), F.lit(0))
+        share = (F.coalesce(F.col(bad) - less[0], F.lit(0)) + SMOOTHING * F.lit(prior)) / (F.coalesce(F.col(n) - less[1], F.lit(0)) + SMOOTHING)
+        rows = rows.withColumn(names[-1], share).drop(key, bad, n)
+    return rows, names
 
 
 def learn_urls(labelled: DataFrame, sample: int = SAMPLE_ROWS) -> UrlModel:
-    """A model from at most ``sample`` rows of ``url, host, path, blocked``, spread by a hash of the URL."""
-    known = labelled.where("url is not null and blocked is not null")
-    n, order = known.count(), F.xxhash64("url")
+    """A model from ``url, host, path, blocked``: suffixes counted over all labelled rows, trees from at most ``sample``.
+
+    The sample is spread by a hash of the URL; each of its rows sees its suffixes without its own label. Repeated rows count
+    each time. Without labelled rows every URL gets the score 0.001. Runs jobs when called.
+    """
+    known = labelled.where("url is not null and blocked is not null").select("url", "host", "path", "blocked")
+    n, bad = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0))).first()
+    prior, order = bad / n if n else 0.0, F.xxhash64("url")
+    suffixes = materialise(suffix_counts(known), "suffixes")
     if n > 2 * sample:
         known = known.where(F.pmod(order, F.lit(1_000_000)) < int(2_000_000 * sample / n))
-    rows = known.orderBy(order, "url", "blocked").limit(sample).select("url", "host", "path", "blocked").collect()
-    return fit_urls([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], np.array([r[3] for r in rows], bool))
+    drawn, names = _with_shares(known.orderBy(order, "url", "blocked").limit(sample), suffixes, prior, F.col("blocked"))
+    rows = sorted(drawn.select("url", "host", "path", *names, "blocked").collect())
+    x = _features(*([r[i] for r in rows] for i in range(5)))
+    return UrlModel(suffixes, prior, boost(x, np.array([r[5] for r in rows], float)))
 
 
-def _judge(model: UrlModel, at: tuple[int, int, int]):
+def _judge(trees: BoostedTrees, at: tuple[int, ...], keep: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = model.features(*(batch.column(i).to_pylist() for i in at))
-            yield with_columns(batch, {"block_score": pa.array(model.trees.chance(x), pa.float64())})
+            x = _features(*(batch.column(i).to_pylist() for i in at))
+            yield with_columns(batch.select(range(keep)), {"block_score": pa.array(trees.chance(x), pa.float64())})
     return run
 
 
@@ -182,9 +214,10 @@ def judge_urls(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]],
     """
     shipped(pages.sparkSession)
     ruled = with_rules(pages.drop("block_score", "verdict"), rules, url_col)
+    wide, names = _with_shares(ruled, model.suffixes, model.prior)
     schema = StructType([*ruled.schema.fields, StructField("block_score", DoubleType())])
-    at = tuple(ruled.columns.index(c) for c in (url_col, "host", "path"))
-    scored = ruled.mapInArrow(_judge(model, at), schema)
+    at = tuple(wide.columns.index(c) for c in (url_col, "host", "path", *names))
+    scored = wide.mapInArrow(_judge(model.trees, at, len(ruled.columns)), schema)
     verdict = F.when(F.col("block_score") >= cut, "block").otherwise("allow")
     for name, rule in rules:
         verdict = F.when(F.col("rule") == rule, name).otherwise(verdict)
