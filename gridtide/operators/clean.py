@@ -94,13 +94,16 @@ def fill_missing(df: DataFrame, cols: Sequence[str], *, limit: int = 60,
     After the forward fill the line starts at the last filled position, so both steps
     follow from the two known neighbours and need a single window pass.
     """
-    def rule(c: str) -> Column:
-        prev, nxt, at = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(pos)
-        held = prev["at"] + limit
-        line = _ramp(at, prev["v"], held, nxt["v"], nxt["at"])
-        return (F.when(prev.isNull(), nxt["v"])
-                .when(nxt.isNull() | (at <= held), prev["v"]).otherwise(line))
-    return _apply(df, keys, cols, pos, size, rule)
+    return _apply(df, keys, cols, pos, size, lambda c: held_then_line(c, limit, pos))
+
+
+def held_then_line(c: str, limit: int, pos: str) -> Column:
+    """The value of :func:`fill_missing` from the known neighbours ``_prev_<c>`` and ``_next_<c>``."""
+    prev, nxt, at = F.col(f"_prev_{c}"), F.col(f"_next_{c}"), F.col(pos)
+    held = prev["at"] + limit
+    line = _ramp(at, prev["v"], held, nxt["v"], nxt["at"])
+    return (F.when(prev.isNull(), nxt["v"])
+            .when(nxt.isNull() | (at <= held), prev["v"]).otherwise(line))
 
 
 def fill_missing_by_time(df: DataFrame, cols: Sequence[str], *, hold_seconds: int = 3600,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -88,10 +89,10 @@ def kde(df: DataFrame, value: str, points: int = 1000, per_bandwidth: int = 64,
         keys: Sequence[str] = ()) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on a regular axis.
 
-    Values are first binned ``per_bandwidth`` times finer than the bandwidth (kept as bin mean
-    and count), so the number of kernels depends on the value range, not the row count. Each bin
-    reaches the axis points within ``reach`` bandwidths; beyond 39 the kernel underflows to 0. A series
-    without spread has no bandwidth and gives no rows.
+    Values are binned ``per_bandwidth`` times finer than the bandwidth, so the number of kernels depends on the value range,
+    not the row count. A bin keeps its count and five moments about its middle; with as many terms of the kernel's series
+    the sum equals the direct one over all values but for about 1e-13. Each bin reaches the axis points within ``reach``
+    bandwidths; beyond 39 the kernel underflows to 0. A series without spread has no bandwidth and gives no rows.
     """
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
     stats = known.groupBy(*keys).agg(
@@ -101,15 +102,20 @@ def kde(df: DataFrame, value: str, points: int = 1000, per_bandwidth: int = 64,
     stats = stats.where("s > 0").select(
         *keys, "n", "lo", (F.col("s") * F.pow(F.col("n"), F.lit(-0.2))).alias("h"),
         (F.col("lo") - 0.5 * span).alias("x0"), (2 * span / (points - 1)).alias("dx"))
-    fine = F.floor((F.col("_x") - F.col("lo")) / (F.col("h") / per_bandwidth)).alias("_b")
-    bins = attach(known, stats, keys).groupBy(*keys, fine).agg(
-        F.avg("_x").alias("_m"), F.count("_x").alias("_c"))
-    near = attach(bins, stats, keys)
+    placed = attach(known, stats, keys).withColumn("_b", F.floor((F.col("_x") - F.col("lo")) / (F.col("h") / per_bandwidth)))
+    off = (F.col("_x") - F.col("lo")) / F.col("h") - (F.col("_b") + 0.5) / per_bandwidth
+    bins = placed.withColumn("_d", off).groupBy(*keys, "_b").agg(*[F.sum(F.pow("_d", F.lit(k))).alias(f"_m{k}") for k in range(6)])
+    near = attach(bins, stats, keys).withColumn("_m", F.col("lo") + (F.col("_b") + 0.5) / per_bandwidth * F.col("h"))
     first = F.greatest(F.ceil((F.col("_m") - reach * F.col("h") - F.col("x0")) / F.col("dx")), F.lit(0))
     last = F.least(F.floor((F.col("_m") + reach * F.col("h") - F.col("x0")) / F.col("dx")), F.lit(points - 1))
     met = near.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
-    u = (F.col("x0") + F.col("point") * F.col("dx") - F.col("_m")) / F.col("h")
-    height = F.col("_c") * F.exp(-0.5 * u * u) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
+    met = met.withColumn("_u", (F.col("x0") + F.col("point") * F.col("dx") - F.col("_m")) / F.col("h"))
+    u = F.col("_u")
+    terms = [F.lit(1.0), u]
+    for k in range(1, 5):  # the kernel's derivatives over itself (Hermite polynomials)
+        terms.append(u * terms[k] - k * terms[k - 1])
+    series = sum((F.col(f"_m{k}") * terms[k] / math.factorial(k) for k in range(1, 6)), F.col("_m0"))
+    height = series * F.exp(-0.5 * u * u) / (F.col("n") * F.col("h") * F.sqrt(2 * F.pi()))
     parts = met.select(*keys, "point", height.alias("_d"))
     axis = stats.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1))).alias("point"),
                         F.lit(0.0).alias("_d"))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import calendar_parts, cyclical, flags
-from gridtide.operators.clean import drop_null_rows
-from gridtide.plans.chunks import CHUNK, attach, chunk_sql, chunk_window, halo, own
+from gridtide.operators.clean import drop_null_rows, held_then_line
+from gridtide.plans.chunks import CHUNK, attach, chunk_sql, chunk_window, halo, own, reaching_neighbours
 from gridtide.schemas import SUB_METERS, TARGET
 
 # Default lags and rolling windows, in steps.
@@ -56,6 +57,15 @@ def add_history(df: DataFrame, value: str = TARGET, *, lags: Sequence[int] = (),
     return own(wide, pos, size)
 
 
+def add_filled_history(df: DataFrame, value: str = TARGET, *, fill: Sequence[str], limit: int = 60, lags: Sequence[int] = (),
+                       windows: Sequence[int] = (), keys: Sequence[str] = (), pos: str = "slot", size: int = CHUNK) -> DataFrame:
+    """:func:`fill_missing` on ``fill``, then :func:`add_history`, with one shuffle of the rows and one sort per direction."""
+    around = reaching_neighbours(df, keys, fill, pos, max([*lags, *windows]), size)
+    filled = around.select(*[held_then_line(c, limit, pos).alias(c) if c in fill else F.col(c) for c in df.columns], "_series", "_chunk")
+    columns = history_sql(value, lags, windows, f"PARTITION BY _series, _chunk ORDER BY `{pos}`")
+    return own(filled.selectExpr("*", *columns).drop("_series"), pos, size)
+
+
 def add_lags(df: DataFrame, value: str = TARGET, lags: Sequence[int] = LAGS, **kw) -> DataFrame:
     return add_history(df, value, lags=lags, **kw)
 
@@ -82,13 +92,16 @@ def add_interactions(df: DataFrame, value: str = TARGET, time: str = "ts") -> Da
 
 def feature_table(df: DataFrame, value: str = TARGET, *, lags: Sequence[int] = LAGS,
                   windows: Sequence[int] = WINDOWS, keys: Sequence[str] = (), time: str = "ts",
-                  pos: str = "slot", size: int = CHUNK) -> DataFrame:
-    """All feature groups; rows with any null are dropped.
+                  pos: str = "slot", size: int = CHUNK, fill: Sequence[str] = ()) -> DataFrame:
+    """All feature groups; rows with any null are dropped. Columns in ``fill`` are filled first, in the same shuffle.
 
     The other groups are null only where an input is, so the drop comes right after the history
     columns, before the optimizer would have to reason about derived expressions.
     """
-    history = add_history(df, value, lags=lags, windows=windows, keys=keys, pos=pos, size=size)
+    if fill:
+        history = add_filled_history(df, value, fill=fill, lags=lags, windows=windows, keys=keys, pos=pos, size=size)
+    else:
+        history = add_history(df, value, lags=lags, windows=windows, keys=keys, pos=pos, size=size)
     known = drop_null_rows(history)
     return add_interactions(add_cyclical(add_calendar(known, time), time), value, time)
 
@@ -107,13 +120,13 @@ CALENDAR_REPORT = ("hour", "dayofweek", "month", "season", "is_weekend", "is_pea
 
 
 def feature_group(name: str) -> str:
-    if "lag" in name:
+    if re.search(r"_lag_\d+$", name):
         return "lag"
-    if "roll" in name:
+    if re.search(r"_roll_(mean|std|min|max)_\d+$", name):
         return "rolling"
     if name in CALENDAR_REPORT:
         return "calendar"
-    if "_sin" in name or "_cos" in name:
+    if name.endswith(("_sin", "_cos")):
         return "cyclical"
     return "other"
 

@@ -196,3 +196,42 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], po
         *[f"coalesce(last({known(c)}, true) {upto}, `_left_{c}`) AS `_prev_{c}`" for c in cols],
         *[f"coalesce(last({known(c)}, true) {back}, `_right_{c}`) AS `_next_{c}`" for c in cols],
     )
+
+
+def reaching_neighbours(df: DataFrame, keys: Sequence[str], cols: Sequence[str], pos: str = "slot", before: int = 0,
+                        size: int = CHUNK) -> DataFrame:
+    """:func:`halo` and :func:`known_neighbours` at once: rows in every chunk whose frames reach ``before`` positions
+    back to them, with ``_series``, ``_chunk``, ``_prev_<c>`` and ``_next_<c>``.
+
+    What a chunk cannot see is carried: the last known value before its first copied row and the first one after its end.
+    Windows over ``_series, _chunk`` that follow share this one shuffle of the rows; drop the copies with :func:`own`.
+    """
+    home, reach = f"floor(`{pos}` / {size})", f"floor((`{pos}` + {before}) / {size})"
+    placed = df.where(F.col(pos).isNotNull()).withColumn("_series", F.struct(F.lit(0).alias("_"), *keys))
+
+    def known(c: str) -> str:
+        return f"CASE WHEN `{c}` IS NOT NULL THEN struct(`{pos}` AS at, CAST(`{c}` AS DOUBLE) AS v) END"
+
+    sides = placed.groupBy("_series", F.expr(home).alias("_home"), F.expr(reach).alias("_reach")).agg(
+        *[F.expr(f"max({known(c)}) AS `_last_{c}`") for c in cols], *[F.expr(f"min({known(c)}) AS `_first_{c}`") for c in cols])
+    # rows that reach chunk k lie before the copies of the chunks after k; rows of chunk k lie after all chunks before it
+    lasts = sides.selectExpr("_series", "_reach AS _chunk", "false AS _own", *[f"`_last_{c}`" for c in cols])
+    firsts = sides.selectExpr("_series", "_home AS _chunk", "true AS _own", *[f"`_first_{c}`" for c in cols])
+    edges = lasts.unionByName(firsts, allowMissingColumns=True).groupBy("_series", "_chunk").agg(
+        F.max("_own").alias("_own"), *[F.max(f"_last_{c}").alias(f"_last_{c}") for c in cols],
+        *[F.min(f"_first_{c}").alias(f"_first_{c}") for c in cols])
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    carry = edges.selectExpr(
+        "_series", "_chunk", "_own",
+        *[f"last(`_last_{c}`, true) OVER (PARTITION BY _series ORDER BY _chunk {earlier}) AS `_left_{c}`" for c in cols],
+        *[f"last(`_first_{c}`, true) OVER (PARTITION BY _series ORDER BY _chunk DESC {earlier}) AS `_right_{c}`" for c in cols],
+    ).where("_own").drop("_own")
+    inside = f"PARTITION BY _series, _chunk ORDER BY `{pos}`"
+    upto = f"OVER ({inside} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    back = f"OVER ({inside} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    copied = placed.selectExpr("*", f"explode(sequence({home}, {reach})) AS _chunk")
+    return _carried(copied, carry).selectExpr(
+        *[f"`{c}`" for c in df.columns], "_series", "_chunk",
+        *[f"coalesce(last({known(c)}, true) {upto}, `_left_{c}`) AS `_prev_{c}`" for c in cols],
+        *[f"coalesce(last({known(c)}, true) {back}, `_right_{c}`) AS `_next_{c}`" for c in cols],
+    )

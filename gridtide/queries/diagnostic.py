@@ -64,11 +64,10 @@ def power_histogram(spark, sf):
 
 @query("power_kde", q.sql(
     q.HOURS, "s AS (SELECT min(p) AS lo, max(p) AS hi, count(p) AS n, stddev_samp(p) * pow(count(p), -0.2) AS h FROM hours)",
-    "bins AS (SELECT avg(p) AS m, count(*) AS c FROM hours, s GROUP BY floor((p - lo) / (h / 64)))",
     "axis AS (SELECT i, lo - 0.5 * (hi - lo) + i * (2 * (hi - lo) / 999) AS x, s.n AS n, h FROM (SELECT unnest(range(1000)) AS i), s)",
-    select=(f"SELECT CAST(i AS BIGINT) AS point, {q.r('x', 6, 'x')}, "
-            + q.r("sum(c * exp(-0.5 * pow((x - m) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi()))", 8, "density")
-            + " FROM axis, bins GROUP BY i, x")))
+    select=(f"SELECT CAST(axis.i AS BIGINT) AS point, {q.r('x', 6, 'x')}, "
+            + q.r("sum(exp(-0.5 * pow((x - p) / h, 2))) / (any_value(axis.n) * any_value(h) * sqrt(2 * pi()))", 8, "density")
+            + " FROM axis, hours WHERE p IS NOT NULL GROUP BY axis.i, x")))
 def power_kde(spark, sf):
     return op.kde(b.hourly_power(spark, sf), TARGET).select("point", r("x"), r("density", 8))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.operators import features as op
-from gridtide.operators.clean import clean_regular
+from gridtide.operators.clean import coerce_numeric
 from gridtide.plans.chunks import with_ordinal
 from gridtide.queries import bindings as b
 from gridtide.queries import sql as q
@@ -118,7 +118,7 @@ FEATURES = q.sql(
 
 def filled_features(spark, sf):
     """Features of the cleaned hourly table."""
-    return op.feature_table(clean_regular(b.hourly(spark, sf), b.MEASURES))
+    return op.feature_table(coerce_numeric(b.hourly(spark, sf), b.MEASURES), fill=b.MEASURES)
 
 
 @query("feature_table", FEATURES + "SELECT ts, " + ", ".join(q.r(n, 6, n) for n in ALL_FLOAT) + ", "

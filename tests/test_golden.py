@@ -141,7 +141,7 @@ def test_kde_matches_direct_sum(series):
     h = math.sqrt(sum((x - mean) ** 2 for x in xs) / (len(xs) - 1)) * len(xs) ** -0.2
     for r in curve:
         exact = sum(math.exp(-.5 * ((r["x"] - x) / h) ** 2) for x in xs) / (len(xs) * h * math.sqrt(2 * math.pi))
-        assert r["density"] == pytest.approx(exact, rel=1e-3, abs=1e-9)
+        assert r["density"] == pytest.approx(exact, rel=1e-10, abs=1e-15)
 
 
 def test_histogram_counts_everything(series):

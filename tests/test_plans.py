@@ -141,3 +141,32 @@ def test_fill_shuffles_rows_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     main = [line for line in plan.splitlines() if "Exchange hashpartitioning(_series" in line and "_chunk" in line]
     assert len(main) == 2, plan  # the rows, and the edges behind the carried values
+
+
+@pytest.mark.parametrize("size", [5, 30, 48, 1000])
+def test_fill_and_history_in_one_pass(spark, size):
+    rnd = random.Random(3)
+    holes = {*range(0, 9), *range(100, 190), *range(300, 304), *range(490, 500)}
+    rows = [(k, i - 40, i if i % 7 else None, None if i in holes or rnd.random() < 0.2 or k == "none" else rnd.uniform(0, 9))
+            for k in ("a", None, "none") for i in range(500)]
+    df = spark.createDataFrame(rows + [("a", None, 1, 5.0)], "k string, slot long, y long, x double")
+    rest = dict(lags=(1, 48), windows=(3,), keys=["k"], size=size)
+    filled = clean.fill_missing(df, ["x", "y"], keys=["k"], size=100_000)
+    want = features.add_history(filled, "x", **{**rest, "size": 100_000}).orderBy("k", "slot").collect()
+    got = features.add_filled_history(df, "x", fill=["x", "y"], **rest).orderBy("k", "slot").collect()
+    assert len(got) == len(want) and got[0].asDict().keys() == want[0].asDict().keys()
+    for a, b in zip(got, want):
+        assert tuple(a) == pytest.approx(tuple(b), nan_ok=True)
+
+
+def test_fill_and_history_shuffle_rows_once(spark):
+    rows = spark.range(20_000).selectExpr("id % 3 AS k", "id AS slot", "CASE WHEN id % 5 > 0 THEN CAST(id AS DOUBLE) END AS x")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = features.add_filled_history(rows, "x", fill=["x"], lags=(1, 24), windows=(3,), keys=["k"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    main = [line for line in plan.splitlines() if "Exchange hashpartitioning(_series" in line and "_chunk" in line]
+    home = [line for line in plan.splitlines() if "Exchange hashpartitioning(_series" in line and "_home" in line]
+    assert 2 <= len(main) <= 3 and len(home) <= 2, plan  # the rows, the edges by chunk, and maybe the carried table
