@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from gridtide.llm.shipping import shipped
-from gridtide.llm.textkit import with_columns
+from gridtide.llm.textkit import tidy, with_columns
 from gridtide.session import materialise
 
 SALT_ROWS = 500_000  # pieces of one length that one task numbers, about
@@ -118,7 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
     table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = table.schema["id"].dataType
     schema = StructType.fromDDL(f"id {kind.simpleString()}, piece int, start long, length long, ids binary")
-    cut = table.mapInArrow(_cut(read_tokenizer(tokenizer_path), size, end_id, to_arrow_schema(schema).field(0).type), schema)
+    cut = table.mapInArrow(tidy(_cut(read_tokenizer(tokenizer_path), size, end_id, to_arrow_schema(schema).field(0).type)), schema)
     return cut.withColumnRenamed("id", id_col)
 
 
@@ -225,7 +225,7 @@ def pack(pieces: DataFrame, size: int = 1024, length_col: str = "length") -> Dat
               .join(bases, (F.col(length_col) == F.col("_length")) & (F.col("_salt") == F.col("_s")))
               .select(*rows.columns, (F.col("_nth") + F.col("_base")).alias("_rank")))
     schema = StructType([*rows.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
-    return ranked.mapInArrow(_assign(plan, ranked.columns.index(length_col), len(rows.columns)), schema)
+    return ranked.mapInArrow(tidy(_assign(plan, ranked.columns.index(length_col), len(rows.columns))), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2,

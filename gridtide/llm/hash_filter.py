@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridtide.llm.textkit import mix
+from gridtide.llm.textkit import mix, tidy
 
 MOST_BITS = 1 << 28    # 32 MB, whatever the number of keys
 CHUNK_BITS = 1 << 22
@@ -64,7 +64,7 @@ def build_filter(keys: DataFrame, column: str, count: int) -> HashFilter:
     """The filter of a written table's keys (longs), 16 bits for each of ``count`` up to ``MOST_BITS`` in all."""
     bits = 1 << max(16, min((16 * max(count, 1) - 1).bit_length(), (MOST_BITS - 1).bit_length()))
     bitmap = np.zeros((-(-bits // CHUNK_BITS), min(bits, CHUNK_BITS) // 8), np.uint8)
-    rows = keys.selectExpr(f"{column} as key").mapInArrow(_with_chunk(bits), "key long, chunk int")
-    for row in rows.repartition("chunk").mapInArrow(_chunk_bitmaps(bits), "chunk int, bitmap binary").toLocalIterator():
+    rows = keys.selectExpr(f"{column} as key").mapInArrow(tidy(_with_chunk(bits)), "key long, chunk int")
+    for row in rows.repartition("chunk").mapInArrow(tidy(_chunk_bitmaps(bits)), "chunk int, bitmap binary").toLocalIterator():
         bitmap[row["chunk"]] = np.frombuffer(zlib.decompress(bytes(row["bitmap"])), np.uint8)
     return HashFilter(bits, bitmap.reshape(-1))

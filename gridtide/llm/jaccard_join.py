@@ -117,8 +117,8 @@ def _levels(profile: DataFrame) -> np.ndarray:
     """Logarithmic frequency levels, one byte per entry of both tables: 8 MB on the driver at any size of data."""
     import zlib
     rows = profile.where("chunk is not null").select("chunk", "counts")
-    first = rows.repartition(F.col("chunk"), F.pmod(F.xxhash64("counts"), F.lit(SALTS))).mapInArrow(_sum_counts, "chunk int, counts binary")
-    total = first.repartition("chunk").mapInArrow(_sum_counts, "chunk int, counts binary")
+    first = rows.repartition(F.col("chunk"), F.pmod(F.xxhash64("counts"), F.lit(SALTS))).mapInArrow(tidy(_sum_counts), "chunk int, counts binary")
+    total = first.repartition("chunk").mapInArrow(tidy(_sum_counts), "chunk int, counts binary")
     levels = np.zeros((2 * COUNTERS // CHUNK, CHUNK), np.uint8)
     for row in total.toLocalIterator():
         counts = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.uint32)
