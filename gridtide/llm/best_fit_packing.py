@@ -118,7 +118,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id:
     table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = table.schema["id"].dataType
     schema = StructType.fromDDL(f"id {kind.simpleString()}, piece int, start long, length long, ids binary")
-    cut = table.mapInArrow(tidy(_cut(read_tokenizer(tokenizer_path), size, end_id, to_arrow_schema(schema).field(0).type)), schema)
+    cut = table.mapInArrow(tidy(_cut(read_tokenizer(tokenizer_path), size, end_id, to_arrow_schema(schema).field(0).type), _encoders), schema)
     return cut.withColumnRenamed("id", id_col)
 
 

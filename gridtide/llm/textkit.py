@@ -26,9 +26,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def tidy(run):
-    """The same batch function, whose worker gives freed memory back at the end of a task: workers live on between stages."""
+_HELD: list = []  # the cached builder whose model this worker holds
+
+
+def hold_only(builder=None) -> None:
+    """Drop the models that other stages have left in this worker; ``builder`` is a cached function that keeps its own."""
+    for held in [x for x in _HELD if x is not builder]:
+        held.cache_clear()
+        _HELD.remove(held)
+    if builder is not None and builder not in _HELD:
+        _HELD.append(builder)
+
+
+def tidy(run, builder=None):
+    """The same batch function for workers that live on between stages.
+
+    At its start the worker drops the models of other stages, at the end of a task it gives freed memory back. The model
+    of ``builder`` stays for the stage's next task.
+    """
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_only(builder)
         try:
             yield from run(batches)
         finally:

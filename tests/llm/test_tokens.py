@@ -1,5 +1,6 @@
 """Encoding against the libraries, packing against its rules and the lower bound."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from brute import ordered
 from gridtide.llm import best_fit_packing as packing
 from gridtide.llm import sentencepiece_codec as codec
+from gridtide.llm import textkit
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,3 +107,16 @@ def test_plan_places_every_rank_once_and_stays_small():
 def test_pack_rejects_impossible_lengths(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 2000)], "doc_id long, length long"))
+
+
+def test_a_worker_holds_the_model_of_one_stage():
+    @functools.lru_cache(maxsize=2)
+    def build(name):
+        return [name]
+
+    first = build("m")
+    textkit.hold_only(build)
+    textkit.hold_only(build)
+    assert build("m") is first  # the stage's next task
+    assert list(textkit.tidy(iter)([1, 2])) == [1, 2]
+    assert build.cache_info().currsize == 0 and build("m") is not first
