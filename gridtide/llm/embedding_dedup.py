@@ -3,6 +3,7 @@
 Cosine c between vectors means distance ``sqrt(2 - 2c)`` between their unit vectors. Pivots cut a label's
 space into cells (nearest pivot); by the triangle inequality a vector can have a partner in a cell only if
 that pivot is at most two radii farther than its own, so it is copied there and each cell joins alone.
+A cell that is still large gets pivots of its own in the same way, so cells stay small at any number of vectors.
 Equal vectors count once. A cell reports counts and one link per vector to its group's root, never pairs.
 """
 
@@ -18,7 +19,8 @@ from gridtide.llm.shipping import shipped
 from gridtide.session import materialise
 
 CELL = 2000         # vectors per pivot, about
-MAX_PIVOTS = 256    # per label
+MAX_PIVOTS = 256    # per label and level
+LEVELS = 4          # of cells within cells; at 256 pivots a level the last one is out of reach
 DEAL = 50_000       # vectors of a label that one task assigns to cells
 BLOCK = 4000        # vectors of a cell that one task compares with as many
 
@@ -35,7 +37,7 @@ def _unit(column) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
-def _assign(cosine: float):
+def _assign(cosine: float, unit: bool):
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-7
     schema = pa.schema([("part", pa.int64()), ("cell", pa.int32()), ("home", pa.bool_()), ("cid", pa.int64()),
                         ("mult", pa.int64()), ("vector", pa.list_(pa.float64()))])
@@ -43,14 +45,15 @@ def _assign(cosine: float):
     def run(vectors: pa.Table, pivots: pa.Table) -> pa.Table:
         if not vectors.num_rows:
             return schema.empty_table()
-        points = _unit(vectors.column("vector"))
-        n = len(points)
+        n = vectors.num_rows
+        points = vectors.column("vector").combine_chunks().flatten().to_numpy().reshape(n, -1) if unit else _unit(vectors.column("vector"))
+        home = vectors.column("home").to_numpy(zero_copy_only=False)
         if pivots.num_rows:
             base = _unit(pivots.column("vector"))
             apart = np.sqrt(np.maximum(2 - 2 * base @ base.T, 0))
         else:
             base, apart = np.zeros((1, points.shape[1])), np.zeros((1, 1))
-        rows, cells = [], []
+        rows, cells, homes = [], [], []
         for lo in range(0, n, 4096):
             far = np.sqrt(np.maximum(2 - 2 * points[lo:lo + 4096] @ base.T, 0))
             own = far.argmin(axis=1)
@@ -60,13 +63,14 @@ def _assign(cosine: float):
             near_cell[np.arange(len(own)), own] = True
             row, cell = np.nonzero(near_cell)
             rows.append(row + lo)
-            cells.append(np.where(cell == own[row], cell, -1 - cell))  # a copy is marked by its sign
-        row, cell = np.concatenate(rows), np.concatenate(cells)
+            cells.append(cell)
+            homes.append((cell == own[row]) & home[row + lo])  # a copy stays one in the cells within its cell
+        row, cell, own_cell = np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
         take = pa.array(row)
         flat = pa.array(points[row].reshape(-1))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1) * points.shape[1], pa.int32()), flat)
-        return pa.table([vectors.column("part").combine_chunks().take(take), pa.array(np.where(cell < 0, -1 - cell, cell).astype(np.int32)),
-                         pa.array(cell >= 0), vectors.column("cid").combine_chunks().take(take),
+        return pa.table([vectors.column("part").combine_chunks().take(take), pa.array(cell.astype(np.int32)),
+                         pa.array(own_cell), vectors.column("cid").combine_chunks().take(take),
                          vectors.column("mult").combine_chunks().take(take), lists], schema=schema)
     return run
 
@@ -103,6 +107,39 @@ def _compare(cosine: float):
     return run
 
 
+def _cells(points: DataFrame, cosine: float, level: int) -> DataFrame:
+    """``points(part, home, cid, mult, vector)`` dealt to the cells of their parts, as a written table."""
+    sizes = materialise(points.groupBy("part").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
+                        .withColumns({"pivots": F.when(F.col("homes") > 2 * CELL, F.least(F.ceil(F.col("homes") / CELL), F.lit(MAX_PIVOTS))).otherwise(0),
+                                      "salts": F.ceil(F.col("n") / DEAL)}), "sizes")
+    sized = points.join(sizes, "part")
+    # pivots: about so many of each part, by hash; a part's number may vary a little, results do not
+    lot = F.pmod(F.xxhash64("cid", F.lit(5 + level)), F.lit(1_000_000))
+    drawn = sized.where(F.col("home") & (F.col("pivots") > 0) & (lot < F.col("pivots") * 1_000_000 / F.col("homes")))
+    drawn = materialise(drawn.select("part", "salts", "vector"), "pivots")
+    dealt = sized.select("part", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), "home", "cid", "mult", "vector")
+    everywhere = drawn.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "vector")
+    shape = "part long, cell int, home boolean, cid long, mult long, vector array<double>"
+    placed = dealt.groupBy("part", "salt").cogroup(everywhere.groupBy("part", "salt")).applyInArrow(_assign(cosine, level > 0), shape)
+    return materialise(placed, "cells")
+
+
+def _small_cells(points: DataFrame, cosine: float) -> DataFrame:
+    """Cells of ``points``; those with very many vectors of their own are parts of the next level."""
+    placed = _cells(points, cosine, 0)
+    for level in range(1, LEVELS):
+        homes = placed.groupBy("part", "cell").agg(F.count_if("home").alias("homes"))
+        crowded = materialise(homes.where(F.col("homes") > 4 * CELL).select("part", "cell"), "crowded")
+        if crowded.isEmpty():
+            break
+        inner = placed.join(crowded, ["part", "cell"], "left_semi")
+        split = _cells(inner.select(F.xxhash64("part", "cell").alias("part"), "home", "cid", "mult", "vector"), cosine, level)
+        placed = placed.join(crowded, ["part", "cell"], "left_anti").unionByName(split)
+        if level + 1 < LEVELS:
+            placed = materialise(placed, "cells")
+    return placed
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
                  label_col: str = "label") -> DataFrame:
     """``id_col, n_links, component_id, kept``, one row per row of ``vectors``.
@@ -119,17 +156,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec_id
     classes = (table.where("usable").groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("*").alias("mult"))
                .withColumn("cid", F.monotonically_increasing_id()))
     classes = materialise(classes.withColumn("part", F.xxhash64("label", F.size("vector"))), "classes")
-    sizes = materialise(classes.groupBy("part").agg(F.count("*").alias("n"))
-                        .withColumns({"pivots": F.when(F.col("n") > 2 * CELL, F.least(F.ceil(F.col("n") / CELL), F.lit(MAX_PIVOTS))).otherwise(0),
-                                      "salts": F.ceil(F.col("n") / DEAL)}), "sizes")
-    sized = classes.join(sizes, "part")
-    # pivots: about so many of each part, by hash; a part's number may vary a little, results do not
-    drawn = sized.where((F.col("pivots") > 0) & (F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(1_000_000)) < F.col("pivots") * 1_000_000 / F.col("n")))
-    drawn = materialise(drawn.select("part", "salts", "vector"), "pivots")
-    dealt = sized.select("part", F.pmod(F.xxhash64("cid"), F.col("salts")).alias("salt"), "cid", "mult", "vector")
-    everywhere = drawn.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "vector")
-    shape = "part long, cell int, home boolean, cid long, mult long, vector array<double>"
-    placed = materialise(dealt.groupBy("part", "salt").cogroup(everywhere.groupBy("part", "salt")).applyInArrow(_assign(cosine), shape), "cells")
+    placed = _small_cells(classes.select("part", F.lit(True).alias("home"), "cid", "mult", "vector"), cosine)
 
     counts = placed.groupBy("part", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cells = placed.join(counts, ["part", "cell"]).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")))

@@ -194,11 +194,14 @@ def brute_vectors(rows, cosine):
     return [(r[0], links[i], min(names[of[i]], default=None), r[0] is not None and r[0] == min(names[of[i]], default=None)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("cell", [2000, 10])
-def test_near_vectors(spark, cell, monkeypatch):
+@pytest.mark.parametrize("cell, pivots", [(2000, 256), (10, 256), (4, 3)])
+def test_near_vectors(spark, cell, pivots, monkeypatch):
     import gridtide.llm.embedding_dedup as vectors
     monkeypatch.setattr(vectors, "CELL", cell)
-    monkeypatch.setattr(vectors, "BLOCK", 16 if cell == 10 else 4000)
+    monkeypatch.setattr(vectors, "MAX_PIVOTS", pivots)  # with 3, cells within cells
+    monkeypatch.setattr(vectors, "BLOCK", 16 if cell < 2000 else 4000)
+    levels, cells = [], vectors._cells
+    monkeypatch.setattr(vectors, "_cells", lambda points, cosine, level: levels.append(level) or cells(points, cosine, level))
     rng = np.random.default_rng(5)
     rows = []
     for i in range(240):
@@ -211,6 +214,7 @@ def test_near_vectors(spark, cell, monkeypatch):
     got = [tuple(r) for r in near_vectors(frame).collect()]
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], label) for i, v, label in rows]
     assert ordered(got) == ordered(brute_vectors(rows, 0.98))
+    assert levels == [0] if pivots == 256 else len(levels) > 1
 
 
 def test_near_vectors_empty(spark):
