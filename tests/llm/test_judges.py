@@ -4,6 +4,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, difference
 from brute import ordered, words
@@ -121,6 +122,63 @@ def test_quality_without_pairs_rejects_nothing(corpus, spark):
     assert {(r["score"], r["predicted"]) for r in rows} == {(0.3, 1)}
 
 
+def labelled_features(n_good, n_bad, seed):
+    """Overlapping features of two labels, one of them constant, one with far values, some rows twice."""
+    rng = np.random.default_rng(seed)
+    good = np.arange(n_good + n_bad) < n_good
+    features = rng.normal(size=(len(good), len(quality_ranking.FEATURES))) + good[:, None] * np.linspace(-0.7, 0.7, len(quality_ranking.FEATURES))
+    features[:, 3] = 2.0
+    features[:, 5] = rng.standard_cauchy(len(good)) + good
+    features[1::10] = features[::10][:len(features[1::10])]
+    return features, good
+
+
+def slope_over_all_pairs(ranking, features, good, ridge=1e-3):
+    x = ranking.scaled(features)
+    score = x @ ranking.weights
+    chance = 1 / (1 + np.exp(score[good][:, None] - score[~good]))  # that the bad one wins
+    return (chance.sum(axis=0) @ x[~good] - chance.sum(axis=1) @ x[good]) / chance.size + ridge * ranking.weights
+
+
+def test_quality_ranking_is_the_optimum_over_all_pairs(spark):
+    features, good = labelled_features(700, 400, 5)
+    rows = spark.createDataFrame([(bool(g), x.tolist()) for g, x in zip(good, features)], "good boolean, features array<double>")
+    ranking = quality_ranking.fit_ranking(rows.repartition(3))
+    assert ranking.mean == pytest.approx(features.mean(axis=0), rel=1e-7)
+    assert ranking.spread == pytest.approx(np.where(features.std(axis=0) > 1e-9, features.std(axis=0), 1.0), rel=1e-7)
+    assert np.abs(slope_over_all_pairs(ranking, features, good)).max() < 1e-8
+    scores = ranking.raw(features)
+    parted = {v: np.mean(scores[good] > v) + np.mean(scores[~good] <= v) for v in scores}
+    low = min(v for v in parted if parted[v] >= max(parted.values()) - 1e-12)
+    assert low < ranking.cut <= min(v for v in parted if v > low)
+    again = quality_ranking.fit_ranking(rows.repartition(7).sortWithinPartitions("features"))
+    assert (again.weights == ranking.weights).all() and (again.mean == ranking.mean).all() and again.cut == ranking.cut
+
+
+@pytest.mark.parametrize("few", [quality_ranking.FEW_LABELS, 10])
+def test_quality_is_learned_from_every_labelled_document(spark, monkeypatch, few):
+    monkeypatch.setattr(quality_ranking, "FEW_LABELS", few)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["Word", "other", "x|y", "12", "a!", "end."], rng.integers(3, 12))) for _ in range(10_000)]
+    label = [int(t.count("|") + rng.integers(0, 3) < 2) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id"), (90_000, "no label")], "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(label)) + [(None, 1), (90_001, 0), (90_000, None)], "doc_id long, quality int")
+    ranking = quality_ranking.learn_quality(docs.repartition(4), labels)
+    features, good = quality_ranking.text_features(pa.array(texts)), np.array(label) == 1
+    assert min(good.sum(), (~good).sum()) > 3_000
+    assert ranking.mean == pytest.approx(features.mean(axis=0), rel=1e-7, abs=1e-12)
+    assert np.abs(slope_over_all_pairs(ranking, features, good)).max() < 1e-8
+
+
+def test_quality_with_labels_that_nothing_or_everything_parts(spark):
+    rows = [(bool(i % 2), [float(i // 2)] * len(quality_ranking.FEATURES)) for i in range(40)]
+    level = quality_ranking.fit_ranking(spark.createDataFrame(rows, "good boolean, features array<double>"))
+    assert np.abs(level.weights).max() < 1e-7 and (level.raw(np.array([r[1] for r in rows])) >= level.cut).all()
+    rows = [(i >= 30, [float(i)] + [0.0] * (len(quality_ranking.FEATURES) - 1)) for i in range(40)]
+    parted = quality_ranking.fit_ranking(spark.createDataFrame(rows, "good boolean, features array<double>"))
+    assert (parted.raw(np.array([r[1] for r in rows])) >= parted.cut).tolist() == [r[0] for r in rows]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_matches_sql(spark, larger, name):
     assert difference(queries.QUERIES[name](spark, larger), connect(larger), queries.SQL[name]) is None
