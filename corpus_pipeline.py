@@ -16,7 +16,7 @@ from gridtide.llm.jaccard_join import keep_one_per_group
 from gridtide.llm.language_id import UNKNOWN, learn_languages, predict_language
 from gridtide.llm.quality_ranking import learn_quality, score_quality
 from gridtide.llm.substring_dedup import remove_repeats
-from gridtide.session import materialise
+from gridtide.session import discard, materialise
 
 LEAST_LANGUAGE_SCORE = 0.3  # pooled probability of the language
 PASSAGE_WORDS = 50          # a passage of so many words that repeats goes
@@ -78,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        last, docs = docs, materialise(stage(spark, docs, sf_dir), name)
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)

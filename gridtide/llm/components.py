@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.session import materialise
+from gridtide.session import discard, materialise
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,7 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternating large and small stars: every round rewires each node's neighbours to its smallest
     neighbour, so chains shorten by half and the rows never exceed the links. Rounds are written
-    to the shared folder, which cuts the lineage. Null ends and links to oneself count for nothing.
+    to the shared folder, which cuts the lineage; the last one stays there. Null ends and links to oneself count for nothing.
     """
     edges = materialise(links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
                         .distinct(), "links")
@@ -24,7 +24,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u <> v").distinct(), "stars")
+        last, edges = edges, materialise(small.where("u <> v").distinct(), "stars")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

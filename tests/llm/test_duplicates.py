@@ -1,16 +1,22 @@
 """Joins, components and repeats against brute force."""
 
 import collections
+import os
 import random
+import time
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 from brute import ordered, words
+from pyspark.sql import functions as F
 
+from gridtide.llm import jaccard_join
 from gridtide.llm import substring_dedup as substring
 from gridtide.llm.components import connected_components
 from gridtide.llm.embedding_dedup import near_vectors
 from gridtide.llm.jaccard_join import jaccard_components, keep_one_per_group
+from gridtide.session import checkpoint_root, discard, materialise
 
 
 def groups(n, linked):
@@ -96,6 +102,75 @@ def test_one_of_each_group_stays(corpus, plain, spark):
     assert sorted((r[0] is None, r[0] or 0) for r in got) == one_of_each(rows, 5, 80) and len(got) == 5
 
 
+def shuffle_files(spark):
+    found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {f for f in found if "/shuffle_" in f}
+
+
+def test_a_written_table_leaves_no_shuffle_files_and_can_go(spark):
+    before = shuffle_files(spark)
+    counts = spark.range(10_000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    table = materialise(counts, "counts")
+    for _ in range(100):  # files go a moment later
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and table.count() == 10
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+    path = urlparse(table.inputFiles()[0]).path
+    discard(counts, table)
+    assert counts.count() == 10 and not os.path.exists(os.path.dirname(path))
+
+
+def test_near_copies_leave_only_the_tables_their_result_reads(spark, corpus):
+    folder = urlparse(checkpoint_root(spark)).path
+    before = set(os.listdir(folder))
+    kept = keep_one_per_group(corpus)
+    left = sorted(name.split("-")[0] for name in set(os.listdir(folder)) - before)
+    assert left == ["judged", "member", "stars", "stars"] and kept.count()
+
+
+def test_texts_that_stay_alone_are_not_shuffled(spark):
+    rng = random.Random(1)
+    texts = [" ".join(f"{rng.getrandbits(48):x}" for _ in range(400)) for _ in range(300)]
+    rows = [(i, text) for i, text in enumerate(texts)] + [(1000, texts[0]), (1001, texts[1] + " more"), (2, texts[2]), (2, texts[2]), (None, None), (5, None)]
+    kept = keep_one_per_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    before = shuffle_files(spark)
+    got = [r["doc_id"] for r in kept.collect()]
+    assert collections.Counter(got) == collections.Counter([*range(300), None, 5])
+    assert sum(os.path.getsize(f) for f in shuffle_files(spark) - before if os.path.exists(f)) < sum(map(len, texts)) / 10
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_pairs_that_meet_on_few_shingles_are_not_verified(spark, most, monkeypatch):
+    """Long texts that share a fifteenth, in an order without frequencies, among near copies at the border and beyond it."""
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(110)]
+    rows = []
+    for i in range(24):
+        own = [f"d{i}x{k}" for k in range(1400 + 11 * i)]
+        rows.append((i, own[:9 * i] + shared + own[9 * i:]))
+    for i, edits in enumerate([10, 25, 29, 30, 31, 32, 33, 40]):  # an edit takes five shingles
+        copy = list(rows[i][1])
+        for at in rng.sample(range(5, len(copy) - 5, 5), edits * len(copy) // 1500):
+            copy[at] = f"e{i}x{at}"
+        rows.append((100 + i, copy))
+    for i, n in enumerate([300, 330, 350, 360]):  # and shorter ones
+        rows.append((200 + i, rows[10 + i][1][n:]))
+    rows = [(i, " ".join(w)) for i, w in rows]
+    counts, checked = [], jaccard_join._checked
+    monkeypatch.setattr(jaccard_join, "_checked", lambda pairs, *rest: counts.append(pairs.count()) or checked(pairs, *rest))
+    monkeypatch.setattr(jaccard_join, "_levels", lambda profile: np.zeros((2, jaccard_join.COUNTERS), np.uint8))
+    if most is not None:
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_jaccard(rows, 5, 80)
+    assert ordered((r[0], r[1], r[2]) for r in got) == ordered(want)
+    assert 24 < len({r[2] for r in want}) < len(rows)  # some link, some do not
+    assert counts[1] < 10
+
+
 def test_components_of_chains_and_loops(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (2, 3), (3, 1), (7, 7), (None, 4), (500, 100)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}

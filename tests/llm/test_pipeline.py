@@ -1,7 +1,9 @@
 """Every stage on what the one before kept, with edge rows and an empty table."""
 
 import collections
+import os
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
 import public_tokenizers
@@ -14,7 +16,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from gridtide.llm.language_id import learn_languages, predict_language
 from gridtide.llm.quality_ranking import learn_quality, score_quality
-from gridtide.session import materialise
+from gridtide.session import checkpoint_root, materialise
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +96,14 @@ def test_empty_documents(spark, sf, corpus):
         docs = corpus.select("doc_id", "text", "lang", "source").limit(0)
 
 
+def test_only_the_last_written_stage_stays(spark, sf, monkeypatch):
+    folder = urlparse(checkpoint_root(spark)).path
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda spark, docs, sf_dir: docs) for name, _ in corpus_pipeline.STAGES])
+    assert corpus_pipeline.run(spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert [name.split("-")[0] for name in set(os.listdir(folder)) - before] == ["fm_substring"]
+
+
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)}
